@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import shared_dir, texts
 from .tokens import WORD_BPE, Encoder, path
 
-END, BLOCK, SHARD_IDS = 2, 1 << 16, 1 << 25
+END, BLOCK, SHARD_IDS, MOST_READERS = 2, 1 << 16, 1 << 25, 10_000
 MAGIC = b"RSSTBL01"
 FOOTER = struct.Struct("<QQQQQQI8s")
 BLOOM_BITS, BLOOM_HASHES = 10, 7
@@ -239,7 +239,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield out(rows)
 
-    return shards.repartition("path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # by number: so few rows would else be put together into one task, which would read all shards
+    return shards.repartition(max(1, min(manifest.count(), MOST_READERS))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode(docs: DataFrame, tokenizer: str = WORD_BPE, folder: str | None = None) -> DataFrame:
