@@ -1 +1,109 @@
-"""Placeholder."""
+"""Queries that encode images with a codec and decode them again: what comes out is what went in."""
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from ..operators.codecs import adaptive, decoded, planes, predictive, prefix
+from ..registry import query
+from . import fixtures as X
+
+COUNTS, VALUES = prefix.flat_code(list(range(17)))
+CODE = {"counts": COUNTS, "values": VALUES}
+
+
+def encoded(df, encode, width, height):
+    """(unit_id, data, width, height) of images (image_id, y, x, v)."""
+    rows = df.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("s")).select("image_id", F.transform("s", lambda s: s["v"].cast("double")).alias("v"))
+
+    def made(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            data = [encode(np.array(v.as_py()).reshape(height, width)) for v in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], names=["unit_id", "data"])
+
+    return rows.mapInArrow(made, "unit_id long, data binary").withColumns({"width": F.lit(width), "height": F.lit(height)})
+
+
+def round_trip(df, encode, codec, width=X.WIDTH, height=X.HEIGHT, **parameters):
+    units = encoded(df, encode, width, height)
+    out = decoded(units, codec, **parameters).select("unit_id", "y", F.posexplode("v").alias("x", "v"))
+    return out.select(F.col("unit_id").alias("image_id"), F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("v").cast("long").alias("v"))
+
+
+def smooth(spark, sf_dir):
+    """Samples of 12 bits, for codecs that allow no more."""
+    return X.plane_u16(spark, sf_dir).withColumn("v", F.expr("v % 4096"))
+
+
+PLANE, SMOOTH = f"WITH {X.plane_sql()} SELECT image_id, y, x, v FROM plane", f"WITH {X.plane_sql()} SELECT image_id, y, x, v % 4096 AS v FROM plane"
+
+
+def _whole(f, **kw):
+    return lambda img: f(img.astype(np.int64), **kw)
+
+
+@query(PLANE)
+def cdc06_lossless_frames(spark, sf_dir):
+    return round_trip(X.plane_u16(spark, sf_dir), _whole(predictive.encode_frame, parts=2, restart_rows=4, **CODE), "prefix_frames")
+
+
+@query(PLANE)
+def cdc08_paired_lengths(spark, sf_dir):
+    return round_trip(X.plane_u16(spark, sf_dir), _whole(predictive.encode_pairs, **CODE), "paired_lengths", **CODE)
+
+
+@query(SMOOTH)
+def cdc10_two_lane_prefix(spark, sf_dir):
+    return round_trip(smooth(spark, sf_dir), _whole(predictive.encode_rows, **CODE), "prefix_rows", **CODE)
+
+
+@query(f"WITH {X.plane_sql()} SELECT image_id, y, x, v % 8192 AS v FROM plane")
+def cdc11_gradient(spark, sf_dir):
+    return round_trip(X.plane_u16(spark, sf_dir).withColumn("v", F.expr("v % 8192")), _whole(adaptive.encode_gradient), "gradient")
+
+
+@query(SMOOTH)
+def cdc17_fixed_table(spark, sf_dir):
+    return round_trip(smooth(spark, sf_dir), _whole(predictive.encode_v1), "v1")
+
+
+@query(SMOOTH)
+def cdc19_columns(spark, sf_dir):
+    return round_trip(smooth(spark, sf_dir), _whole(predictive.encode_columns), "columns")
+
+
+@query(f"WITH {X.plane_sql(40)} SELECT image_id, y, x, v % 4096 AS v FROM plane")
+def cdc23_segments(spark, sf_dir):
+    df = X.plane_u16(spark, sf_dir, 40).withColumn("v", F.expr("v % 4096"))
+    return round_trip(df, _whole(predictive.encode_segments), "length_nibbles", 40, 25)
+
+
+def rows_as_units(df):
+    """Each row of an image as a unit of its own."""
+    return df.selectExpr(f"image_id * {X.HEIGHT} + y AS image_id", "0L AS y", "x", "v")
+
+
+def rows_of_units(df):
+    return df.selectExpr(f"image_id div {X.HEIGHT} AS image_id", f"image_id % {X.HEIGHT} AS y", "x", "v")
+
+
+@query(PLANE)
+def cdc24_strips(spark, sf_dir):
+    df = rows_as_units(X.plane_u16(spark, sf_dir))
+    return rows_of_units(round_trip(df, lambda img: predictive.encode_strip(img[0].astype(np.int64)), "adaptive_lengths", X.WIDTH, 1))
+
+
+@query(SMOOTH + " WHERE x < 48")
+def cdc16_groups(spark, sf_dir):
+    df = rows_as_units(smooth(spark, sf_dir).filter("x < 48"))
+    return rows_of_units(round_trip(df, lambda img: adaptive.encode_groups(img[0].astype(np.int64)), "group_lengths", 48, 1))
+
+
+@query(f"WITH {X.PLANE_F32} SELECT image_id, y, x, CAST(trunc(v::DOUBLE * 1000000) AS BIGINT) AS v FROM fplane WHERE image_id < (SELECT (count(*) // 32) FROM embeddings)")
+def cdc25_float_planes(spark, sf_dir):
+    df = X.plane_f32(spark, sf_dir)
+    whole = X.table(spark, sf_dir, "embeddings").count() // 32
+    units = encoded(df.filter(F.col("image_id") < whole), lambda img: planes.encode_planes(img.astype("f4"), predictor=34894), 64, 32)
+    out = decoded(units, "float_planes", bits=32, predictor=34894).select("unit_id", "y", F.posexplode("v").alias("x", "v"))
+    return out.select(F.col("unit_id").alias("image_id"), F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), (F.col("v") * F.lit(1000000.0)).cast("long").alias("v"))
