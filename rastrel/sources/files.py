@@ -10,10 +10,10 @@ MOST_BYTES = (1 << 32) - 1
 
 
 def read_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """(path, length, content, error): files with their bytes; empty and oversized ones have an error. Columns that aren't asked for are not read."""
+    """(path, length, content, error): files with their bytes; oversized ones have an error, empty ones no row. Content that isn't asked for is not read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     df = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
-    return df.select("path", "length", "content", F.when(F.col("length") == 0, "the file is empty").when(F.col("length") > MOST_BYTES, "the file is too large").alias("error"))
+    return df.select("path", "length", "content", F.when(F.col("length") > MOST_BYTES, "the file is too large").alias("error"))
 
 
 def _attribute(name: str, kind: T.DataType | None = None) -> T.StructField:
