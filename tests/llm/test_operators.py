@@ -229,11 +229,11 @@ def test_line_dedup_equals_brute_force(spark, docs, no_docs):
     df = spark.createDataFrame(cases, "doc_id long, text string").withColumn("words", F.lit(1))
     flat = []
     for i, t in cases:
-        flat += [(i is not None, i or 0, n, frozenset(x.split())) for n, x in enumerate(text_of(t).split("\n")) if x.split()]
+        flat += [(i is not None, i or 0, n, x) for n, x in enumerate(text_of(t).split("\n")) if x.split()]
     flat.sort(key=lambda x: x[:3])
     gone, links = Counter(), Counter()
-    sets = {x[3] for x in flat}
-    jac = lambda a, b: len(a & b) / len(a | b)
+    sets = {x[3]: frozenset(x[3].split()) for x in flat}
+    jac = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
     partners = {s: sum(1 for o in sets if o != s and jac(s, o) >= 0.8) for s in sets}
     for k in flat:
         gone[k[0] and k[1] if k[0] else None] += any(o[:3] < k[:3] and jac(o[3], k[3]) >= 0.8 for o in flat)
