@@ -29,6 +29,9 @@ REGISTRY: dict[str, Decoder] = {
     "gradient": adaptive.decode_gradient,
     "group_lengths": adaptive.decode_groups,
     "packets14": adaptive.decode_packets,
+    "scaled_packets": adaptive.decode_scaled,
+    "run_blocks": adaptive.decode_blocks,
+    "sliced_frames": predictive.decode_sliced,
     "float_planes": planes.decode_planes,
 }
 

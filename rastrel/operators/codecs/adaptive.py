@@ -6,7 +6,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from .bits import BitReader, BitWriter, CodecError
+from .bits import BitReader, BitWriter, CodecError, difference_bits, extended
+from .prefix import PrefixCode
 
 U16 = 0xFFFF
 
@@ -185,3 +186,89 @@ def decode_packets(data: bytes, width: int, height: int, bits: int = 14) -> np.n
             v -= 15
             out.append(min(max(v, 0), top))
     return np.array(out, np.int64).reshape(height, width)
+
+
+#: Samples of a packet of 16 bytes, and bytes of a block whose two sections may be stored the other way round.
+SCALED, BLOCK = 14, 0x4000
+
+
+def decode_scaled(data: bytes, width: int, height: int, split: int = 0) -> np.ndarray:
+    """Packets of 14 samples in two lanes, read from their last bit down: first values of 12 bits, then bytes around the last value, scaled anew for every third sample. split: bytes of the section that is stored first but belongs last."""
+    if split:
+        data = b"".join(b[split:] + b[:split] for b in (data[i : i + BLOCK] for i in range(0, len(data), BLOCK)))
+    n = width * height
+    if n % SCALED or len(data) < n // SCALED * 16:
+        raise CodecError("not enough whole packets")
+    out = []
+    for k in range(n // SCALED):
+        bits = BitReader(data[16 * k : 16 * k + 16][::-1])
+        value, known, shift = [0, 0], [False, False], 0
+        for i in range(SCALED):
+            lane = i % 2
+            if i % 3 == 2:
+                shift = (0, 1, 2, 4)[bits.get(2)]
+            if known[lane]:
+                if j := bits.get(8):
+                    v = value[lane] - (0x80 << shift)
+                    value[lane] = (v & (1 << shift) - 1 if v < 0 or shift == 4 else v) + (j << shift)
+            else:
+                high = bits.get(8)
+                known[lane] = high != 0
+                if high or i > 11:
+                    value[lane] = high << 4 | bits.get(4)
+            out.append(value[lane])
+    return np.array(out, np.int64).reshape(height, width)
+
+
+def zero_samples(img: np.ndarray) -> list[tuple[int, int]]:
+    """(x, y) of samples that count as bad where zero isn't a value."""
+    return [(int(x), int(y)) for y, x in np.argwhere(img == 0)]
+
+
+def decode_blocks(data: bytes, width: int, height: int, first: tuple[list[int], list[int]], rest: tuple[list[int], list[int]], low: bytes | None = None) -> np.ndarray:
+    """Blocks of 64 differences: run and length in one code value, the first of a block added to that of the block before; two lanes in a row from 512 on, 10 bits. low: two more bits of each sample, four in a byte."""
+    if width % 4 or width * height % 64:
+        raise CodecError("not a whole number of blocks")
+    codes, stream = (PrefixCode(*first, full=False), PrefixCode(*rest, full=False)), BitReader(data, "jpeg")
+    diffs = np.zeros((width * height // 64, 64), np.int64)
+    for block in diffs:
+        i = 0
+        while i < 64:
+            run, n = divmod(codes[i > 0].value(stream), 16)
+            if (run, n) == (0, 0) and i:
+                break
+            if (run, n) == (15, 15):
+                i += 1
+                continue
+            i += run
+            d = extended(stream.get(n), n) if n else 0
+            if n and i >= 64:
+                break
+            if n:
+                block[i] = d
+            i += 1
+    diffs[:, 0] = np.cumsum(diffs[:, 0])
+    img = np.cumsum(diffs.reshape(height, width // 2, 2), axis=1).reshape(height, width) + 512
+    if ((img < 0) | (img > 1023)).any():
+        raise CodecError("a value is out of bounds")
+    if low is not None:
+        extra = np.frombuffer(low[: width * height // 4], np.uint8).reshape(height, -1, 1) >> np.array([0, 2, 4, 6], np.uint8) & 3
+        img = img << 2 | extra.reshape(height, width)
+        img = np.where((width == 2672) & (img < 512), img + 2, img)
+    return img
+
+
+def encode_blocks(img: np.ndarray, first: tuple[list[int], list[int]], rest: tuple[list[int], list[int]]) -> bytes:
+    """As decode_blocks(), without low bits and without runs."""
+    codes, out = (PrefixCode(*first, full=False), PrefixCode(*rest, full=False)), BitWriter("jpeg")
+    d = np.diff(img.astype(np.int64).reshape(img.shape[0], -1, 2) - 512, axis=1, prepend=0).reshape(-1, 64)
+    d[:, 0] = np.diff(d[:, 0], prepend=0)
+    for block in d.tolist():
+        for i, v in enumerate(block):
+            code, n = difference_bits(v)
+            if n == 0 and i:  # a plain zero would end the block
+                codes[1].put_value(out, 0xFF)
+                continue
+            codes[i > 0].put_value(out, n)
+            out.put(code, n)
+    return out.done()

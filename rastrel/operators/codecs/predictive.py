@@ -197,6 +197,27 @@ def encode_frame(img: np.ndarray, parts: int, counts: list[int], values: list[in
     return out + b"\xff\xd9"
 
 
+def sliced(line: np.ndarray, width: int, height: int, widths: list[int]) -> np.ndarray:
+    """Samples in order of vertical slices, each row by row, as an image."""
+    if sum(widths) != width or len(line) != width * height:
+        raise CodecError("the slices don't fill the image")
+    cuts = np.cumsum([0, *widths]) * height
+    return np.concatenate([line[a:b].reshape(height, -1) for a, b in zip(cuts, cuts[1:], strict=False)], axis=1)
+
+
+def decode_sliced(data: bytes, width: int, height: int, widths: list[int]) -> np.ndarray:
+    """A lossless frame whose samples, in its own order, fill vertical slices of these widths."""
+    head = frame_header(data)
+    w = head["width"] * len(head["parts"])
+    return sliced(decode_frame(data, w, head["height"]).ravel(), width, height, widths)
+
+
+def encode_sliced(img: np.ndarray, parts: int, frame_width: int, widths: list[int], counts: list[int], values: list[int]) -> bytes:
+    edges = np.cumsum([0, *widths])
+    line = np.concatenate([img[:, a:b].ravel() for a, b in zip(edges, edges[1:], strict=False)])
+    return encode_frame(line.reshape(-1, frame_width * parts), parts, counts, values)
+
+
 # two lengths, then two differences
 
 

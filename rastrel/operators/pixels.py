@@ -5,6 +5,7 @@ Dither is off: it would make each sample depend on those before it in its row. d
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,6 +81,24 @@ def dithered_rows(rows: DataFrame, width: int) -> DataFrame:
     return rows.withColumn("v", F.aggregate(F.arrays_zip("base", "delta"), start, step)["out"])
 
 
+def scaled_rows(rows: DataFrame, width: int, black: list[int], white: int) -> DataFrame:
+    """rows (image_id, y, v: array by x) with v scaled as by scale_by_cell() and dithered: a fold along each row, whose seed depends on it alone."""
+    span = 65535.0 / (white - black[0])
+    full, half = int(np.float32(span) * np.float32(4)), int(np.float32(span) * np.float32(4095))
+    seed = (F.lit(width) + F.col("y") * 36969).cast("long")
+    own = [F.get(F.array(*[F.lit(b).cast("long") for b in black]), (F.pmod(F.col("y"), F.lit(2)) * 2 + odd).cast("int")) for odd in (0, 1)]
+
+    def step(s: Column, v: Column) -> Column:
+        r = s["r"].bitwiseAND(F.lit(65535)) * 18000 + F.shiftright(s["r"], 16)
+        b = F.when(F.pmod(F.size(s["out"]), F.lit(2)) == 0, own[0]).otherwise(own[1])
+        noise = F.lit(half).cast("long") - r.bitwiseAND(F.lit(2047)) * full
+        out = clamped(F.shiftright((v - b) * multiplier(b, F.lit(white)) + 8192 + noise, 14))
+        return F.struct(r.alias("r"), F.concat(s["out"], F.array(out)).alias("out"))
+
+    start = F.struct(seed.alias("r"), F.array().cast("array<bigint>").alias("out"))
+    return rows.withColumn("v", F.aggregate("v", start, step)["out"])
+
+
 def polynomial(v: Column, coefficients: list[float]) -> Column:
     """The polynomial of v / 65536, at the scale of 16 bits and cut to a whole number."""
     x = v.cast("double") / 65536

@@ -107,3 +107,36 @@ def cdc25_float_planes(spark, sf_dir):
     units = encoded(df.filter(F.col("image_id") < whole), lambda img: planes.encode_planes(img.astype("f4"), predictor=34894), 64, 32)
     out = decoded(units, "float_planes", bits=32, predictor=34894).select("unit_id", "y", F.posexplode("v").alias("x", "v"))
     return out.select(F.col("unit_id").alias("image_id"), F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), (F.col("v") * F.lit(1000000.0)).cast("long").alias("v"))
+
+
+BLOCK_CODE = prefix.flat_code([*range(16), 255])
+
+
+@query(f"WITH {X.plane_sql(40)} SELECT image_id, y, x, v % 1024 AS v FROM plane WHERE y < 24")
+def cdc22_blocks_of_runs(spark, sf_dir):
+    df = X.plane_u16(spark, sf_dir, 40).filter("y < 24").withColumn("v", F.expr("v % 1024"))
+    return round_trip(df, _whole(adaptive.encode_blocks, first=BLOCK_CODE, rest=BLOCK_CODE), "run_blocks", 40, 24, first=BLOCK_CODE, rest=BLOCK_CODE)
+
+
+@query(PLANE)
+def cdc07_sliced_frames(spark, sf_dir):
+    encode = _whole(predictive.encode_sliced, parts=2, frame_width=10, widths=[20, 20, 10], **CODE)
+    return round_trip(X.plane_u16(spark, sf_dir), encode, "sliced_frames", widths=[20, 20, 10])
+
+
+@query(f"WITH {X.plane_sql()} SELECT image_id, CASE WHEN image_id % 3 = 2 THEN NULL ELSE 20 END AS rows, CASE WHEN image_id % 3 = 2 THEN 'unknown compression 99' END AS error FROM plane GROUP BY image_id")
+def cdc29_tiles_by_compression(spark, sf_dir):
+    from ..operators.tiles import decoded_tiles
+
+    units = encoded(X.plane_u16(spark, sf_dir), lambda img: img.astype("<u2").tobytes(), X.WIDTH, X.HEIGHT)
+    frames = encoded(X.plane_u16(spark, sf_dir), _whole(predictive.encode_frame, parts=2, **CODE), X.WIDTH, X.HEIGHT)
+    t = units.filter("unit_id % 3 <> 1").withColumn("compression", F.expr("IF(unit_id % 3 = 0, 1, 99)")).unionByName(frames.filter("unit_id % 3 = 1").withColumn("compression", F.lit(7)))
+    return decoded_tiles(t).groupBy(F.col("unit_id").alias("image_id")).agg(F.max(F.col("y") + 1).alias("rows"), F.max("error").alias("error"))
+
+
+@query(f"WITH {X.plane_sql()}, t AS (SELECT event_id, unnest(range(0, 9)) AS k FROM events WHERE event_id < 100) SELECT event_id AS id, list(CAST(xor(65 + k, (event_id % 256 + (event_id % 7) * ((k + 1) * 96 + k * (k + 1) // 2)) % 256) AS BIGINT) ORDER BY k) AS clear FROM t GROUP BY event_id")
+def fn32_unscrambled_bytes(spark, sf_dir):
+    from ..functions import keystreams
+
+    t = X.table(spark, sf_dir, "events").filter("event_id < 100").select("event_id", F.encode(F.lit("ABCDEFGHI"), "UTF-8").alias("data"))
+    return t.select(F.col("event_id").alias("id"), keystreams.unscrambled(F.col("data"), 9, F.expr("event_id % 7"), F.expr("event_id % 256")).alias("clear"))

@@ -210,3 +210,60 @@ def pix29_gamma(spark, sf_dir):
     from ..functions import curves
 
     return plane(spark, sf_dir).filter("y = 0").select("image_id", "y", "x", F.round(curves.power(F.col("x") / F.lit(50.0), 2.4), 9).alias("g"), F.least(F.lit(65535).cast("long"), F.col("v") * 2).alias("t"))
+
+
+def _dither_sql():
+    span = 65535.0 / (WHITE - BLACKS[0])
+    import numpy as np
+
+    full, half = int(np.float32(span) * np.float32(4)), int(np.float32(span) * np.float32(4095))
+    steps = ",\n".join(f"s{i} AS (SELECT *, (r{i - 1} & 65535) * 18000 + (r{i - 1} >> 16) AS r{i} FROM s{i - 1})" for i in range(1, 9))
+    return f"""{PLANE}, w AS (SELECT image_id, y, list(v ORDER BY x) AS vs FROM plane WHERE x < 8 GROUP BY ALL), s0 AS (SELECT *, 8 + y * 36969 AS r0 FROM w), {steps},
+t AS (SELECT image_id, y, i - 1 AS x, vs[i] AS v, [r1, r2, r3, r4, r5, r6, r7, r8][i] AS r FROM s8, unnest(range(1, 9)) t(i)), u AS (SELECT *, CAST({BLACK_SQL} AS BIGINT) AS b FROM t)
+SELECT image_id, y, x, greatest(0, least(65535, ((v - b) * {MUL.format(w=WHITE, b='b')} + 8192 + {half} - {full} * (r & 2047)) >> 14)) AS v FROM u"""
+
+
+@query(_dither_sql())
+def pix05_dithered_scale(spark, sf_dir):
+    rows = plane(spark, sf_dir).filter("x < 8").groupBy("image_id", "y").agg(F.array_sort(F.collect_list(F.struct("x", "v"))).alias("r"))
+    rows = P.scaled_rows(rows.selectExpr("image_id", "y", "transform(r, p -> p.v) AS v"), 8, BLACKS, WHITE)
+    return rows.select("image_id", "y", F.posexplode("v").alias("x", "v")).withColumn("x", F.col("x").cast("long"))
+
+
+KNOTS, GAINS = [8000, 16000, 24000, 32000, 40000, 48000, 56000], [[[10000 + 30 * i * k for i in range(7)] for k in (1, 2)], [[10000 - 20 * i * k for i in range(7)] for k in (1, 3)]]
+
+
+def _quadrant_sql():
+    from ..functions import curves
+
+    def one(g):
+        points = [(0, 0), *[(x, x * n // 10000) for x, n in zip(KNOTS, g, strict=True)], (65535, 65535)]
+        parts = [f"WHEN u >= {x} THEN {a!r}::DOUBLE + (u - {x}) * ({b!r}::DOUBLE + (u - {x}) * ({c!r}::DOUBLE + (u - {x}) * {d!r}::DOUBLE))" for (x, _), (a, b, c, d) in reversed(list(zip(points, curves.spline(points), strict=False)))]
+        return f"least(65535, CAST(trunc(greatest(0, least(65535, CASE {' '.join(parts)} END))) AS BIGINT) + 64)"
+
+    (a, b), (c, d) = GAINS
+    return f"{PLANE}, t AS (SELECT *, greatest(v - 64, 0) AS u FROM plane) SELECT image_id, y, x, CASE WHEN y < 8 THEN CASE WHEN x < 30 THEN {one(a)} ELSE {one(b)} END ELSE CASE WHEN x < 30 THEN {one(c)} ELSE {one(d)} END END AS v FROM t"
+
+
+@query(_quadrant_sql())
+def pix21_quadrant_multipliers(spark, sf_dir):
+    from ..operators.corrections import quadrant_curves
+
+    return quadrant_curves(plane(spark, sf_dir), 8, 30, 64, KNOTS, GAINS)
+
+
+@query(f"{PLANE} SELECT image_id, y, x, least(65535, least(v, 4095) * least(v, 4095) // 1000) AS guarded, v AS uncorrected FROM plane")
+def pix14_curve_guard(spark, sf_dir):
+    """A curve is applied while decoding, or kept for later where raw values are wanted."""
+    from ..operators.tiles import Options
+
+    v = F.col("v")
+    return plane(spark, sf_dir).select("image_id", "y", "x", Options().curved(v, TABLE).alias("guarded"), Options(uncorrected=True).curved(v, TABLE).alias("uncorrected"))
+
+
+@query(f"{PLANE} SELECT image_id, y, x, v, least(65535, least(v, 4095) * least(v, 4095) // 1000) AS t FROM plane WHERE v % 2 = 0")
+def jon05_table_join(spark, sf_dir):
+    """A table as a relation: an equi-join on the value."""
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(TABLE)], "i long, t long")
+    p = plane(spark, sf_dir).filter("v % 2 = 0").withColumn("i", F.least(F.col("v"), F.lit(len(TABLE) - 1)))
+    return p.join(table, "i").select("image_id", "y", "x", "v", "t")

@@ -124,3 +124,36 @@ def test_decoding_a_table_of_units(spark, smooth):
     out = decoded(spark.createDataFrame(units, "unit_id long, data binary, width int, height int"), "v1").collect()
     assert np.array([r.v for r in sorted(out, key=lambda r: r.y or 0) if r.unit_id == 1]).tolist() == smooth.tolist()
     assert {r.unit_id for r in out if r.error} == {2, 3}
+
+
+def test_blocks_and_slices():
+    r = np.random.default_rng(4)
+    img = np.clip(np.cumsum(r.integers(-9, 10, (16, 64)), axis=1) + 512, 0, 1023)
+    code = prefix.flat_code([*range(16), 255])
+    data = adaptive.encode_blocks(img, code, code)
+    assert (adaptive.decode_blocks(data, 64, 16, code, code) == img).all()
+    low = r.integers(0, 256, 16 * 16, dtype=np.uint8)
+    assert (adaptive.decode_blocks(data, 64, 16, code, code, low.tobytes()) >> 2 == img).all()
+    wide = r.integers(0, 65536, (8, 30))
+    assert (predictive.decode_sliced(predictive.encode_sliced(wide, 2, 10, [12, 12, 6], *CODE), 30, 8, [12, 12, 6]) == wide).all()
+    with pytest.raises(CodecError):
+        predictive.sliced(np.arange(10), 3, 3, [3])
+
+
+def test_scaled_packets():
+    # two first values of 12 bits, then unchanged ones: a scale before every third sample
+    bits = "0" * 0 + f"{0x12:08b}{0x3:04b}{0x45:08b}{0x6:04b}"
+    for i in range(2, 14):
+        bits += ("00" if i % 3 == 2 else "") + "0" * 8
+    packet = int(bits[:128].ljust(128, "0"), 2).to_bytes(16, "little")
+    img = adaptive.decode_scaled(packet, 14, 1)
+    assert img.tolist() == [[0x123, 0x456] * 7]
+    assert (adaptive.decode_scaled((packet * 1024)[8:] + (packet * 1024)[:8], 14, 1024, split=16384 - 8) == img).all()
+    assert adaptive.zero_samples(adaptive.decode_scaled(bytes(16), 14, 1))[0] == (0, 0)
+
+
+def test_keystreams():
+    from rastrel.functions import keystreams
+
+    data = bytes(range(64))
+    assert keystreams.xored(keystreams.xored(data, 12345), 12345) == data != keystreams.xored(data, 12345)
