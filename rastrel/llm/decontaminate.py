@@ -54,6 +54,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
     items = hashed(benchmark, "text", F.col("item_id"))
     distinct = items.groupBy("h").agg(F.min("item_id").alias("class")).select("class", "h", F.xxhash64("h").alias("item"))  # equal items once
     seeds = windows(distinct, masks).select("key", "item", F.col("at").alias("item_at"), F.size("h").alias("item_n"))
+    seeds = seeds.groupBy("key", "item").agg(F.min("item_at").alias("item_at"), F.first("item_n").alias("item_n"))  # an item that repeats itself hits once a place
     blocks = max(1, -(-seeds.count() // block))
     train = windows(hashed(docs, "text", F.col("doc_id").cast("long").alias("doc_id")), masks)
     parts = []

@@ -2,7 +2,8 @@
 
 The model is fitted on a bounded sample: the `sample` rows of each language whose id hashes least, each by its whole
 text; of their words the `most_words` most frequent of each language are known, and n-gram counts come from the same
-words. It is what scoring broadcasts, bounded by these parameters and `most_langs`.
+words. It is what scoring broadcasts: two tables of `most_cells` numbers at most, so that many languages
+get fewer words each; there are `most_langs` at most.
 
 Defined results: `und` with score 0 for a null text, one without letters, or where no language could be learned; rows
 with null lang or null id teach nothing; ties go to the language first in the alphabet; repeated rows are predicted
@@ -34,6 +35,7 @@ class Params:
     sample: int = 1000
     most_words: int = 30_000
     most_langs: int = 500
+    most_cells: int = 20_000_000
     longest: int = 4
     backoff: float = math.log(0.4)
     weight: float = 1.0
@@ -47,6 +49,9 @@ class Table:
         self.at: dict[str, int] = {}
         for key, *_ in rows:
             self.at.setdefault(key, len(self.at))
+        if not rows:
+            self.logs = np.zeros((0, n_langs), np.float32)
+            return
         counts = np.zeros((len(self.at), n_langs))
         np.add.at(counts, ([self.at[r[0]] for r in rows], [r[1] for r in rows]), [r[2] for r in rows])
         rate = counts / np.maximum(counts.sum(axis=0), 1)
@@ -97,6 +102,8 @@ def build(rows: list[tuple[str, str, int]], params: Params = Params()) -> Model:
         k = at[lang]
         for g in grams_of(word, params.longest):
             grams[g, k] += n
+    kept = sorted(grams, key=lambda g: (-grams[g], g))[: params.most_cells // max(1, len(langs))]
+    grams = Counter({g: grams[g] for g in kept})
     table = lambda counts: Table(counts, len(langs), params.floor)
     return Model(langs, table([(w, at[x], n) for x, w, n in rows]), table([(g, k, n) for (g, k), n in grams.items()]), params)
 
@@ -125,17 +132,18 @@ def fit(docs: DataFrame, params: Params = Params()) -> Model:
 
     counts = chosen.mapInArrow(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    known = counts.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= params.most_words).select("lang", "word", "n")
+    n_langs = max(1, ids.select("lang").distinct().count())
+    most = min(params.most_words, params.most_cells // n_langs**2)
+    known = counts.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= most).select("lang", "word", "n")
     return build([tuple(r) for r in known.collect()], params)
 
 
 class Seen(dict):
-    """Row number of each word's vector in a growing table."""
-
-    MOST = 300_000
+    """Row number of each word's vector in a growing table, which starts anew when it is full."""
 
     def __init__(self, model: Model):
         super().__init__()
+        self.most = min(300_000, max(1024, model.params.most_cells // max(1, len(model.langs))))
         self.model = model
         self.table = np.zeros((1024, len(model.langs)), np.float32)
 
@@ -163,7 +171,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     langs.append("und")
                     scores.append(0.0)
                     continue
-                if len(seen) > seen.MOST:
+                if len(seen) > seen.most:
                     seen = Seen(m)
                 rows = np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
                 total = seen.table[rows].sum(axis=0, dtype=np.float64) * m.params.weight
