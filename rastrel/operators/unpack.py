@@ -1,14 +1,20 @@
-"""Fixed-width samples from packed bytes, as column expressions: one row of a raster, or one packet, is one array.
+"""Fixed-width samples from packed bytes, as column expressions.
 
-Rows are explode()d only after the arithmetic, and a row shorter than it must be is an error row, never cut.
+Each layout is a function from a sample's number to its value in an array of bytes. samples() explodes the numbers and
+takes the values in the same generated loop, which is several times faster than higher-order functions over arrays.
+A row shorter than it must be is an error row, never cut.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bits import byte_at, low
+from ..functions.bits import low
+
+Sample = Callable[[Column], Column]
 
 
 def bytes_of(data: str | Column) -> Column:
@@ -17,8 +23,8 @@ def bytes_of(data: str | Column) -> Column:
     return F.transform(hexes, lambda h: F.conv(h, 16, 10).cast("int"))
 
 
-def packed(bytes_: str, n: int, bits: int, order: str = "msb", start: int = 0) -> Column:
-    """n samples of `bits` bits each (24 at most) from an array of bytes.
+def packed(bytes_: str, bits: int, order: str = "msb", start: int = 0) -> Sample:
+    """Samples of `bits` bits each (24 at most).
 
     order: lsb takes low bits first; msb high bits first; msb16 and msb32 the same after swapping the bytes of each word
     of two or four.
@@ -38,7 +44,7 @@ def packed(bytes_: str, n: int, bits: int, order: str = "msb", start: int = 0) -
         whole = four[0] * 16777216 + four[1] * 65536 + four[2] * 256 + four[3]
         return F.call_function("shiftright", whole, (F.lit(32 - bits) - skip).cast("int")).bitwiseAND(low(bits))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), sample)
+    return sample
 
 
 def rows_of(df: DataFrame, data: str, pitch: int, height: int | None = None) -> DataFrame:
@@ -52,48 +58,46 @@ def rows_of(df: DataFrame, data: str, pitch: int, height: int | None = None) ->
     return out.withColumns({"row": F.when(F.col("y") >= 0, row), "error": F.when(F.col("y") < 0, "not enough bytes")}).drop(data)
 
 
-def samples(df: DataFrame, values: Column) -> DataFrame:
-    """df with a row for each sample: x and v."""
-    return df.select(*[c for c in df.columns if c not in ("row", "bytes")], F.posexplode(values).alias("x", "v"))
+def samples(df: DataFrame, value: Sample, n: int, extra: str = "bytes") -> DataFrame:
+    """df without its bytes, with a row for each of n samples: x and v."""
+    kept = [c for c in df.columns if c not in ("row", extra)]
+    rows = df.select(*kept, extra, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("x"))
+    return rows.select(*kept, "x", value(F.col("x")).alias("v"))
 
 
-def with_control(bytes_: str, n: int, big: bool = True) -> Column:
-    """n 12-bit samples, two in three bytes, and a byte to leave out after every ten samples."""
+def with_control(bytes_: str, big: bool = True) -> Sample:
+    """12-bit samples, two in three bytes, and a byte to leave out after every ten samples."""
 
     def sample(k: Column) -> Column:
-        pair = F.floor(k / 2)
-        at = (pair * 3 + F.floor(k / 10)).cast("int")
+        at = (F.floor(k / 2) * 3 + F.floor(k / 10)).cast("int")
         b = [F.get(bytes_, at + i).cast("long") for i in range(3)]
         even, odd = (b[0] * 16 + F.shiftright(b[1], 4), b[1].bitwiseAND(F.lit(15)) * 256 + b[2]) if big else (b[0] + b[1].bitwiseAND(F.lit(15)) * 256, F.shiftright(b[1], 4) + b[2] * 16)
         return F.when(F.pmod(k, F.lit(2)) == 0, even).otherwise(odd)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), sample)
+    return sample
 
 
-def left_aligned(bytes_: str, n: int, big: bool = False) -> Column:
-    """n 12-bit samples in the upper bits of 16."""
+def left_aligned(bytes_: str, big: bool = False) -> Sample:
+    """12-bit samples in the upper bits of 16."""
 
     def sample(k: Column) -> Column:
         a, b = F.get(bytes_, k * 2).cast("long"), F.get(bytes_, k * 2 + 1).cast("long")
         return F.shiftright(a * 256 + b if big else b * 256 + a, 4)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), sample)
+    return sample
 
 
-def packets14(bytes_: str, packets: int, bits: int = 14) -> Column:
-    """Packets of 16 bytes, each with as many samples as fit, low bits first."""
-    per = 128 // bits
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(packets - 1)), lambda p: packed_slice(bytes_, p, per, bits)))
+def field(bytes_: str, packet: Column, at: Column, bits: int) -> Column:
+    """`bits` bits (17 at most) of a packet of 16 bytes, counted from its lowest one."""
+    b, skip = (packet * 16 + F.floor(at / 8)).cast("int"), F.pmod(at, F.lit(8)).cast("int")
+    whole = sum((F.coalesce(F.get(bytes_, b + i), F.lit(0)).cast("long") * (1 << 8 * i) for i in range(3)), F.lit(0).cast("long"))
+    return F.call_function("shiftright", whole, skip).bitwiseAND(low(bits))
 
 
-def packed_slice(bytes_: str, packet: Column, per: int, bits: int) -> Column:
-    def sample(k: Column) -> Column:
-        first = k * bits
-        b, skip = (packet * 16 + F.floor(first / 8)).cast("int"), F.pmod(first, F.lit(8)).cast("int")
-        whole = sum((F.coalesce(F.get(bytes_, b + i), F.lit(0)).cast("long") * (1 << 8 * i) for i in range(3)), F.lit(0).cast("long"))
-        return F.call_function("shiftright", whole, skip).bitwiseAND(low(bits))
-
-    return F.transform(F.sequence(F.lit(0), F.lit(per - 1)), sample)
+def packets(bytes_: str, bits: int = 14) -> Sample:
+    """Packets of 16 bytes, each with as many samples as fit, low bits first."""
+    per = 128 // bits
+    return lambda k: field(bytes_, F.floor(k / per), F.pmod(k, F.lit(per)) * bits, bits)
 
 
 def halves_swapped(data: str | Column, block: int, split: int) -> Column:
@@ -104,27 +108,24 @@ def halves_swapped(data: str | Column, block: int, split: int) -> Column:
     return F.when(F.length(data) == 0, F.unhex(F.lit(""))).otherwise(F.unhex(F.array_join(turned, "")))
 
 
-def extremes_and_deltas(bytes_: str, packets: int) -> Column:
-    """Packets of 16 bytes, each 16 samples: greatest, least, their places, and 7-bit steps above the least, scaled to fit; 11 bits, doubled."""
-
-    def bits(p: Column, at: Column, n: int) -> Column:
-        b, skip = (p * 16 + F.floor(at / 8)).cast("int"), F.pmod(at, F.lit(8)).cast("int")
-        whole = sum((F.coalesce(F.get(bytes_, b + i), F.lit(0)).cast("long") * (1 << 8 * i) for i in range(3)), F.lit(0).cast("long"))
-        return F.call_function("shiftright", whole, skip).bitwiseAND(low(n))
-
-    def packet(p: Column) -> Column:
-        head = F.struct(*[bits(p, F.lit(at), n).alias(name) for name, at, n in (("hi", 0, 11), ("lo", 11, 11), ("ihi", 22, 4), ("ilo", 26, 4))])
-        span = head["hi"] - head["lo"]
-        shift = sum(((F.lit(0x80 << s) <= span).cast("int") for s in range(4)), F.lit(0))
-
-        def sample(k: Column) -> Column:
-            before = (head["ihi"] < k).cast("int") + ((head["ilo"] < k) & (head["ilo"] != head["ihi"])).cast("int")
-            step = F.call_function("shiftleft", bits(p, F.lit(30) + (k - before) * 7, 7), shift.cast("int"))
-            return F.when(k == head["ihi"], head["hi"]).when(k == head["ilo"], head["lo"]).otherwise(F.least(F.lit(0x7FF), step + head["lo"])) * 2
+def extremes_and_deltas(df: DataFrame, packets: int, bytes_: str = "bytes") -> DataFrame:
+    """df without its bytes, with a row for each sample (x, v) of packets of 16 bytes, each 16 samples: greatest, least, their places, and 7-bit steps above the least, scaled to fit; 11 bits, doubled.
 
-        return F.transform(F.sequence(F.lit(0), F.lit(15)), sample)
-
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(packets - 1)), packet))
+    The fields of a packet are columns before its samples are rows, so each is read once and the generated code stays small.
+    """
+    kept = [c for c in df.columns if c not in ("row", bytes_)]
+    packet = df.select(*kept, bytes_, F.explode(F.sequence(F.lit(0), F.lit(packets - 1))).alias("p"))
+    head = {n: field(bytes_, F.col("p"), F.lit(at), w) for n, at, w in (("hi", 0, 11), ("lo", 11, 11), ("ihi", 22, 4), ("ilo", 26, 4))}
+    span = F.col("hi") - F.col("lo")
+    shift = sum(((F.lit(0x80 << s) <= span).cast("int") for s in range(4)), F.lit(0))
+    # not unrolled: a generated method of that size would not be compiled to machine code
+    steps = F.transform(F.sequence(F.lit(0), F.lit(14)), lambda i: field(bytes_, F.col("p"), i * 7 + 30, 7))
+    packet = packet.withColumns(head).select(*kept, "p", "hi", "lo", "ihi", "ilo", shift.alias("shift"), steps.alias("steps"))
+    packet = packet.select("*", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("k"))  # a select of its own: beside explode() all else would be computed for each sample
+    before = (F.col("ihi") < F.col("k")).cast("int") + ((F.col("ilo") < F.col("k")) & (F.col("ilo") != F.col("ihi"))).cast("int")
+    step = F.call_function("shiftleft", F.coalesce(F.get("steps", F.col("k") - before), F.lit(0)).cast("long"), F.col("shift").cast("int"))
+    v = F.when(F.col("k") == F.col("ihi"), F.col("hi")).when(F.col("k") == F.col("ilo"), F.col("lo")).otherwise(F.least(F.lit(0x7FF), step + F.col("lo"))) * 2
+    return packet.select(*kept, (F.col("p") * 16 + F.col("k")).alias("x"), v.alias("v"))
 
 
 def interleaved(y: Column, height: int) -> Column:
@@ -132,5 +133,3 @@ def interleaved(y: Column, height: int) -> Column:
     even = (height + 1) // 2
     return F.when(y < even, y * 2).otherwise((y - even) * 2 + 1)
 
-
-__all__ = ["byte_at", "bytes_of", "extremes_and_deltas", "halves_swapped", "interleaved", "left_aligned", "packed", "packets14", "rows_of", "samples", "with_control"]

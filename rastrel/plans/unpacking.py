@@ -30,7 +30,7 @@ def _unpack_sql(n, bits, order):
 
 def _unpack(n, bits, order):
     def run(spark, sf_dir):
-        return U.samples(rows(spark, sf_dir), U.packed("bytes", n, bits, order)).select("doc_id", "y", "x", "v")
+        return U.samples(rows(spark, sf_dir), U.packed("bytes", bits, order), n).select("doc_id", "y", "x", "v")
 
     run.__name__ = f"cdc01_unpack_{bits}_bits_{order}"
     return query(_unpack_sql(n, bits, order))(run)
@@ -45,18 +45,18 @@ def cdc03_bytes_by_table(spark, sf_dir):
     from ..operators.pixels import table_column
 
     squares = table_column([i * i for i in range(256)])
-    return U.samples(rows(spark, sf_dir), F.transform("bytes", lambda b: F.get(squares, b))).select("doc_id", "y", "x", "v")
+    return U.samples(rows(spark, sf_dir), lambda k: F.get(squares, F.get("bytes", k)), 48).select("doc_id", "y", "x", "v")
 
 
 @query(f"""{BYTES}, s AS (SELECT *, x // 2 * 3 + x // 10 AS o FROM l, (SELECT unnest(range(0, 30)) AS x))
 SELECT doc_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(CASE WHEN x % 2 = 0 THEN b[o + 1] * 16 + (b[o + 2] >> 4) ELSE (b[o + 2] & 15) * 256 + b[o + 3] END AS BIGINT) AS v FROM s""")
 def cdc04_control_bytes(spark, sf_dir):
-    return U.samples(rows(spark, sf_dir), U.with_control("bytes", 30)).select("doc_id", "y", "x", "v")
+    return U.samples(rows(spark, sf_dir), U.with_control("bytes"), 30).select("doc_id", "y", "x", "v")
 
 
 @query(f"{BYTES} SELECT doc_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST((b[x * 2 + 2] * 256 + b[x * 2 + 1]) >> 4 AS BIGINT) AS v FROM l, (SELECT unnest(range(0, 24)) AS x)")
 def cdc05_left_aligned(spark, sf_dir):
-    return U.samples(rows(spark, sf_dir), U.left_aligned("bytes", 24)).select("doc_id", "y", "x", "v")
+    return U.samples(rows(spark, sf_dir), U.left_aligned("bytes"), 24).select("doc_id", "y", "x", "v")
 
 
 def _packets_sql(bits):
@@ -67,12 +67,12 @@ def _packets_sql(bits):
 
 @query(_packets_sql(14))
 def cdc15_packets_of_nine(spark, sf_dir):
-    return U.samples(rows(spark, sf_dir), U.packets14("bytes", 3, 14)).select("doc_id", "y", "x", "v")
+    return U.samples(rows(spark, sf_dir), U.packets("bytes", 14), 27).select("doc_id", "y", "x", "v")
 
 
 @query(_packets_sql(12))
 def cdc13_packets_of_ten(spark, sf_dir):
-    return U.samples(rows(spark, sf_dir), U.packets14("bytes", 3, 12)).select("doc_id", "y", "x", "v")
+    return U.samples(rows(spark, sf_dir), U.packets("bytes", 12), 30).select("doc_id", "y", "x", "v")
 
 
 @query("""WITH d AS (SELECT doc_id, encode(left(text, 64)) AS raw FROM documents WHERE strlen(left(text, 64)) >= 40) SELECT doc_id, lower(hex(raw[28:40] || raw[1:27])) AS turned FROM (SELECT doc_id, raw[1:40] AS raw FROM d)""")
@@ -90,7 +90,7 @@ def _bits_sql(at, n):
 s AS (SELECT *, (128 <= hi - lo)::INT + (256 <= hi - lo)::INT + (512 <= hi - lo)::INT + (1024 <= hi - lo)::INT AS sh, k - (ihi < k)::INT - (ilo < k AND ilo <> ihi)::INT AS j FROM h, (SELECT CAST(unnest(range(0, 16)) AS INTEGER) AS k))
 SELECT doc_id, CAST(y AS INTEGER) AS y, CAST(p * 16 + k AS INTEGER) AS x, CAST(2 * CASE WHEN k = ihi THEN hi WHEN k = ilo THEN lo ELSE least(2047, ({_bits_sql('30 + j * 7', 7)} << sh) + lo) END AS BIGINT) AS v FROM s""")
 def cdc20_extremes_and_deltas(spark, sf_dir):
-    return U.samples(rows(spark, sf_dir), U.extremes_and_deltas("bytes", 3)).select("doc_id", "y", "x", "v")
+    return U.extremes_and_deltas(rows(spark, sf_dir), 3).select("doc_id", "y", "x", "v")
 
 
 @query(f"WITH {X.plane_sql()} SELECT image_id, x, CASE WHEN y < 10 THEN y * 2 ELSE (y - 10) * 2 + 1 END AS y, v FROM plane")
