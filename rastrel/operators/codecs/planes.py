@@ -8,7 +8,7 @@ import numpy as np
 
 from .bits import CodecError
 
-#: Steps of a row's byte differences, by predictor number.
+#: Steps of a row's byte differences, by predictor number.
 STEPS = {3: 1, 34894: 2, 34895: 4}
 
 

@@ -63,7 +63,7 @@ def _bad(df: DataFrame, op: Opcode) -> DataFrame:
     return df.withColumn("bad", old | mark)
 
 
-#: code -> (name, transform); None: known, but not applied.
+#: Code -> (name, transform); None: known, but not applied.
 REGISTRY: dict[int, tuple[str, Callable[[DataFrame, Opcode], DataFrame] | None]] = {
     1: ("WarpRectilinear", None),
     2: ("WarpFisheye", None),

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Kinds of values: number -> name and bytes.
+#: Kinds of values, number -> name and bytes.
 KINDS = {0: ("NONE", 0), 1: ("BYTE", 1), 2: ("ASCII", 1), 3: ("SHORT", 2), 4: ("LONG", 4), 5: ("RATIONAL", 8), 6: ("SBYTE", 1), 7: ("UNDEFINED", 1), 8: ("SSHORT", 2), 9: ("SLONG", 4), 10: ("SRATIONAL", 8), 11: ("FLOAT", 4), 12: ("DOUBLE", 8), 13: ("OFFSET", 4)}
 INTEGERS, FLOATS, RATIONALS, STRINGS = (1, 3, 4, 6, 8, 9, 13), (11, 12), (5, 10), (2,)
 
@@ -76,7 +76,7 @@ def has_too_many_errors(errors: DataFrame, most: int) -> DataFrame:
     return errors.groupBy("file_id").agg(F.count("*").alias("n"), F.min_by("message", "ord").alias("first")).filter(F.col("n") >= most)
 
 
-#: Makers by decoder, in the order that they are tried after the formats that are known by other marks.
+#: Makers by decoder, in the order that they are tried after the formats that are known by other marks.
 MAKERS = {
     "CR2": ("Canon",), "NEF": ("NIKON CORPORATION", "NIKON"), "ORF": ("OLYMPUS IMAGING CORP.", "OLYMPUS CORPORATION", "OLYMPUS OPTICAL CO.,LTD", "OM Digital Solutions"),
     "ARW": ("SONY",), "PEF": ("PENTAX Corporation", "RICOH IMAGING COMPANY, LTD.", "PENTAX"), "RW2": ("Panasonic", "LEICA", "LEICA CAMERA AG"), "SRW": ("SAMSUNG",), "MEF": ("Mamiya-OP Co.,Ltd.",),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import pixels
 from .codecs import decoded
 
-#: Compression numbers of tiles: codec and how it is called.
+#: Compression numbers of tiles, codec and how it is called.
 COMPRESSIONS = {1: "uncompressed", 7: "prefix_frames", 8: "float_planes"}
 
 

@@ -208,6 +208,7 @@ def ciff(data: bytes, kept: tuple[int, ...] | None = CIFF_KEPT) -> Directory:
     return directory(data[number(data, 2, 4, False) :], 0)
 
 
+#: Tags of the short list.
 FUJI_SHORTS, FUJI_OFFSETS, FUJI_COUNTS = (0x100, 0x110, 0x111, 0x2FF0), 0xF007, 0xF008
 
 
