@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import texts
 
+#: Values of a hash of ids, for sampling.
+HASHES = 1 << 40
+
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -115,9 +118,14 @@ def held_out(id_col: str = "doc_id", folds: int = 3, fold: int = 1):
 def fit(docs: DataFrame, params: Params = Params()) -> Model:
     """Word counts of the sample, by language; sampling ranks ids only, so no task holds a language's texts."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).filter("doc_id IS NOT NULL AND lang IS NOT NULL").filter(~held_out())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= params.sample).select("doc_id", "lang").distinct()
-    ids = ids.limit(params.sample * params.most_langs)
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(params.most_langs).collect()
+    # of each language a share of the hash range that holds the sample and a margin; only that is ranked
+    wanted = params.sample + 8 * math.isqrt(params.sample)
+    cuts = [(r.lang, min(1.0, wanted / r["count"]) * HASHES) for r in sizes]
+    shares = docs.sparkSession.createDataFrame(cuts, "lang string, cut double")
+    some = rows.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(HASHES)) < F.col("cut"))
+    order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(HASHES)), "doc_id")
+    ids = some.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= params.sample).select("doc_id", "lang")
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     chosen = read.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text")
 
@@ -132,8 +140,7 @@ def fit(docs: DataFrame, params: Params = Params()) -> Model:
 
     counts = chosen.mapInArrow(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    n_langs = max(1, ids.select("lang").distinct().count())
-    most = min(params.most_words, params.most_cells // n_langs**2)
+    most = min(params.most_words, params.most_cells // max(1, len(sizes)) ** 2)
     known = counts.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= most).select("lang", "word", "n")
     return build([tuple(r) for r in known.collect()], params)
 
