@@ -33,7 +33,7 @@ def pix07_scale_f32(spark, sf_dir):
     return X.plane_f32(spark, sf_dir).withColumn("v", F.round(v.cast("double"), 2))
 
 
-@query(f"{PLANE} SELECT image_id, min(v) AS black, max(v) AS white FROM plane WHERE y >= 3 AND y < 17 AND x >= 6 AND x < 47 GROUP BY image_id")
+@query(f"{PLANE} SELECT image_id, min(v) AS black, max(v) AS white FROM plane WHERE y >= 3 AND y < 17 AND x >= 6 AND x < 50 GROUP BY image_id")
 def pix08_estimate_levels(spark, sf_dir):
     return P.estimated_levels(plane(spark, sf_dir), X.WIDTH, X.HEIGHT, 3)
 
