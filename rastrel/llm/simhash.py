@@ -216,38 +216,135 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     return prints.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-#: Of the wide fingerprints: words of a shingle, the bits that may differ of 128, and the least ratio of two texts' numbers of shingles.
+#: Of the wide fingerprints: words of a shingle, the bits that may differ of 128, and the least Jaccard similarity, which is also the least ratio of two texts' numbers of distinct shingles.
 WIDE_SHINGLE, WIDE_RADIUS, WIDE_RATIO = 5, 26, 0.8
-#: Tiles of a band of like lengths, at least, and rows of a tile, at most, before there are more.
-BAND_TILES, BAND_TILE_ROWS = 6, 1 << 18
+#: Tiles of a band of like lengths, at least, and rows of a tile, at most, before there are more; rows of a tile in the verification.
+BAND_TILES, BAND_TILE_ROWS, VERIFIED_TILE = 6, 1 << 18, 512
+#: What tells texts of different shingle sets apart.
+CLASS = ["hi", "lo", "n", "sig"]
+
+
+def wide_digests(text: bytes, shingle: int = WIDE_SHINGLE) -> list[bytes]:
+    """The set of shingles as ascending 128-bit digests."""
+    from xxhash import xxh3_128_digest
+
+    return sorted(map(xxh3_128_digest, set(grams(text, shingle))))
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame:
-    """(doc_id, hi, lo, n): 128-bit fingerprints and the number of shingles."""
+    """(doc_id, hi, lo, n, sig): 128-bit fingerprints of the distinct shingles, their number, and a hash of the whole set."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest
+        from xxhash import xxh3_64_intdigest
 
         for b in batches:
-            fps, n = [], []
+            fps, n, sigs = [], [], []
             for x in b.column(1).cast(pa.binary()):
-                own = grams(x.as_py(), shingle)
-                fps.append(votes(b"".join(map(xxh3_128_digest, own)), 16))
+                own = wide_digests(x.as_py(), shingle)
+                joined = b"".join(own)
+                fps.append(votes(joined, 16))
                 n.append(len(own))
+                sigs.append(xxh3_64_intdigest(joined))
             both = np.frombuffer(b"".join(fps), ">i8").astype(np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(n, pa.int64())], names=["doc_id", "hi", "lo", "n"])
+            sig = np.array(sigs, np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(n, pa.int64()), pa.array(sig)], names=["doc_id", *CLASS])
+
+    return texts(docs).mapInArrow(hashed, "doc_id long, hi long, lo long, n long, sig long")
+
+
+def similar(fps: np.ndarray, sets: list[bytes], radius: int, ratio: float) -> list[tuple[int, int]]:
+    """Index pairs within the radius and of at least that Jaccard similarity that connect all that such pairs connect; what is connected already is not compared."""
+    n = np.array([len(x) // 8 for x in sets])
+    label, kept, seen = np.arange(len(sets)), [], {}
+
+    def shingles(k: int) -> set[int]:
+        if k not in seen:
+            seen[k] = set(np.frombuffer(sets[k], np.int64).tolist())
+        return seen[k]
+
+    for r in range(len(sets) - 1):
+        near = np.bitwise_count(fps[r + 1 :] ^ fps[r]).sum(axis=1, dtype=np.int64) <= radius
+        near &= np.minimum(n[r + 1 :], n[r]) / np.maximum(np.maximum(n[r + 1 :], n[r]), 1) >= ratio
+        near &= label[r + 1 :] != label[r]
+        for c in (np.flatnonzero(near) + r + 1).tolist():
+            if label[c] == label[r]:
+                continue
+            common = len(shingles(r) & shingles(c))
+            if common / max(1, n[r] + n[c] - common) >= ratio:
+                label[label == label[c]] = label[r]
+                kept.append((r, c))
+    return kept
+
+
+def verified(batches: Iterator[pa.RecordBatch], radius: int, ratio: float, keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Links by similar() within each run of equal keys; rows come sorted by these."""
+    rest = None
+
+    def links(t: pa.Table) -> pa.RecordBatch:
+        key, ids = np.stack([t.column(c).to_numpy() for c in keys]), t.column("id").to_numpy()
+        fps = np.stack([t.column(c).to_numpy().view(np.uint64) for c in ("hi", "lo")], axis=1)
+        bounds = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [len(ids)]]).tolist()
+        pairs = [(a + x, a + y) for a, b in zip(bounds, bounds[1:], strict=False) for x, y in similar(fps[a:b], t.column("shingles").slice(a, b - a).to_pylist(), radius, ratio)]
+        found = ids[np.array(pairs, np.int64).reshape(-1, 2)]
+        return pa.RecordBatch.from_arrays([pa.array(found.min(axis=1)), pa.array(found.max(axis=1))], names=["a", "b"])
+
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([rest, t]) if rest is not None else t
+        if not len(t):
+            continue
+        key = np.stack([t.column(c).to_numpy() for c in keys])
+        other = np.flatnonzero((key != key[:, -1:]).any(axis=0))
+        first = int(other[-1]) + 1 if len(other) else 0  # the last run may go on in the next batch
+        rest = t.slice(first).combine_chunks()
+        if first:
+            yield links(t.slice(0, first))
+    if rest is not None and len(rest):
+        yield links(rest)
+
 
-    return texts(docs).mapInArrow(hashed, "doc_id long, hi long, lo long, n long")
+def verified_links(docs: DataFrame, distinct: DataFrame, candidates: DataFrame, radius: int, ratio: float, tile: int) -> DataFrame:
+    """(a, b): of the links within the radius those whose sets of shingles are similar, as far as needed to connect what these connect.
 
+    distinct: (id, hi, lo, n, sig). Candidate links only say which texts may meet: the sets of their components' members
+    are compared, each with all others in tiles, so that no link hangs on the choice of the candidates' forests.
+    """
+    rows = distinct.join(components(candidates), "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component")
+    rows = materialize(rows, "groups")
+    sizes = rows.groupBy("group").count().filter("count > 1").select("group", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
+    rows = rows.join(sizes, "group")
+    rows = texts(docs).join(rows, F.col("doc_id") == F.col("id")).select("text", "id", *CLASS, "group", "tiles")
 
-def near_copies(docs: DataFrame, radius: int = WIDE_RADIUS, ratio: float = WIDE_RATIO) -> DataFrame:
-    """(doc_id, component_id) by 128-bit fingerprints of five-word shingles; the radius is what a Jaccard similarity of 0.8 makes of them, and a margin.
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
 
-    A radius this wide has no useful blocks: all fingerprints are compared, in tiles. Only those whose numbers of shingles
-    lie within the ratio can be that similar, so bands of such numbers meet their own and the next one only.
+        for b in batches:
+            sets, own = [], []
+            for k, (x, sig) in enumerate(zip(b.column(0).cast(pa.binary()), b.column(5).to_pylist(), strict=True)):
+                digests = wide_digests(x.as_py())
+                if signed(xxh3_64_intdigest(b"".join(digests))) == sig:  # else another text of a repeated id
+                    own.append(k)
+                    sets.append(b"".join([d[:8] for d in digests]))
+            kept = b.take(pa.array(own, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns[1:], pa.array(sets, pa.binary())], names=[*kept.schema.names[1:], "shingles"])
+
+    rows = rows.mapInArrow(shingled, "id long, hi long, lo long, n long, sig long, `group` long, tiles int, shingles binary")
+    keys = ["group", "i", "j"]
+    rows = dealt(rows, F.pmod(F.xxhash64("sig"), "tiles").cast("int"), F.col("tiles"))
+    rows = rows.select("id", "hi", "lo", "shingles", *keys).repartition(*keys).sortWithinPartitions(*keys)
+    return rows.mapInArrow(lambda it: verified(it, radius, ratio, keys), "a long, b long").distinct()
+
+
+def near_copies(docs: DataFrame, radius: int = WIDE_RADIUS, ratio: float = WIDE_RATIO, tile: int = VERIFIED_TILE) -> DataFrame:
+    """(doc_id, component_id) by sets of five-word shingles: components of links within the radius of 128-bit fingerprints and of at least `ratio` Jaccard similarity.
+
+    The radius is what a similarity of 0.8 makes of the fingerprints, and a margin. It links less similar texts too, so its
+    links are candidates. A radius this wide has no useful blocks: all fingerprints are compared, in tiles. Only those whose
+    numbers of distinct shingles lie within the ratio can be that similar, so bands of such numbers meet their own and the
+    next one only.
     """
     prints = materialize(wide_fingerprints(docs), "fingerprints")
-    distinct = materialize(prints.filter("doc_id IS NOT NULL").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("id")), "distinct")
+    distinct = materialize(prints.filter("doc_id IS NOT NULL").groupBy(*CLASS).agg(F.min("doc_id").alias("id")), "distinct")
     band = F.floor(F.log(F.greatest("n", F.lit(1))) / F.log(F.lit(1 / ratio))).cast("int")
     rows = distinct.select("id", "hi", "lo", (F.bit_count("hi") + F.bit_count("lo")).alias("pop"), F.explode(F.array(band, band - 1)).alias("band"))
     tiles = rows.groupBy("band").agg(F.greatest(F.lit(BAND_TILES), F.ceil(F.count("*") / BAND_TILE_ROWS).cast("int")).alias("tiles"))  # a few dozen bands
@@ -255,6 +352,6 @@ def near_copies(docs: DataFrame, radius: int = WIDE_RADIUS, ratio: float = WIDE_
     keys = ["band", "i", "j"]
     rows = rows.select("id", "hi", "lo", "pop", *keys).repartition(*keys).sortWithinPartitions(*keys, "pop")
     links = rows.mapInArrow(lambda it: linked(it, radius, keys, ["hi", "lo"]), "a long, b long").distinct()
-    named = components(links)
-    classes = materialize(distinct.join(named, "id", "left").select("hi", "lo", "n", F.coalesce("component", "id").alias("component_id")), "classes")
-    return prints.join(classes, ["hi", "lo", "n"], "left").select("doc_id", "component_id")
+    named = components(verified_links(docs, distinct, links, radius, ratio, tile))
+    classes = materialize(distinct.join(named, "id", "left").select(*CLASS, F.coalesce("component", "id").alias("component_id")), "classes")
+    return prints.join(classes, CLASS, "left").select("doc_id", "component_id")

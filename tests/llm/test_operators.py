@@ -339,6 +339,43 @@ def test_near_copies_of_five_word_shingles(spark, rows, docs):
     assert all(got[i] == i for i in range(60))
 
 
+def jaccard_components(sets):
+    """The least key of each key's component over links of Jaccard similarity 0.8."""
+    name = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and name[a] != name[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((name[a], name[b]))
+                name = {i: low if x == high else x for i, x in name.items()}
+    return name
+
+
+@pytest.mark.parametrize("tile", [3, 512])
+def test_near_copies_are_similar_and_not_only_near(spark, tile):
+    r = random.Random(4)
+    base = [f"b{k}" for k in range(300)]
+    cases = []
+    for i in range(40):  # two of these share a part, and fall below the similarity of 0.8 from each other
+        w = list(base)
+        for k in r.sample(range(300), 10):
+            w[k] = f"c{i}x{k}"
+        cases.append((i, " ".join(w)))
+    for i in range(4):  # close to one of them
+        w = cases[i][1].split()
+        w[7] = "d"
+        cases.append((50 + i, " ".join(w)))
+    cases += [(60 + i, "x " * 200 + " ".join(f"e{i}y{k}" for k in range(20))) for i in range(3)]  # one shingle outvotes the others, which differ
+    cases += [(70, "a b c d e f " * 10), (71, "a b c d e f " * 30)]  # the same set
+    sets = {}
+    for i, t in cases:
+        w = t.split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    want = jaccard_components(sets)
+    assert want[50] == 0 and want[39] == 39 and want[62] == 62 and want[71] == 70
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(spark.createDataFrame(cases, "doc_id long, text string"), tile=tile).collect()}
+    assert got == want
+
+
 # 9
 
 
