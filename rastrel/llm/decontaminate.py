@@ -8,7 +8,10 @@ stretch of `span` words (the whole item, if shorter) must agree in at least `lea
 The benchmark's windows are broadcast in blocks of at most BLOCK rows, each of which passes over all documents; hits carry
 the stretch of the document that lies against the item, so documents are never shuffled.
 
-Defined results: null or empty texts, items of fewer words than the shortest mask, and empty tables match nothing; equal
+An item's masks depend on its number of words; those of four words or fewer have to agree as a whole. Only the masks of
+lengths that the benchmark has are looked up.
+
+Defined results: null or empty texts and empty tables match nothing; equal
 items are matched once and each is reported; repeated rows are reported once for each id; null ids are kept as such;
 columns other than the ids and texts are not read.
 """
@@ -20,8 +23,26 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: 1: the position counts. Each has eight such, so five of twelve words may differ in places that suit one of them.
-MASKS = ("11111111", "111100001111", "110110010111", "1011011101001001")
+#: By words of an item, the last for all longer ones; 1: the position counts. Whatever SPAN and LEAST let differ, some mask
+#: fits where all words agree: all choices of one word of 5 to 9, two of 10 to 14 and three of 15 were tried. Of 16 words
+#: with three that differ 15 are such a stretch, and words beyond a document's edges count as different.
+MASKS = {
+    1: ("1",),
+    2: ("11",),
+    3: ("111",),
+    4: ("1111",),
+    5: ("1111", "11011", "11101", "10111"),
+    6: ("11111", "101111", "111101", "110111", "111011"),
+    7: ("110111", "1011101", "111101"),
+    8: ("1110111", "10111101", "11011011"),
+    9: ("10111111", "111101101", "111010111", "11111101"),
+    10: ("1110111", "11011011", "111111", "1110000111", "1101001011"),
+    11: ("1110111", "110100111", "1111101", "11000111001"),
+    12: ("11101111", "1111010011", "11010011011", "110011111", "110110101001"),
+    13: ("11110111", "1110010111", "1100101001011"),
+    14: ("1110110111", "11001111011", "111101000111", "1101011010101"),
+    15: ("11011111", "111100001011", "11010100111", "11100010100011", "101001001111"),
+}
 SPAN, LEAST = 16, 0.8
 BLOCK = 1_000_000
 
@@ -36,27 +57,35 @@ def hashed(df: DataFrame, text: str, *keep: Column) -> DataFrame:
     return df.select(*[c for c in df.columns if c != "_w"], F.transform("_w", lambda w: F.xxhash64(w)).alias("h"))
 
 
-def windows(df: DataFrame, masks: tuple[str, ...] = MASKS) -> DataFrame:
-    """df with a row for each mask and place where it fits: at (0-based) and key, the hash of the words that count."""
-    n = F.size("h")
-    shortest = min(map(len, masks))
+def windows(df: DataFrame, lengths: list[int], items: bool = False, masks: dict[int, tuple[str, ...]] = MASKS) -> DataFrame:
+    """df with a row for each mask and place where it fits: at (0-based) and key, the hash of the words that count.
+
+    The masks are those of the items' lengths, as in masks; items have only those of their own.
+    """
+    n, longest = F.size("h"), max(masks)
+    used = sorted({m for k in lengths for m in masks[k]}, key=lambda m: (len(m), m))
+    shortest = len(used[0])
     df = df.filter(n >= shortest).select("*", F.explode(F.sequence(F.lit(0), n - shortest)).alias("at"))
 
     def key(k: int, mask: str) -> Column:
         parts = [F.get("h", F.col("at") + i) for i, c in enumerate(mask) if c == "1"]
-        return F.when(F.col("at") + len(mask) <= n, F.xxhash64(*parts, F.lit(k)))
+        fits = F.col("at") + len(mask) <= n
+        if items:
+            fits &= F.least(n, F.lit(longest)).isin([x for x in lengths if mask in masks[x]])
+        return F.when(fits, F.xxhash64(*parts, F.lit(k)))
 
-    return df.select("*", F.explode(F.array(*[key(k, m) for k, m in enumerate(masks)])).alias("key")).filter("key IS NOT NULL")
+    return df.select("*", F.explode(F.array(*[key(k, m) for k, m in enumerate(used)])).alias("key")).filter("key IS NOT NULL")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, span: int = SPAN, least: float = LEAST, block: int = BLOCK) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, masks: dict[int, tuple[str, ...]] = MASKS, span: int = SPAN, least: float = LEAST, block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id, best, matched, n_words): best words that agree in one stretch, all that agree along the best diagonal, words of the item."""
     items = hashed(benchmark, "text", F.col("item_id"))
     distinct = items.groupBy("h").agg(F.min("item_id").alias("class")).select("class", "h", F.xxhash64("h").alias("item"))  # equal items once
-    seeds = windows(distinct, masks).select("key", "item", F.col("at").alias("item_at"), F.size("h").alias("item_n"))
+    lengths = [r.n for r in distinct.filter(F.size("h") > 0).select(F.least(F.size("h"), F.lit(max(masks))).alias("n")).distinct().collect()] or [max(masks)]  # at most one for each of masks
+    seeds = windows(distinct, lengths, True, masks).select("key", "item", F.col("at").alias("item_at"), F.size("h").alias("item_n"))
     seeds = seeds.groupBy("key", "item").agg(F.min("item_at").alias("item_at"), F.first("item_n").alias("item_n"))  # an item that repeats itself hits once a place
     blocks = max(1, -(-seeds.count() // block))
-    train = windows(hashed(docs, "text", F.col("doc_id").cast("long").alias("doc_id")), masks)
+    train = windows(hashed(docs, "text", F.col("doc_id").cast("long").alias("doc_id")), lengths, False, masks)
     parts = []
     for k in range(blocks):
         own = seeds if blocks == 1 else seeds.filter(F.pmod("key", F.lit(blocks)) == k)

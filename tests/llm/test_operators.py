@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +54,37 @@ def test_decontaminate_masks_tolerate_spread_substitutions(spark):
     assert decontaminate.overlaps(df, bench).count() == 40
 
 
+def allowed(n):
+    """Of the stretch that an item of n words is verified by: its words, and how many of them may differ."""
+    width = min(decontaminate.SPAN, n)
+    return width, width - -(-width * 4 // 5)
+
+
+def test_decontaminate_masks_hit_whatever_the_verification_accepts():
+    for n in range(1, 20):
+        width, most = allowed(n)
+        for other in combinations(range(width), most):
+            same = set(range(width)) - set(other)
+            places = [{i + k for k, c in enumerate(m) if c == "1"} for m in decontaminate.MASKS[min(n, max(decontaminate.MASKS))] for i in range(width - len(m) + 1)]
+            assert any(p <= same for p in places), (n, other)
+
+
+def test_decontaminate_finds_items_of_any_length(spark):
+    items, texts = [], []
+    for n in [1, 2, 4, 5, 8, 9, 10, 11, 14, 15, 16, 18]:
+        w = [f"i{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(w)))
+        width, most = allowed(n)
+        for other in combinations(range(width), most):
+            texts.append((len(texts), n, "before it " + " ".join("x" if k in other or k >= width else v for k, v in enumerate(w)) + " and after"))
+        texts.append((len(texts), 0, "before it " + " ".join("x" if k <= most else v for k, v in enumerate(w[:width])) + " and after"))  # one too many
+        if most:
+            texts.append((len(texts), n, " ".join(w[most:width])))  # cut at the document's edges
+    df, bench = spark.createDataFrame(texts, "doc_id long, n long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.overlaps(df, bench).collect()}
+    assert got == {(i, n) for i, n, _ in texts if n}
+
+
 # 2
 
 
