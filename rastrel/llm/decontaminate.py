@@ -83,7 +83,6 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: dict[int, tuple[str,
     distinct = items.groupBy("h").agg(F.min("item_id").alias("class")).select("class", "h", F.xxhash64("h").alias("item"))  # equal items once
     lengths = [r.n for r in distinct.filter(F.size("h") > 0).select(F.least(F.size("h"), F.lit(max(masks))).alias("n")).distinct().collect()] or [max(masks)]  # at most one for each of masks
     seeds = windows(distinct, lengths, True, masks).select("key", "item", F.col("at").alias("item_at"), F.size("h").alias("item_n"))
-    seeds = seeds.groupBy("key", "item").agg(F.min("item_at").alias("item_at"), F.first("item_n").alias("item_n"))  # an item that repeats itself hits once a place
     blocks = max(1, -(-seeds.count() // block))
     train = windows(hashed(docs, "text", F.col("doc_id").cast("long").alias("doc_id")), lengths, False, masks)
     parts = []

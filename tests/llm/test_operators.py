@@ -85,6 +85,17 @@ def test_decontaminate_finds_items_of_any_length(spark):
     assert got == {(i, n) for i, n, _ in texts if n}
 
 
+def test_decontaminate_tries_every_place_of_a_repeated_passage(spark):
+    passage, tail = [f"p{k}" for k in range(12)], [f"t{k}" for k in range(4)]
+    item = " ".join(passage + [f"m{k}" for k in range(30)] + passage + tail)
+    texts = [(i, " ".join(passage + ["x" if k in other else w for k, w in enumerate(tail)])) for i, other in enumerate(combinations(range(4), 3))]
+    texts.append((100, "word " * 500))
+    items = [(0, item), (1, "word " * 60)]
+    df, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id, x.best) for x in decontaminate.overlaps(df, bench).collect()}
+    assert got == {(i, 0, 13) for i in range(4)} | {(100, 1, 16)}
+
+
 # 2
 
 
