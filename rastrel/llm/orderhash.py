@@ -1,10 +1,10 @@
 """Order MinHash fingerprints, as column expressions inside the row: no shuffle, no Python.
 
 A text's k-mers are runs of `k` words (fewer words: the whole sequence), each numbered by how often it occurred before.
-Their hashes fall into `sketches` bins; each bin keeps its `2` least ones, puts them into text order and hashes the
-pair. Bins are one permutation cut into equal parts, so a text is hashed once and not once a sketch. Signatures agree in
-a bin if both k-mers and their order do, which makes the share of agreeing bins sensitive to edit distance. A bin holds
-36 bits of the hash above 28 bits of the place.
+Their hashes fall into 64 bins; each bin keeps its two least ones, puts them into text order and hashes the pair. Bins are one permutation cut into equal parts, so a text is hashed once and not once a sketch. Signatures agree in
+a bin if both k-mers and their order do, which makes the share of agreeing bins sensitive to edit distance. A k-mer is
+one long, 36 bits of its hash above 28 bits of its place: arrays hold numbers and no structs, and k-mers are numbered
+and chosen in sorted order.
 
 Defined results: a null or empty text, or one of white space alone, has an empty fingerprint, alike (1) to another empty
 one and unlike (0) any other; equal texts have equal fingerprints.
@@ -32,25 +32,26 @@ def with_fingerprint(df: DataFrame, text: str, out: str, k: int = K) -> DataFram
     Each step is a column of its own, so that what later steps use often is computed once.
     """
     kept = [c for c in df.columns if c != out]
-    w, h, g, p, s = (f"_{out}_{c}" for c in "whgps")
+    w, h, g, s = (f"_{out}_{c}" for c in "whgs")
     col = F.col
+    value, place = lambda x: F.shiftright(x, PLACE_BITS), lambda x: x.bitwiseAND(F.lit(PLACE))
+    packed = lambda x, i: x.bitwiseAND(F.lit(~PLACE)).bitwiseOR(i.cast("long").bitwiseAND(F.lit(PLACE)))
 
     def step(df: DataFrame, name: str, value: Column, *drop: str) -> DataFrame:
         return df.select(*[c for c in df.columns if c not in (*drop, name)], value.alias(name))
 
     df = step(df.select(*kept), w, F.array_remove(F.split(F.coalesce(text, F.lit("")), "[ \\t-\\r]+"), ""))
     df = step(df, h, F.transform(w, lambda x: F.xxhash64(x)), w)
-    starts = F.sequence(F.lit(1), F.greatest(F.size(h) - (k - 1), F.lit(1)))
-    df = step(df, g, F.when(F.size(h) > 0, F.transform(starts, lambda i: F.xxhash64(F.slice(h, i, k)))).otherwise(F.array().cast("array<bigint>")), h)
-    # k-mers that come again: sorted by hash and place, numbered within their run, put back into text order
-    df = step(df, p, F.when(F.size(F.array_distinct(g)) < F.size(g), F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
-    df = step(df, s, F.when(col(p).isNotNull(), F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda j: (j == 0) | (F.get(p, j)["h"] != F.get(p, j - 1)["h"]))))
-    run = lambda a, q: F.sequence(a, F.coalesce(F.get(col(s), q + 1), F.size(p)) - 1)
-    numbered = F.transform(s, lambda a, q: F.transform(run(a, q), lambda j: F.struct(F.get(p, j)["i"].alias("i"), F.when(j == a, F.get(p, j)["h"]).otherwise(F.xxhash64(F.get(p, j)["h"], j - a)).alias("g"))))
-    df = step(df, g, F.when(col(s).isNull(), col(g)).otherwise(F.transform(F.sort_array(F.flatten(numbered)), lambda x: x["g"])), p, s)
-    df = step(df, g, F.sort_array(F.transform(g, lambda x, i: x.bitwiseAND(F.lit(~PLACE)).bitwiseOR(i.cast("long").bitwiseAND(F.lit(PLACE))))))
+    starts = F.sequence(F.lit(0), F.greatest(F.size(h) - k, F.lit(0)))
+    gram = lambda i: packed(F.xxhash64(F.slice(h, i + 1, k)), i)
+    df = step(df, g, F.when(F.size(h) > 0, F.sort_array(F.transform(starts, gram))).otherwise(F.array().cast("array<bigint>")), h)
+    # sorted, equal k-mers are runs in text order: the first of a run keeps its hash, the n-th gets that of hash and n
+    df = step(df, s, F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda j: (j == 0) | (value(F.get(g, j)) != value(F.get(g, j - 1)))))
+    run = lambda a, q: F.sequence(a, F.coalesce(F.get(col(s), q + 1), F.size(g)) - 1)
+    nth = lambda x, n: F.when(n == 0, x).otherwise(packed(F.xxhash64(value(x), n), place(x)))
+    numbered = F.flatten(F.transform(s, lambda a, q: F.transform(run(a, q), lambda j: nth(F.get(g, j), j - a))))
+    df = step(df, g, F.when((F.size(g) == 0) | (F.size(s) == F.size(g)), col(g)).otherwise(F.sort_array(numbered)), s)
     df = step(df, g, F.filter(g, lambda x, j: (j < 2) | (bin_of(x) != bin_of(F.get(col(g), j - 2)))))  # the two least of each bin
-    value, place = lambda x: F.shiftright(x, PLACE_BITS), lambda x: x.bitwiseAND(F.lit(PLACE))
 
     def pair(x: Column, j: Column) -> Column:
         y = F.get(col(g), j + 1)

@@ -137,14 +137,15 @@ def brute_order_minhash(spark, text, k=5):
     h = hashes(w)
     grams = [tuple(h[i : i + k]) for i in range(max(1, len(h) - k + 1))]
     g = hashes(grams)
-    seen, numbered = Counter(), []
-    for x in g:
-        numbered.append((x, seen[x]))
-        seen[x] += 1
-    again = [i for i, (_, n) in enumerate(numbered) if n]
-    values = [x for x, _ in numbered]
+    seen, values, again = Counter(), [], []
+    for i, x in enumerate(g):
+        high = x >> 28
+        if seen[high]:
+            again.append((i, high, seen[high]))
+        seen[high] += 1
+        values.append(x)
     if again:
-        df = spark.createDataFrame([(i, *numbered[i]) for i in again], "i int, x long, n int")
+        df = spark.createDataFrame(again, "i int, x long, n int")
         for r in df.select("i", F.xxhash64("x", "n").alias("h")).collect():
             values[r.i] = r.h
     bins = defaultdict(list)
