@@ -1,107 +1,144 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 Each source's documents, in an order that hashing their ids shuffles, form blocks of equal size. Block k of a source of
-weight w is released in slot floor(k / w) and due by slot ceil((k + 1) / w); in each slot the released block with the
-earliest deadline runs. After any number of slots each source has then had its weight of them, within less than one
-block, until a source has no block left: its later slots stay empty and all other blocks keep theirs, so no row is
-dropped. Weights are rounded to `period`-ths; the schedule of one period is made once and repeats.
+share w (its weight over the sum of all) is released in slot floor(k / w) and due by slot ceil((k + 1) / w); in each slot
+the released block with the earliest deadline runs. After any number of slots each source has then had its share of them
+within less than one block. Weights are taken exactly, as fractions: the schedule repeats after as many slots as their
+whole-number form sums up to, and what is made of it is that period, or the blocks at hand if these are fewer. It goes
+to the shared folder in pieces, so the driver holds one piece at most.
+
+The mix holds until a source has no block left (the first of `blocks / w`): its later slots stay empty and all other
+blocks keep theirs, so no row is dropped.
 
 Ranks within a source come from cells of hash ranges: ranks in a cell, plus the rows of the source's cells before. No
-task gets a whole source.
+task gets a whole source. Rows travel as one struct beside the columns that the operator adds.
 
 Defined results: a null source is a source of its own; repeated ids keep all their rows; rows without an id come first
-in their source's order; sources without a given weight get none of the schedule unless no weights are given; an empty table gives
-an empty result.
+in their source's order; sources whose weight is not given, or not above zero, have blocks but no slot (null) and come
+last in the mix; columns named block, slot or place give way to the operator's own in slots() and are kept by mixed(); an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BLOCK, PERIOD, MOST_SOURCES = 64, 4096, 100_000
-CELL_ROWS, MOST_CELL_BITS = 512, 12
+from .common import shared_dir
+
+BLOCK, MOST_SOURCES = 64, 100_000
+CELL_ROWS, MOST_CELL_BITS = 512, 20
+#: Slots of the schedule that the driver holds at once.
+PIECE = 1 << 19
+OWN = ("block", "slot", "place")
 
 
-def rounded(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole shares of period, at least 1 each, by largest remainder."""
-    total = math.fsum(weights.values())
-    free = period - len(weights)
-    exact = {s: w / total * free for s, w in weights.items()}
-    shares = {s: 1 + int(x) for s, x in exact.items()}
-    for s in sorted(weights, key=lambda s: (int(exact[s]) - exact[s], s))[: period - sum(shares.values())]:
-        shares[s] += 1
-    return shares
+def exact_shares(weights: dict[str, int | float | str | Fraction]) -> dict[str, int]:
+    """The weights above zero as the least whole numbers of the same proportions. A float counts as the decimal number that it is written as."""
+    whole = {s: Fraction(w if isinstance(w, int | Fraction) else str(w)) for s, w in weights.items()}
+    whole = {s: w for s, w in whole.items() if w > 0}
+    if not whole:
+        return {}
+    common = math.lcm(*(w.denominator for w in whole.values()))
+    shares = {s: int(w * common) for s, w in whole.items()}
+    least = math.gcd(*shares.values())
+    return {s: n // least for s, n in shares.items()}
 
 
-def schedule(shares: dict[str, int]) -> list[tuple[str, int, int]]:
-    """(source, block, slot) of one period, whose length is the sum of the shares: of the blocks released, the earliest deadline first."""
-    period = sum(shares.values())
-    waiting = [(0, s, 0) for s in sorted(shares)]
-    heapq.heapify(waiting)
+def schedule(shares: dict[str, int], blocks: dict[str, int] | None = None) -> Iterator[tuple[str, int, int]]:
+    """(source, block, slot): of the blocks released, the earliest deadline first.
+
+    Without blocks one period, whose length is the sum of the shares; else as many blocks of each source as it has, and
+    slots that no block is released for are passed over.
+    """
+    period, most = sum(shares.values()), shares if blocks is None else blocks
+    waiting = [(0, s, 0) for s in sorted(shares) if most.get(s)]
     ready: list[tuple[int, str, int]] = []
-    out = []
-    for slot in range(period):
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
             _, s, k = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(k + 1) * period // shares[s]), s, k))
-        due, s, k = heapq.heappop(ready)
-        assert slot < due
-        out.append((s, k, slot))
-        if k + 1 < shares[s]:
+        _, s, k = heapq.heappop(ready)
+        yield s, k, slot
+        if k + 1 < most[s]:
             heapq.heappush(waiting, ((k + 1) * period // shares[s], s, k + 1))
-    return out
+        slot += 1
+
+
+def plan(spark: SparkSession, rows: Iterator[tuple[str, int, int]]) -> DataFrame:
+    """(s, k, first): the rows of a schedule, by way of the shared folder if they are more than one piece."""
+    schema = "s string, k long, first long"
+    folder, pieces = shared_dir(spark, "schedule"), 0
+
+    def piece() -> pa.Table | None:
+        own = list(islice(rows, PIECE))
+        if not own:
+            return None
+        s, k, slot = zip(*own, strict=True)
+        return pa.table({"s": pa.array(s), "k": pa.array(k, pa.int64()), "first": pa.array(slot, pa.int64())})
+
+    now = piece()
+    while now is not None and (len(now) == PIECE or pieces):
+        spark.createDataFrame(now).write.mode("append").parquet(folder)
+        pieces, now = pieces + 1, piece()
+    return spark.read.schema(schema).parquet(folder) if pieces else spark.createDataFrame(now if now is not None else [], schema)
 
 
 def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
 
 
-def slots(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
-    """docs with block, slot and place (within the block); order by slot, place for the mix.
+def placed(docs: DataFrame, weights: dict | None = None, block: int = BLOCK) -> DataFrame:
+    """(row, block, slot, place) for every row of docs, as a struct.
 
-    Without weights each source's is the square root of its number of rows.
+    Without weights each source's is the whole square root of its number of rows.
     """
-    columns = docs.columns
+    tie = [F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "source")))] if len(docs.columns) > 2 else []
     # cells are ranges of the hash, so that a source's order runs from cell to cell; their number only bounds a cell's rows
-    order = F.xxhash64(F.col("doc_id").cast("long"))
+    order = F.when(F.col("doc_id").isNull(), F.lit(-(1 << 63))).otherwise(F.xxhash64(F.col("doc_id").cast("long")))
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), source_key(F.col("source")).alias("s"), order.alias("h"), F.col("doc_id").alias("id"), (tie[0] if tie else F.lit(0).cast("long")).alias("tie"))
     sizes = docs.select(source_key(F.col("source")).alias("s")).groupBy("s").count().limit(MOST_SOURCES + 1).collect()
     if len(sizes) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
-    bits = min(MOST_CELL_BITS, max(0, math.ceil(math.log2(max(1, sum(r["count"] for r in sizes)) / CELL_ROWS))))
-    if weights is None:
-        given = {r.s: math.sqrt(r["count"]) for r in sizes}
-    else:
-        given = {("" if s is None else f"={s}"): float(w) for s, w in weights.items() if w > 0}
-    names = ["_s", "_h", "_cell", "_rank", "_before", "_k", "_first"]
-    cell = F.shiftright(F.col("_h"), 64 - bits) if bits else F.lit(0).cast("long")
-    df = docs.select("*", source_key(F.col("source")).alias("_s"), F.when(F.col("doc_id").isNull(), F.lit(-(1 << 63))).otherwise(order).alias("_h")).withColumn("_cell", cell)
-    held = df.groupBy("_s", "_cell").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_s").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    held = held.select("_s", "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    tie = [F.xxhash64(c) for c in columns if c not in ("doc_id", "source")]
-    within = Window.partitionBy("_s", "_cell").orderBy("_h", "doc_id", *tie)
-    df = df.withColumn("_rank", F.row_number().over(within) - 1).join(held, ["_s", "_cell"])
-    rank = F.col("_before") + F.col("_rank")
-    df = df.select(*columns, "_s", F.floor(rank / block).alias("block"), F.pmod(rank, F.lit(block)).cast("int").alias("place"))
-    if not given:
-        return df.select(*columns, "block", F.lit(0).cast("long").alias("slot"), "place")
-    period = max(period, 16 * len(given))
-    shares = rounded(given, period)
-    spark = docs.sparkSession
-    plan = spark.createDataFrame(schedule(shares), "_s string, _k long, _first long")  # `period` rows
-    share = spark.createDataFrame(list(shares.items()), "_s string, _share long")
-    df = df.join(F.broadcast(share), "_s")
-    df = df.withColumn("_k", F.pmod("block", "_share")).join(F.broadcast(plan), ["_s", "_k"])
-    slot = F.floor(F.col("block") / F.col("_share")) * period + F.col("_first")
-    return df.select(*columns, "block", slot.cast("long").alias("slot"), "place")
-
-
-def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None) -> DataFrame:
+    rows = {r.s: r["count"] for r in sizes}
+    bits = min(MOST_CELL_BITS, max(0, math.ceil(math.log2(max(1, sum(rows.values())) / CELL_ROWS))))
+    shares = exact_shares({s: math.isqrt(n) for s, n in rows.items()} if weights is None else {("" if s is None else f"={s}"): w for s, w in weights.items()})
+    df = df.withColumn("cell", F.shiftright("h", 64 - bits) if bits else F.lit(0).cast("long"))
+    held = df.groupBy("s", "cell").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("s").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select("s", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy("s", "cell").orderBy("h", "id", "tie")
+    rank = F.col("before") + F.col("rank")
+    df = df.withColumn("rank", F.row_number().over(within) - 1).join(held, ["s", "cell"])
+    df = df.select("row", "s", F.floor(rank / block).alias("block"), F.pmod(rank, F.lit(block)).cast("int").alias("place"))
+    if not shares:
+        return df.select("row", "block", F.lit(None).cast("long").alias("slot"), "place")
+    period, blocks = sum(shares.values()), {s: -(-n // block) for s, n in rows.items() if s in shares}
+    own = plan(docs.sparkSession, schedule(shares) if period <= sum(blocks.values()) else schedule(shares, blocks))
+    again = {s: (n if period <= sum(blocks.values()) else blocks.get(s, 0) or 1) for s, n in shares.items()}  # blocks after which the schedule repeats, if it does
+    share = docs.sparkSession.createDataFrame(list(again.items()), "s string, n long")  # one row a source
+    df = df.join(F.broadcast(share), "s", "left").withColumn("k", F.pmod("block", "n")).join(own, ["s", "k"], "left")
+    slot = F.floor(F.col("block") / F.col("n")) * F.lit(min(period, 1 << 62)) + F.col("first")
+    return df.select("row", "block", slot.cast("long").alias("slot"), "place")
+
+
+def slots(docs: DataFrame, weights: dict | None = None, block: int = BLOCK) -> DataFrame:
+    """docs with block, slot and place (within the block); order by slot, place for the mix."""
+    kept = [f"row.`{c}`" for c in docs.columns if c not in OWN]
+    return placed(docs, weights, block).select(*kept, *OWN)
+
+
+def mixed(docs: DataFrame, weights: dict | None = None, block: int = BLOCK) -> DataFrame:
     """All rows of docs, its columns, in files that follow the mix."""
-    names = [c for c in docs.columns if c not in ("block", "slot", "place")]
-    df = slots(docs.select(*names), weights)
-    return df.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select(*names)
+    df = placed(docs, weights, block).withColumn("slot", F.coalesce("slot", F.lit((1 << 63) - 1)))
+    return df.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select("row.*")

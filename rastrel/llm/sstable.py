@@ -2,7 +2,7 @@
 
 A shard holds the entries of one range of keys, in order:
 
-    blocks   entries of about BLOCK bytes, deflated, each block with its crc32
+    blocks   entries of about BLOCK bytes: varint of that length, the entries compressed by zstd, crc32
              entry: varint shared, varint rest, varint n | rest of the key | width byte (2 or 4) and n ids, little-endian
     index    for each block: first key, offset, length, entries and ids before it in the shard
     bloom    bits of all keys, double hashing
@@ -10,7 +10,10 @@ A shard holds the entries of one range of keys, in order:
 
 A key is the identifier as eight bytes, big-endian with the sign flipped, so byte order is number order; a null
 identifier is the empty key, before all others. Shards are written once under a name of the attempt and then moved to
-their final name, so a task that runs again does no harm.
+their final name, so a task that runs again does no harm: where the name is taken, the first attempt's file, which holds
+the same, stays.
+
+A shard ends with SHARD_IDS ids or SHARD_DOCS entries, so that neither it nor the keys that its writer holds grow with the table.
 
 Defined results: a null or empty text is the end id alone; repeated identifiers are separate entries, in the order of
 their texts; an empty table has no shards and an empty result; columns other than id and text are not read.
@@ -19,6 +22,7 @@ their texts; an empty table has no shards and an empty result; columns other tha
 from __future__ import annotations
 
 import bisect
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -31,10 +35,11 @@ from pyspark.sql import functions as F
 from .common import shared_dir, texts
 from .tokens import WORD_BPE, Encoder, path
 
-END, BLOCK, SHARD_IDS, MOST_READERS = 2, 1 << 16, 1 << 25, 10_000
-MAGIC = b"RSSTBL01"
+END, BLOCK, SHARD_IDS, SHARD_DOCS, MOST_READERS = 2, 1 << 16, 1 << 25, 1 << 20, 10_000
+MAGIC = b"RSSTBL02"
 FOOTER = struct.Struct("<QQQQQQI8s")
 BLOOM_BITS, BLOOM_HASHES = 10, 7
+WIDTHS = {2: bytes([2]), 4: bytes([4])}
 MANIFEST = "part long, roll long, path string, n_docs long, n_ids long"
 
 
@@ -78,7 +83,8 @@ class Writer:
 
     def __init__(self, out):
         self.out, self.at = out, 0
-        self.block, self.index, self.keys = bytearray(), [], []
+        self.codec = pa.Codec("zstd", 1)
+        self.block, self.held, self.index, self.keys = [], 0, [], []
         self.last, self.first, self.before = b"", b"", (0, 0)
         self.n_docs = self.n_ids = 0
 
@@ -86,28 +92,32 @@ class Writer:
         self.out.write(data)
         self.at += len(data)
 
-    def add(self, key: bytes, ids: np.ndarray) -> None:
+    def add(self, key: bytes, ids: bytes, width: int) -> None:
+        """ids: of `width` bytes each."""
         if self.keys and key < self.keys[-1]:
             raise ValueError("keys must not fall")
         if not self.block:
             self.first, self.before, self.last = key, (self.n_docs, self.n_ids), b""
-        shared = 0
-        while shared < min(len(key), len(self.last)) and key[shared] == self.last[shared]:
-            shared += 1
-        width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
-        self.block += varint(shared) + varint(len(key) - shared) + varint(len(ids)) + key[shared:] + bytes([width]) + ids.astype(f"<u{width}").tobytes()
+        shared, n = len(os.path.commonprefix((key, self.last))), len(ids) // width
+        self.block += (varint(shared) + varint(len(key) - shared) + varint(n) + key[shared:] + WIDTHS[width], ids)
+        self.held += len(ids) + 1 + len(key) - shared
         self.last = key
         self.keys.append(key)
-        self.n_docs, self.n_ids = self.n_docs + 1, self.n_ids + len(ids)
-        if len(self.block) >= BLOCK:
+        self.n_docs, self.n_ids = self.n_docs + 1, self.n_ids + n
+        if self.held >= BLOCK:
             self.cut()
 
+    @property
+    def full(self) -> bool:
+        return self.n_ids >= SHARD_IDS or self.n_docs >= SHARD_DOCS
+
     def cut(self) -> None:
         if self.block:
-            packed = zlib.compress(bytes(self.block), 1)
+            data = b"".join(self.block)
+            packed = varint(len(data)) + self.codec.compress(data, asbytes=True)
             self.index.append((self.first, self.at, len(packed) + 4, *self.before))
             self.put(packed + struct.pack("<I", zlib.crc32(packed)))
-            self.block = bytearray()
+            self.block, self.held = [], 0
 
     def close(self) -> None:
         self.cut()
@@ -130,7 +140,7 @@ class Shard:
         from pyarrow import fs
 
         files, where = fs.FileSystem.from_uri(uri)
-        self.file = files.open_input_file(where)
+        self.file, self.codec = files.open_input_file(where), pa.Codec("zstd")
         size = self.file.size()
         index_at, index_n, bloom_at, bloom_n, self.n_docs, self.n_ids, self.hashes, magic = FOOTER.unpack(self.file.read_at(FOOTER.size, size - FOOTER.size))
         if magic != MAGIC:
@@ -150,7 +160,8 @@ class Shard:
         raw = self.file.read_at(length, offset)
         if zlib.crc32(raw[:-4]) != struct.unpack("<I", raw[-4:])[0]:
             raise ValueError("a block is damaged")
-        data, at, key = zlib.decompress(raw[:-4]), 0, b""
+        size, at = read_varint(raw, 0)
+        data, at, key = self.codec.decompress(raw[at:-4], size, asbytes=True), 0, b""
         while at < len(data):
             shared, at = read_varint(data, at)
             rest, at = read_varint(data, at)
@@ -181,6 +192,20 @@ class Shard:
         return found
 
 
+def settled(files, own: str, name: str) -> None:
+    """Gives an attempt's file its final name. Another attempt may have been first, and may be moving its own just now."""
+    from pyarrow import fs
+
+    if files.get_file_info(name).type == fs.FileType.NotFound:
+        try:
+            files.move(own, name)
+            return
+        except OSError:
+            if files.get_file_info(name).type == fs.FileType.NotFound:
+                raise
+    files.delete_file(own)
+
+
 def write_shards(docs: DataFrame, folder: str, tokenizer: str = WORD_BPE, end: int = END) -> DataFrame:
     """Encodes docs and writes its shards below folder; returns the manifest, itself written there: part and roll give their order."""
 
@@ -191,23 +216,27 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str = WORD_BPE, end: i
         files, where = fs.FileSystem.from_uri(folder)
         task = TaskContext.get()
         part, encoder, writer, rows = task.partitionId(), Encoder(path(tokenizer)), None, []
-        stop = np.array([end], "<u4")
+        stop, width = encoder.packed([end]), np.dtype(encoder.kind).itemsize
 
         def close() -> None:
             name = f"{where}/shard-{part:06d}-{len(rows):05d}.sst"
             writer.close()
-            files.move(f"{name}.{task.taskAttemptId()}", name)
+            settled(files, f"{name}.{task.taskAttemptId()}", name)
             rows.append((part, len(rows), f"{folder}/{name.rpartition('/')[2]}", writer.n_docs, writer.n_ids))
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if writer is None:
-                    files.create_dir(where, recursive=True)
-                    writer = Writer(files.open_output_stream(f"{where}/shard-{part:06d}-{len(rows):05d}.sst.{task.taskAttemptId()}"))
-                writer.add(key_of(doc_id), np.concatenate([encoder.encode(text.as_py()), stop]))
-                if writer.n_ids >= SHARD_IDS:
-                    close()
-                    writer = None
+            at = 0
+            for ids, begins in encoder.batches(b.column(1)):
+                raw, cuts = ids.tobytes(), (begins * width).tolist()
+                for doc_id, x, y in zip(b.column(0).slice(at, len(cuts) - 1).to_pylist(), cuts, cuts[1:], strict=False):
+                    if writer is None:
+                        files.create_dir(where, recursive=True)
+                        writer = Writer(files.open_output_stream(f"{where}/shard-{part:06d}-{len(rows):05d}.sst.{task.taskAttemptId()}"))
+                    writer.add(key_of(doc_id), raw[x:y] + stop, width)
+                    if writer.full:
+                        close()
+                        writer = None
+                at += len(cuts) - 1
         if writer is not None:
             close()
         if rows:
