@@ -5,8 +5,11 @@ others may differ. Hashes of all masked windows of the benchmark are joined with
 a hit fixes how a document and an item lie against each other, and the overlap along that diagonal is verified: some
 stretch of `span` words (the whole item, if shorter) must agree in at least `least` of its places.
 
-The benchmark's windows are broadcast in blocks of at most BLOCK rows, each of which passes over all documents; hits carry
-the stretch of the document that lies against the item, so documents are never shuffled.
+The benchmark is broadcast in blocks of whole items, of about BLOCK windows each, which are counted first; each block
+passes over all documents. Items are dealt to blocks by hash, so a key that many items share is spread too, and a block
+beyond twice its size makes more blocks, down to single items. A hit is kept if enough words agree around the seed, before anything moves: what many
+items begin with costs no shuffle. Hits carry the stretch of the document that lies against the item, so documents are
+never shuffled.
 
 An item's masks depend on its number of words; those of four words or fewer have to agree as a whole. Only the masks of
 lengths that the benchmark has are looked up.
@@ -77,22 +80,36 @@ def windows(df: DataFrame, lengths: list[int], items: bool = False, masks: dict[
     return df.select("*", F.explode(F.array(*[key(k, m) for k, m in enumerate(used)])).alias("key")).filter("key IS NOT NULL")
 
 
+def dealt(seeds: DataFrame, block: int) -> int:
+    """Into how many blocks items go by hash, so that none has more than about `block` windows; one item is never split."""
+    n, items = seeds.agg(F.count("*"), F.count_distinct("item")).first()
+    blocks = max(1, -(-n // block))
+    while 1 < blocks < items and seeds.groupBy(F.pmod("item", F.lit(blocks)).alias("b")).count().agg(F.max("count")).first()[0] > 2 * block:
+        blocks = min(2 * blocks, items)
+    return blocks
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, masks: dict[int, tuple[str, ...]] = MASKS, span: int = SPAN, least: float = LEAST, block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id, best, matched, n_words): best words that agree in one stretch, all that agree along the best diagonal, words of the item."""
     items = hashed(benchmark, "text", F.col("item_id"))
     distinct = items.groupBy("h").agg(F.min("item_id").alias("class")).select("class", "h", F.xxhash64("h").alias("item"))  # equal items once
     lengths = [r.n for r in distinct.filter(F.size("h") > 0).select(F.least(F.size("h"), F.lit(max(masks))).alias("n")).distinct().collect()] or [max(masks)]  # at most one for each of masks
     seeds = windows(distinct, lengths, True, masks).select("key", "item", F.col("at").alias("item_at"), F.size("h").alias("item_n"))
-    blocks = max(1, -(-seeds.count() // block))
+    blocks = dealt(seeds, block)
     train = windows(hashed(docs, "text", F.col("doc_id").cast("long").alias("doc_id")), lengths, False, masks)
+    lead = F.col("at") - F.col("item_at")  # where the item's first word lies in the document
+    # what agrees within a stretch of either side of the seed
+    low = F.greatest(F.col("item_at") - (span - 1), -lead, F.lit(0))
+    high = F.least(F.col("item_at") + (max(map(len, reduce(lambda x, y: x + y, masks.values()))) + span - 1), F.col("item_n"), F.size("h") - lead)
+    near = F.size(F.filter(F.zip_with(F.slice("item_h", low + 1, high - low), F.slice("h", lead + low + 1, high - low), lambda x, y: x == y), lambda x: x))
+    begin, end = F.greatest(lead, F.lit(0)), F.least(lead + F.col("item_n"), F.size("h"))
     parts = []
     for k in range(blocks):
-        own = seeds if blocks == 1 else seeds.filter(F.pmod("key", F.lit(blocks)) == k)
-        parts.append(train.join(F.broadcast(own), "key"))  # at most about `block` rows of fixed width
+        mine = lambda df: df if blocks == 1 else df.filter(F.pmod("item", F.lit(blocks)) == k)  # noqa: B023, E731
+        met = train.join(F.broadcast(mine(seeds)), "key").join(F.broadcast(mine(distinct).select("item", F.col("h").alias("item_h"))), "item")
+        met = met.filter(near >= F.ceil(F.least(F.lit(span), F.col("item_n")) * F.lit(least)))
+        parts.append(met.select("doc_id", "item", lead.alias("lead"), F.slice("h", begin + 1, end - begin).alias("stretch")))
     hits = reduce(DataFrame.unionAll, parts)
-    lead = F.col("at") - F.col("item_at")  # where the item's first word lies in the document
-    begin, end = F.greatest(lead, F.lit(0)), F.least(lead + F.col("item_n"), F.size("h"))
-    hits = hits.select("doc_id", "item", lead.alias("lead"), F.slice("h", begin + 1, end - begin).alias("stretch"))
     # a seed may hit many times along one diagonal: one row each, already before the shuffle; texts of a repeated id are told apart by the stretch
     hits = hits.distinct()
     pairs = hits.join(distinct.select("item", F.col("h").alias("item_h")), "item")
