@@ -2,8 +2,10 @@
 
 The model is fitted on a bounded sample: the `sample` rows of each language whose id hashes least, each by its whole
 text; of their words the `most_words` most frequent of each language are known, and n-gram counts come from the same
-words. It is what scoring broadcasts: two tables of `most_cells` numbers at most, so that many languages
-get fewer words each; there are `most_langs` at most.
+words, the `most_grams` most frequent of each language. So every language has the same room, and what scoring broadcasts
+grows with the number of languages alone: a word or n-gram names only the languages that have it.
+
+A word is a run of letters (Unicode category L), and of marks (M) behind a letter.
 
 Defined results: `und` with score 0 for a null text, one without letters, or where no language could be learned; rows
 with null lang or null id teach nothing; ties go to the language first in the alphabet; repeated rows are predicted
@@ -14,9 +16,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+import sys
+import unicodedata
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,17 +33,38 @@ from .common import texts
 #: Values of a hash of ids, for sampling.
 HASHES = 1 << 40
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters, as far as `re` knows them: digits of other kinds are among them, and marks are not.
+ROUGH = re.compile(r"[^\W\d_]+")
+
+
+@cache
+def uncertain() -> frozenset[str]:
+    """All code points that ROUGH takes for letters and that are none, and all marks."""
+    kinds = ((chr(i), unicodedata.category(chr(i))[0]) for i in range(128, sys.maxunicode + 1))
+    return frozenset(c for c, kind in kinds if kind == "M" or kind != "L" and ROUGH.match(c))
+
+
+@cache
+def exact():
+    import regex
+
+    return regex.compile(r"\p{L}[\p{L}\p{M}]*")
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text, in lower case."""
+    text = text.lower()
+    return ROUGH.findall(text) if text.isascii() or uncertain().isdisjoint(text) else exact().findall(text)
 
 
 @dataclass(frozen=True)
 class Params:
-    """sample: rows a language learns from; longest: of the n-grams; backoff: log penalty for each letter an n-gram is shorter; weight: of one word in the final score."""
+    """sample: rows a language learns from; longest: of the n-grams; backoff: log penalty for each letter an n-gram is shorter; weight: of one word in the final score; most_seen: numbers in a worker's table of word vectors."""
 
     sample: int = 1000
     most_words: int = 30_000
-    most_langs: int = 500
-    most_cells: int = 20_000_000
+    most_grams: int = 200_000
+    most_seen: int = 20_000_000
     longest: int = 4
     backoff: float = math.log(0.4)
     weight: float = 1.0
@@ -46,24 +72,30 @@ class Params:
 
 
 class Table:
-    """Keys and the row of each in a matrix of log shares by language; only differences between languages matter."""
+    """Log shares by language of each key: those of the languages that have it, and one for all others. Only differences between languages matter."""
 
     def __init__(self, rows: list[tuple[str, int, float]], n_langs: int, floor: float):
-        self.at: dict[str, int] = {}
-        for key, *_ in rows:
-            self.at.setdefault(key, len(self.at))
-        if not rows:
-            self.logs = np.zeros((0, n_langs), np.float32)
-            return
-        counts = np.zeros((len(self.at), n_langs))
-        np.add.at(counts, ([self.at[r[0]] for r in rows], [r[1] for r in rows]), [r[2] for r in rows])
-        rate = counts / np.maximum(counts.sum(axis=0), 1)
-        rate = (rate + floor * rate.mean(axis=1, keepdims=True)) / (1 + floor)
-        self.logs = np.log(rate / rate.sum(axis=1, keepdims=True)).astype(np.float32)
+        self.n_langs = n_langs
+        totals = np.zeros(n_langs)
+        own: defaultdict[str, dict[int, float]] = defaultdict(dict)
+        for key, lang, n in rows:
+            totals[lang] += n
+            own[key][lang] = own[key].get(lang, 0) + n
+        self.at: dict[str, tuple[np.ndarray, np.ndarray, float]] = {}
+        for key, counts in own.items():
+            langs = np.fromiter(counts, np.int32, len(counts))
+            rate = np.fromiter(counts.values(), np.float64, len(counts)) / totals[langs]
+            rest = floor * rate.sum() / n_langs
+            whole = rate.sum() + rest * n_langs  # of (rate + rest) over all languages
+            self.at[key] = langs, np.log((rate + rest) / whole).astype(np.float32), math.log(rest / whole)
 
     def get(self, key: str) -> np.ndarray | None:
-        k = self.at.get(key)
-        return None if k is None else self.logs[k]
+        found = self.at.get(key)
+        if found is None:
+            return None
+        vector = np.full(self.n_langs, found[2], np.float32)
+        vector[found[0]] = found[1]
+        return vector
 
 
 @dataclass
@@ -75,14 +107,15 @@ class Model:
 
     def unseen(self, word: str) -> np.ndarray:
         """Log score by language of a word that is not known: at each place the longest known n-gram that ends there, shorter ones at a penalty."""
-        p, total = self.params, np.zeros(len(self.langs))
-        w = f" {word} "
+        p, total, rest = self.params, np.zeros(len(self.langs)), 0.0
+        w, grams = f" {word} ", self.grams.at
         for end in range(2, len(w) + 1):
             for n in range(min(p.longest, end), 0, -1):
-                if (g := self.grams.get(w[end - n : end])) is not None:
-                    total += g + p.backoff * (p.longest - n)
+                if (g := grams.get(w[end - n : end])) is not None:
+                    total[g[0]] += g[1] - g[2]
+                    rest += g[2] + p.backoff * (p.longest - n)
                     break
-        return total / max(1, len(word))
+        return (total + rest) / max(1, len(word))
 
     def vector(self, word: str) -> np.ndarray:
         known = self.words.get(word)
@@ -105,10 +138,12 @@ def build(rows: list[tuple[str, str, int]], params: Params = Params()) -> Model:
         k = at[lang]
         for g in grams_of(word, params.longest):
             grams[g, k] += n
-    kept = sorted(grams, key=lambda g: (-grams[g], g))[: params.most_cells // max(1, len(langs))]
-    grams = Counter({g: grams[g] for g in kept})
     table = lambda counts: Table(counts, len(langs), params.floor)
-    return Model(langs, table([(w, at[x], n) for x, w, n in rows]), table([(g, k, n) for (g, k), n in grams.items()]), params)
+    by_lang: defaultdict[int, list[tuple[str, int, float]]] = defaultdict(list)
+    for (g, k), n in grams.items():
+        by_lang[k].append((g, k, n))
+    kept = [x for own in by_lang.values() for x in sorted(own, key=lambda x: (-x[2], x[0]))[: params.most_grams]]
+    return Model(langs, table([(w, at[x], n) for x, w, n in rows]), table(kept), params)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 3, fold: int = 1):
@@ -118,7 +153,7 @@ def held_out(id_col: str = "doc_id", folds: int = 3, fold: int = 1):
 def fit(docs: DataFrame, params: Params = Params()) -> Model:
     """Word counts of the sample, by language; sampling ranks ids only, so no task holds a language's texts."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).filter("doc_id IS NOT NULL AND lang IS NOT NULL").filter(~held_out())
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(params.most_langs).collect()
+    sizes = rows.groupBy("lang").count().collect()  # one row a language
     # of each language a share of the hash range that holds the sample and a margin; only that is ranked
     wanted = params.sample + 8 * math.isqrt(params.sample)
     cuts = [(r.lang, min(1.0, wanted / r["count"]) * HASHES) for r in sizes]
@@ -133,15 +168,14 @@ def fit(docs: DataFrame, params: Params = Params()) -> Model:
         counts = Counter()
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                counts.update((lang, w) for w in LETTERS.findall(text.lower()))
+                counts.update((lang, w) for w in words_of(text))
         if counts:
             (langs, words), n = zip(*counts, strict=True), list(counts.values())
             yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(words), pa.array(n, pa.int64())], names=["lang", "word", "n"])
 
     counts = chosen.mapInArrow(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    most = min(params.most_words, params.most_cells // max(1, len(sizes)) ** 2)
-    known = counts.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= most).select("lang", "word", "n")
+    known = counts.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= params.most_words).select("lang", "word", "n")
     return build([tuple(r) for r in known.collect()], params)
 
 
@@ -150,7 +184,7 @@ class Seen(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.most = min(300_000, max(1024, model.params.most_cells // max(1, len(model.langs))))
+        self.most = min(300_000, max(1024, model.params.most_seen // max(1, len(model.langs))))
         self.model = model
         self.table = np.zeros((1024, len(model.langs)), np.float32)
 
@@ -173,7 +207,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             langs, scores = [], []
             for text in b.column(1):
-                words = LETTERS.findall(text.as_py().lower())
+                words = words_of(text.as_py())
                 if not words or not m.langs:
                     langs.append("und")
                     scores.append(0.0)
