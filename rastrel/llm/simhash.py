@@ -3,8 +3,9 @@
 Two fingerprints within `radius` bits agree on all but `radius` of any k blocks of their bits, so each link shows in one
 bucket of rows that agree on a choice of k - radius blocks. Inside a bucket sorted tiles are compared exactly with numpy
 XOR and bit counts; tile pairs whose population counts lie further apart than the radius are skipped. A bucket beyond
-TILE rows is dealt out as pairs of tiles, so no task gets an unbounded group, and each task returns a spanning forest of
-its links rather than all pairs: components stay exact. Everything after the fingerprints moves 8-byte numbers only.
+TILE rows is dealt out as pairs of tiles by population count, and those too far apart are not made, so no task gets an
+unbounded group, and each task returns a spanning forest of its links rather than all pairs: components stay exact.
+Everything after the fingerprints moves 8-byte numbers only.
 
 Defined results: a null or empty text, or one without words, has fingerprint zero and links like any other; fewer than
 three words form one shingle; repeated rows share a component; null ids keep their fingerprint and take no part in the
@@ -166,19 +167,31 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> D
     """(a, b): links that connect all rows of distinct (id, fp; each fp once) whose fingerprints lie within the radius."""
     n = distinct.count()
     masks = [signed(m) for m in plan_blocks(n, radius)]
-    rows = distinct.select("id", "fp", F.posexplode(F.array(*[F.lit(m).cast("long").bitwiseAND(F.col("fp")) for m in masks])).alias("mask", "part"))
-    sizes = rows.groupBy("mask", "part").count().filter(F.col("count") > tile).select("mask", "part", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
-    rows = rows.join(sizes, ["mask", "part"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    parts = F.array(*[F.lit(m).cast("long").bitwiseAND(F.col("fp")) for m in masks])
+    rows = distinct.select("id", "fp", F.bit_count("fp").alias("pop"), F.posexplode(parts).alias("mask", "part"))
+    rows = dealt(rows, ["mask", "part"], F.xxhash64("fp"), radius, tile)
     keys = ["mask", "part", "i", "j"]
-    rows = dealt(rows.withColumn("pop", F.bit_count("fp")), F.pmod(F.xxhash64("fp"), "tiles").cast("int"), F.col("tiles"))
     rows = rows.select("id", "fp", "pop", *keys).repartition(*keys).sortWithinPartitions(*keys, "pop")
     return rows.mapInArrow(lambda it: linked(it, radius, keys, ["fp"]), "a long, b long").distinct()
 
 
-def dealt(rows: DataFrame, own: Column, tiles: Column) -> DataFrame:
-    """Each row once for each pair of tiles (i, j) that its own is part of."""
-    rows = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), tiles.cast("int") - 1)))
-    return rows.withColumns({"i": F.least("_own", "_other"), "j": F.greatest("_own", "_other")}).drop("_own", "_other")
+def dealt(rows: DataFrame, bucket: list[str], spread: Column, radius: int, tile: int) -> DataFrame:
+    """Each row (pop and others) once for each pair of tiles (i, j) of its bucket that its own is part of; buckets of at most `tile` rows are one.
+
+    A tile has rows of one population count, and rows beyond `tile` of them are spread over more. Only tiles whose counts
+    are within the radius meet.
+    """
+    counts = rows.groupBy(*bucket, "pop").agg(F.count("*").alias("n"))
+    large = counts.groupBy(*bucket).agg(F.collect_list(F.struct("pop", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))).alias("pops"), F.sum("n").alias("n"))  # as many counts as there are bits, and one
+    rows = rows.join(large.filter(F.col("n") > tile).select(*bucket, "pops"), bucket, "left")
+    name = lambda pop, k: F.shiftleft(pop.cast("long"), 32) + k
+    mine = F.get(F.filter("pops", lambda p: p["pop"] == F.col("pop")), F.lit(0))["tiles"]
+    rows = rows.withColumn("own", name(F.col("pop"), F.pmod(spread, mine)))
+    near = F.filter("pops", lambda p: F.abs(p["pop"] - F.col("pop")) <= radius)
+    others = F.flatten(F.transform(near, lambda p: F.transform(F.sequence(F.lit(0), p["tiles"] - 1), lambda k: name(p["pop"], k))))
+    pairs = F.transform(others, lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
+    none = F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))
+    return rows.withColumn("pair", F.explode(F.when(F.col("pops").isNull(), none).otherwise(pairs))).select(*[c for c in rows.columns if c not in ("pops", "own")], "pair.i", "pair.j")
 
 
 def components(links: DataFrame, most_rounds: int = 64) -> DataFrame:
@@ -216,12 +229,16 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     return prints.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-#: Of the wide fingerprints: words of a shingle, the bits that may differ of 128, and the least Jaccard similarity, which is also the least ratio of two texts' numbers of distinct shingles.
+#: Of the wide fingerprints: words of a shingle, the bits that may differ of 128, and the least Jaccard similarity.
 WIDE_SHINGLE, WIDE_RADIUS, WIDE_RATIO = 5, 26, 0.8
-#: Tiles of a band of like lengths, at least, and rows of a tile, at most, before there are more; rows of a tile in the verification.
-BAND_TILES, BAND_TILE_ROWS, VERIFIED_TILE = 6, 1 << 18, 512
+#: Buckets that a set of shingles falls into, and least hashes that name each: sets of similarity 0.8 share none with a chance of 0.003.
+BUCKETS, LEAST_HASHES = 8, 3
+#: Rows of a tile in the verification.
+VERIFIED_TILE = 512
 #: What tells texts of different shingle sets apart.
 CLASS = ["hi", "lo", "n", "sig"]
+NAMES = [f"k{i}" for i in range(BUCKETS)]
+MULTIPLIERS = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 64, (BUCKETS * LEAST_HASHES + LEAST_HASHES,), np.uint64) | np.uint64(1)
 
 
 def wide_digests(text: bytes, shingle: int = WIDE_SHINGLE) -> list[bytes]:
@@ -231,25 +248,38 @@ def wide_digests(text: bytes, shingle: int = WIDE_SHINGLE) -> list[bytes]:
     return sorted(map(xxh3_128_digest, set(grams(text, shingle))))
 
 
+def bucket_names(digests: bytes) -> np.ndarray:
+    """Names of a set's buckets, each made of the least of its digests under some orders of them."""
+    own = np.frombuffer(digests, "<u8")[::2]
+    if not len(own):
+        return np.zeros(BUCKETS, np.uint64)
+    orders = MULTIPLIERS[: BUCKETS * LEAST_HASHES, None]
+    least = np.min([(own[None, k : k + (1 << 14)] * orders).min(axis=1) for k in range(0, len(own), 1 << 14)], axis=0)
+    least ^= least >> np.uint64(29)
+    return (least.reshape(BUCKETS, LEAST_HASHES) * MULTIPLIERS[BUCKETS * LEAST_HASHES :]).sum(axis=1, dtype=np.uint64)
+
+
 def wide_fingerprints(docs: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame:
-    """(doc_id, hi, lo, n, sig): 128-bit fingerprints of the distinct shingles, their number, and a hash of the whole set."""
+    """(doc_id, hi, lo, n, sig, k0 ...): 128-bit fingerprints of the distinct shingles, their number, a hash of the whole set, and its buckets."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
         for b in batches:
-            fps, n, sigs = [], [], []
-            for x in b.column(1).cast(pa.binary()):
+            fps, n, sigs, names = [], [], [], np.zeros((len(b), BUCKETS), np.uint64)
+            for i, x in enumerate(b.column(1).cast(pa.binary())):
                 own = wide_digests(x.as_py(), shingle)
                 joined = b"".join(own)
                 fps.append(votes(joined, 16))
                 n.append(len(own))
                 sigs.append(xxh3_64_intdigest(joined))
+                names[i] = bucket_names(joined)
             both = np.frombuffer(b"".join(fps), ">i8").astype(np.int64).reshape(-1, 2)
             sig = np.array(sigs, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(n, pa.int64()), pa.array(sig)], names=["doc_id", *CLASS])
+            columns = [pa.array(np.ascontiguousarray(names[:, i]).view(np.int64)) for i in range(BUCKETS)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(n, pa.int64()), pa.array(sig), *columns], names=["doc_id", *CLASS, *NAMES])
 
-    return texts(docs).mapInArrow(hashed, "doc_id long, hi long, lo long, n long, sig long")
+    return texts(docs).mapInArrow(hashed, "doc_id long, hi long, lo long, n long, sig long, " + ", ".join(f"{k} long" for k in NAMES))
 
 
 def similar(fps: np.ndarray, sets: list[bytes], radius: int, ratio: float) -> list[tuple[int, int]]:
@@ -312,7 +342,7 @@ def verified_links(docs: DataFrame, distinct: DataFrame, candidates: DataFrame,
     rows = distinct.join(components(candidates), "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component")
     rows = materialize(rows, "groups")
     sizes = rows.groupBy("group").count().filter("count > 1").select("group", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
-    rows = rows.join(sizes, "group")
+    rows = rows.select("id", *CLASS, "group").join(sizes, "group")
     rows = texts(docs).join(rows, F.col("doc_id") == F.col("id")).select("text", "id", *CLASS, "group", "tiles")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +360,8 @@ def verified_links(docs: DataFrame, distinct: DataFrame, candidates: DataFrame,
 
     rows = rows.mapInArrow(shingled, "id long, hi long, lo long, n long, sig long, `group` long, tiles int, shingles binary")
     keys = ["group", "i", "j"]
-    rows = dealt(rows, F.pmod(F.xxhash64("sig"), "tiles").cast("int"), F.col("tiles"))
+    own = F.pmod(F.xxhash64("sig"), "tiles").cast("int")
+    rows = rows.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     rows = rows.select("id", "hi", "lo", "shingles", *keys).repartition(*keys).sortWithinPartitions(*keys)
     return rows.mapInArrow(lambda it: verified(it, radius, ratio, keys), "a long, b long").distinct()
 
@@ -338,20 +369,22 @@ def verified_links(docs: DataFrame, distinct: DataFrame, candidates: DataFrame,
 def near_copies(docs: DataFrame, radius: int = WIDE_RADIUS, ratio: float = WIDE_RATIO, tile: int = VERIFIED_TILE) -> DataFrame:
     """(doc_id, component_id) by sets of five-word shingles: components of links within the radius of 128-bit fingerprints and of at least `ratio` Jaccard similarity.
 
-    The radius is what a similarity of 0.8 makes of the fingerprints, and a margin. It links less similar texts too, so its
-    links are candidates. A radius this wide has no useful blocks: all fingerprints are compared, in tiles. Only those whose
-    numbers of distinct shingles lie within the ratio can be that similar, so bands of such numbers meet their own and the
-    next one only.
+    The radius is what a similarity of 0.8 makes of the fingerprints, and a margin. A radius this wide has no blocks of bits
+    that prune, so fingerprints meet in buckets named by least hashes of their sets; inside, tiles are compared as they are for
+    near_duplicates(). Links within the radius are candidates, and verified on the sets.
+
+    Defined results: a null or empty text, or one without words, has the empty set and is a copy of others like it; fewer
+    than five words form one shingle; repeated rows share a component; rows without an id have no component unless a row
+    with one has the same set; an empty table gives an empty result; other columns are not read.
     """
     prints = materialize(wide_fingerprints(docs), "fingerprints")
-    distinct = materialize(prints.filter("doc_id IS NOT NULL").groupBy(*CLASS).agg(F.min("doc_id").alias("id")), "distinct")
-    band = F.floor(F.log(F.greatest("n", F.lit(1))) / F.log(F.lit(1 / ratio))).cast("int")
-    rows = distinct.select("id", "hi", "lo", (F.bit_count("hi") + F.bit_count("lo")).alias("pop"), F.explode(F.array(band, band - 1)).alias("band"))
-    tiles = rows.groupBy("band").agg(F.greatest(F.lit(BAND_TILES), F.ceil(F.count("*") / BAND_TILE_ROWS).cast("int")).alias("tiles"))  # a few dozen bands
-    rows = dealt(rows.join(tiles, "band"), F.pmod(F.xxhash64("hi", "lo"), "tiles").cast("int"), F.col("tiles"))
-    keys = ["band", "i", "j"]
+    distinct = materialize(prints.filter("doc_id IS NOT NULL").groupBy(*CLASS).agg(F.min("doc_id").alias("id"), *[F.first(k).alias(k) for k in NAMES]), "distinct")
+    rows = distinct.select("id", "hi", "lo", (F.bit_count("hi") + F.bit_count("lo")).alias("pop"), F.posexplode(F.array(*NAMES)).alias("bucket", "name"))
+    rows = dealt(rows, ["bucket", "name"], F.xxhash64("hi", "lo"), radius, TILE)
+    keys = ["bucket", "name", "i", "j"]
     rows = rows.select("id", "hi", "lo", "pop", *keys).repartition(*keys).sortWithinPartitions(*keys, "pop")
     links = rows.mapInArrow(lambda it: linked(it, radius, keys, ["hi", "lo"]), "a long, b long").distinct()
     named = components(verified_links(docs, distinct, links, radius, ratio, tile))
     classes = materialize(distinct.join(named, "id", "left").select(*CLASS, F.coalesce("component", "id").alias("component_id")), "classes")
+    discard(distinct)
     return prints.join(classes, CLASS, "left").select("doc_id", "component_id")
