@@ -13,7 +13,7 @@ scored alike; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import discard, materialize, texts
 
 BITS = 20
 #: Odd multipliers that mix two word hashes into the hash of a pair and of a skip-gram.
@@ -67,12 +67,12 @@ def features(text: bytes, words: Words, bits: int = BITS) -> np.ndarray:
     return np.concatenate([h, h[:-1] * PAIR + h[1:], (h[:-2] + np.uint32(1)) * SKIP + h[2:]]) >> np.uint32(32 - bits)
 
 
-def train(examples: list[tuple[np.ndarray, int]], ftrl: Ftrl = Ftrl(), bits: int = BITS) -> tuple[np.ndarray, np.ndarray, float]:
-    """(buckets, weights, bias) from (distinct buckets, label) in the order given; buckets ascend, weights are not zero."""
+def train(examples: Callable[[], Iterable[tuple[np.ndarray, int]]], ftrl: Ftrl = Ftrl(), bits: int = BITS) -> tuple[np.ndarray, np.ndarray, float]:
+    """(buckets, weights, bias) from (distinct buckets, label), asked for once an epoch and in the order given; buckets ascend, weights are not zero."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     bias = bias_n = 0.0
     for _ in range(ftrl.epochs):
-        for idx, y in examples:
+        for idx, y in examples():
             zi, ni = z[idx], n[idx]
             w = np.where(np.abs(zi) <= ftrl.l1, 0.0, (np.sign(zi) * ftrl.l1 - zi) / ((ftrl.beta + np.sqrt(ni)) / ftrl.alpha + ftrl.l2))
             g = 1 / (1 + math.exp(-max(-35.0, min(35.0, float(w.sum()) + bias)))) - y
@@ -90,17 +90,11 @@ def held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 0):
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(folds)) == fold
 
 
-def sampled(docs: DataFrame, labels: DataFrame, ftrl: Ftrl) -> list[tuple[np.ndarray, int]]:
-    """The training sample: the labelled rows whose id hashes least. One text for each id; if its rows disagree on the label, none."""
+def sampled(docs: DataFrame, labels: DataFrame, ftrl: Ftrl) -> DataFrame:
+    """(doc_id, y, x: distinct buckets as bytes), the training sample: the labelled rows whose id hashes least. One text for each id, the least; if its rows disagree on the label, none."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).filter("y IN (0, 1) AND doc_id IS NOT NULL")
     own = own.filter(~held_out()).groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("high")).filter("y = high").select("doc_id", "y")
-    chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(ftrl.sample)  # a top-k on ids alone
-    rows: dict[int, tuple[bytes, int]] = {}
-    ids = {r.doc_id: r.y for r in chosen.collect()}
-    if not ids:
-        return []
-    spark = docs.sparkSession
-    few = spark.createDataFrame(list(ids.items()), "doc_id long, y int")
+    few = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(ftrl.sample)  # a top-k on ids alone
     cut = texts(docs).join(F.broadcast(few), "doc_id").select("doc_id", "y", "text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,26 +103,21 @@ def sampled(docs: DataFrame, labels: DataFrame, ftrl: Ftrl) -> list[tuple[np.nda
             raw = b.column(2).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([np.unique(features(x.as_py(), own)).astype("<u4").tobytes() for x in raw], pa.binary())], names=["doc_id", "y", "x"])
 
-    for r in cut.mapInArrow(hashed, "doc_id long, y int, x binary").collect():
-        x = bytes(r.x)
-        rows[r.doc_id] = min(rows.get(r.doc_id, (x, r.y)), (x, r.y))
-    order = sorted(rows, key=lambda i: (hash_of(i), i))
-    return [(np.frombuffer(rows[i][0], "<u4"), rows[i][1]) for i in order]
-
-
-def hash_of(i: int) -> int:
-    from xxhash import xxh64_intdigest
-
-    return xxh64_intdigest(str(i))
+    found = cut.mapInArrow(hashed, "doc_id long, y int, x binary")
+    return materialize(found.groupBy("doc_id", "y").agg(F.min("x").alias("x")), "examples")
 
 
 def fit(docs: DataFrame, labels: DataFrame, ftrl: Ftrl = Ftrl()) -> tuple[np.ndarray, np.ndarray, float]:
+    """The model. The driver trains as the examples come by, once an epoch, and holds one partition of them at a time."""
     examples = sampled(docs, labels, ftrl)
-    ones = sum(y for _, y in examples)
-    if not 0 < ones < len(examples):
-        share = min(max(ones / len(examples), 1e-9), 1 - 1e-9) if examples else 1e-9
+    ones, n = examples.agg(F.count_if(F.col("y") == 1), F.count("*")).first()
+    if not 0 < ones < n:
+        share = min(max(ones / n, 1e-9), 1 - 1e-9) if n else 1e-9
         return np.empty(0, np.uint32), np.empty(0), math.log(share / (1 - share))
-    return train(examples, ftrl)
+    ordered = examples.orderBy(F.xxhash64("doc_id"), "doc_id").select("x", "y")
+    model = train(lambda: ((np.frombuffer(bytes(r.x), "<u4"), r.y) for r in ordered.toLocalIterator()), ftrl)
+    discard(examples)
+    return model
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
