@@ -33,7 +33,7 @@ def test_decontaminate_finds_leaks_with_substitutions(spark, rows, docs, no_docs
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("h", F.lit(1))
     found = {(x.doc_id, x.item_id) for x in decontaminate.overlaps(df, bench).collect()}
     assert found == {(1000 + i, i) for i in range(6)} | {(1000, 9)}
-    assert {(x.doc_id, x.item_id) for x in decontaminate.overlaps(df, bench, block=50).collect()} == found  # in blocks
+    assert {(x.doc_id, x.item_id) for x in decontaminate.overlaps(df, bench, block=600).collect()} == found  # in blocks
     kept = decontaminate.decontaminated(df, bench)
     assert kept.count() == df.count() - 6 and kept.columns == df.columns
     assert decontaminate.overlaps(no_docs, bench).count() == 0
@@ -96,6 +96,70 @@ def test_decontaminate_tries_every_place_of_a_repeated_passage(spark):
     assert got == {(i, 0, 13) for i in range(4)} | {(100, 1, 16)}
 
 
+def brute_overlaps(texts, items):
+    """Every diagonal of every text and item: (doc, item) -> (best, matched), as far as some stretch agrees enough."""
+    cut = lambda t: [w for w in re.split(r"[^\w]+", (t or "").lower().replace("_", " ")) if w]
+    out = {}
+    for i, t in texts:
+        d = cut(t)
+        for k, u in items:
+            w = cut(u)
+            width = min(decontaminate.SPAN, len(w))
+            for lead in range(-len(w) + 1, len(d)) if w else ():
+                same = [d[lead + p] == x for p, x in enumerate(w) if 0 <= lead + p < len(d)]
+                best = max(sum(same[s : s + width]) for s in range(max(1, len(same) - width + 1)))
+                if best >= -(-width * 4 // 5):
+                    old = out.get((i, k), (0, 0))
+                    out[i, k] = (max(best, old[0]), max(sum(same), old[1]))
+    return out
+
+
+@pytest.mark.parametrize("seed,block", [(0, 1_000_000), (1, 600)])
+def test_decontaminate_equals_brute_force(spark, seed, block):
+    """Items that repeat themselves, share openings and each other's parts, and tie along two diagonals."""
+    r = random.Random(seed)
+    part = lambda n, k: [f"{k}{r.randint(0, 30)}" for _ in range(n)]
+    opening, phrase = part(10, "o"), part(6, "p")
+    items = [opening + part(r.randint(0, 20), "a") for _ in range(8)]
+    items += [phrase * r.randint(1, 4) + part(r.randint(0, 9), "b") + phrase for _ in range(4)]
+    items += [part(n, "c") for n in (1, 2, 3, 4, 5, 7, 9, 12, 14, 15, 16, 17, 40)] + [["same"] * 20, ["x", "y"] * 9, items[0]]
+    texts = []
+    for _ in range(60):
+        w = part(r.randint(0, 10), "z")
+        for _ in range(r.randint(0, 2)):
+            own = list(r.choice(items))
+            at = r.randint(0, len(own) - 1) if r.random() < 0.3 else 0
+            own = own[at : at + r.randint(1, 30)]
+            for _ in range(r.randint(0, 4)):
+                own[r.randrange(len(own))] = "other"
+            w += own + part(r.randint(0, 5), "z")
+        texts.append(" ".join(w))
+    texts += [" ".join(opening), " ".join(opening + ["k"] * 10), " ".join(phrase * 5), "same " * 40, "x y " * 20, "", None]
+    texts, items = list(enumerate(texts)), [(i, " ".join(w)) for i, w in enumerate(items)] + [(90, ""), (91, None)]
+    df, bench = spark.createDataFrame(texts, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): (x.best, x.matched) for x in decontaminate.overlaps(df, bench, block=block).collect()}
+    want = brute_overlaps(texts, items)
+    assert got.keys() == want.keys()
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(got[k][1] <= want[k][1] for k in want)  # along the best diagonals that a seed has found
+
+
+def test_decontaminate_many_items_of_one_opening(spark):
+    """Three thousand items share ten words: a text with these alone matches none, and one with more matches its own."""
+    opening = [f"o{k}" for k in range(10)]
+    items = [(i, " ".join(opening + [f"i{i}x{k}" for k in range(8)])) for i in range(3000)]
+    texts = [(0, " ".join(opening)), (1, items[77][1]), (2, " ".join(opening + ["u"] * 8)), (3, "before " + items[2999][1] + " after")]
+    df, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for block in (1_000_000, 60_000):
+        assert {(x.doc_id, x.item_id) for x in decontaminate.overlaps(df, bench, block=block).collect()} == {(1, 77), (3, 2999)}
+
+
+def test_decontaminate_empty_tables(spark, no_docs):
+    bench = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.overlaps(no_docs, bench).count() == 0
+    assert decontaminate.decontaminated(no_docs, bench).columns == no_docs.columns
+
+
 # 2
 
 
@@ -230,28 +294,58 @@ def test_chunks_encode_as_whole_texts(seed):
 # 5
 
 
-def test_token_counts_and_prefixes(rows, docs, no_docs):
+def test_token_counts_and_prefixes(spark, rows, docs, no_docs):
     enc = tokens.Encoder(tokens.path())
+    plain = lambda t: [len(enc.lib.encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)]
     want = Counter((i, len(text_of(t).encode()), n := len(enc.lib.encode(text_of(t), add_special_tokens=False).ids), n > 2048) for i, t, *_ in rows)
     got = tokencount.count_tokens(docs).collect()
     assert Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in got) == want
     assert tokencount.count_tokens(no_docs).count() == 0
-    c = tokencount.PrefixCounter(tokens.path())
-    for t in ("The internationalization's of tokenizers!!", "naïve Über-façade x", "  <|endoftext|> it's 123abc", "strengths" * 4):
-        table = c.prefixes(t)
-        plain = [len(enc.lib.encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)]
-        assert table.tolist() == plain, t
-        for limit in range(0, max(plain) + 1):
-            n, chars = c.fit(t, limit)
-            assert n == plain[-1] and chars == max(i for i, k in enumerate(plain) if k <= limit), (t, limit)
-
-
-def test_prefix_programme_is_used_for_words():
-    c = tokencount.PrefixCounter(tokens.path())
-    r = random.Random(3)
+    cases = ["The internationalization's of tokenizers!!", "naïve Über-façade x", "  <|endoftext|> it's 123abc", "strengths" * 4, "", " \n", "日本 語"]
+    tables = tokencount.prefix_tables(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).cache()
+    import numpy as np
+
+    for r in tables.collect():
+        counts = np.concatenate([[0], np.cumsum(np.frombuffer(bytes(r.changes), f"<i{r.width}"))]).tolist()
+        assert counts == plain(cases[r.doc_id])
+    for limit in (0, 1, 3, 7, 100):
+        for r in tokencount.answers(tables, limit).collect():
+            own = plain(cases[r.doc_id])
+            assert r.n_tokens == own[-1] and r.over_limit == (own[-1] > limit)
+            assert r.fit_chars == (len(cases[r.doc_id]) if own[-1] <= limit else max(i for i, k in enumerate(own) if k <= limit)), (cases[r.doc_id], limit)
+
+
+@pytest.fixture(scope="module")
+def counter():
+    return tokencount.PrefixCounter(tokens.path())
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_prefix_tables_equal_the_library_at_every_prefix(counter, seed):
+    r = random.Random(seed)
+    signs = list("aAzZ019 .,!?'\"<|>-_  \n\t\r\x0b\x1c\x1f\x85\xa0 　éÉßñÑäÖçèếİıſK日本✓😀ΣΑς한글각") + ["e\u0301", "\u0301", "\u1112\u1161\u11ab", "<|endoftext|>", "<|startoftext|>", "'s", "'LL", "the", "ing", "'re", "'ve", "!'s", "don't", "aaaaa", "strength"]
     for _ in range(150):
+        t = "".join(r.choice(signs) for _ in range(r.randint(0, 25)))
+        assert counter.prefixes(t).tolist() == [len(counter.encoder.ids(t[:i])) for i in range(len(t) + 1)], repr(t)
+    for _ in range(100):
         w = "".join(r.choice("etaoinshrdlué") for _ in range(r.randint(1, 24)))
-        assert c.piece_prefixes(w) == [len(c.encoder.lib.encode(w[:i], add_special_tokens=False).ids) for i in range(len(w) + 1)], w
+        assert counter.piece_prefixes(w) == [len(counter.encoder.ids(w[:i])) for i in range(len(w) + 1)], w
+
+
+def test_long_texts_without_blanks_take_seconds(counter):
+    import time
+
+    for t in ("日本語の文章です" * 12_500, "é" * 100_000, "internationalization" * 5_000, "1" * 100_000):
+        began = time.process_time()
+        assert counter.prefixes(t)[-1] == len(counter.encoder.ids(t))
+        assert time.process_time() - began < 30
+
+
+@pytest.mark.parametrize("name", ["piece_bpe_32k.model", "byte_bpe_50k.json"])
+def test_files_of_another_make_are_counted_prefix_by_prefix(name):
+    c = tokencount.PrefixCounter(tokens.path(name))
+    t = "A short text, é!"
+    assert c.prefixes(t).tolist() == [0, *(len(c.encoder.ids(t[:i])) for i in range(1, len(t) + 1))]
 
 
 # 6
@@ -308,6 +402,89 @@ def test_language(spark, no_docs, docs):
     assert {x.lang_pred for x in langid.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def brute_scores(training, texts, params):
+    """Log scores by language of each text, in plain loops: shares of counts, of words first and of n-grams for what is no word."""
+    import math
+    import unicodedata
+
+    def words(t):
+        out, word = [], ""
+        for c in t.lower():
+            kind = unicodedata.category(c)[0]
+            if kind == "L" or kind == "M" and word:
+                word += c
+            else:
+                out, word = out + [word] * bool(word), ""
+        return out + [word] * bool(word)
+
+    langs = sorted({k for _, k in training})
+    counts = {k: Counter() for k in langs}
+    for t, k in training:
+        counts[k].update(words(t))
+    grams = {k: Counter() for k in langs}
+    for k in langs:
+        for w, n in counts[k].items():
+            for size in range(1, params.longest + 1):
+                for i in range(len(w) + 3 - size):
+                    grams[k][f" {w} "[i : i + size]] += n
+
+    def logs(table, key):
+        rate = [table[k][key] / sum(table[k].values()) for k in langs]
+        rate = [(x + params.floor * sum(rate) / len(langs)) / (1 + params.floor) for x in rate]
+        return [math.log(x / sum(rate)) for x in rate]
+
+    out = []
+    for t in texts:
+        total = [0.0] * len(langs)
+        for w in words(t):
+            if any(counts[k][w] for k in langs):
+                own = logs(counts, w)
+            else:
+                own, p = [0.0] * len(langs), f" {w} "
+                for end in range(2, len(p) + 1):
+                    size = next((n for n in range(min(params.longest, end), 0, -1) if any(grams[k][p[end - n : end]] for k in langs)), 0)
+                    if size:
+                        own = [a + b + params.backoff * (params.longest - size) for a, b in zip(own, logs(grams, p[end - size : end]), strict=True)]
+                own = [x / len(w) for x in own]
+            total = [a + b for a, b in zip(total, own, strict=True)]
+        out.append(dict(zip(langs, total, strict=True)) if words(t) else None)
+    return out
+
+
+def test_language_equals_brute_force(spark):
+    import math
+
+    r = random.Random(9)
+    stems = {"aa": "lor ips dol", "bb": "foo bar baz", "cc": "zaż gęś jaź", "hi": "हिन्दी में लिखा"}
+    make = lambda k: " ".join(r.choice(stems[k].split()) + r.choice(["", "um", "ę", "ी", "x"]) for _ in range(r.randint(1, 9)))
+    cases = [(i, make(k), k) for i in range(80) for k in [list(stems)[i % 4]]]
+    cases += [(300 + i, t, None) for i, t in enumerate(["lorum x² ½ foo", "²³ ½ ①", "́", "LORĘ zażx", "हिन्दीx", "q", "lor " * 20_000, "e\u0301 foo"])]
+    df = spark.createDataFrame(cases, "doc_id long, text string, lang string")
+    held = {i: zlib.crc32(str(i).encode()) % 3 == 1 for i, *_ in cases}
+    want = brute_scores([(t, k) for i, t, k in cases if k and not held[i]], [t for _, t, _ in cases], langid.Params())
+    got = {x.doc_id: x for x in langid.identify(df).collect()}
+    for (i, t, _), scores in zip(cases, want, strict=True):
+        if scores is None:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0), t
+            continue
+        best = max(scores.values())
+        assert scores[got[i].lang_pred] > best - 1e-3, t
+        assert abs(got[i].score - 1 / sum(math.exp(x - best) for x in scores.values())) < 1e-3, t
+
+
+def test_language_has_room_for_many_languages(spark):
+    """Each of 700 languages is learned and found again, the rarest too."""
+    r = random.Random(10)
+    words = [[f"{chr(97 + i % 26)}{chr(97 + i // 26)}{''.join(r.choice('aeiourst') for _ in range(5))}" for _ in range(6)] for i in range(700)]
+    cases = [(i * 40 + k, " ".join(r.choice(words[i]) for _ in range(5)), f"l{i:03d}") for i in range(700) for k in range(2 if i == 699 else 6)]
+    df = spark.createDataFrame(cases, "doc_id long, text string, lang string").repartition(4)
+    got = {x.doc_id: x.lang_pred for x in langid.identify(df).collect()}
+    taught = {k for i, _, k in cases if zlib.crc32(str(i).encode()) % 3 != 1}
+    seen = [(i, k) for i, _, k in cases if k in taught]
+    assert sum(got[i] == k for i, k in seen) > 0.95 * len(seen)
+    assert len({got[i] for i, _ in seen}) > 660
+
+
 # 8
 
 
@@ -423,42 +600,77 @@ def test_near_copies_are_similar_and_not_only_near(spark, tile):
 # 9
 
 
-def test_schedule_keeps_every_source_within_a_block():
-    weights = {"a": 5.0, "b": 1.0, "c": 2.5, "d": 0.01}
-    shares = mixing.rounded(weights, 1000)
-    plan = mixing.schedule(shares)
-    assert sum(shares.values()) == 1000 and sorted(x[2] for x in plan) == list(range(1000))
-    done = Counter()
-    for s, k, slot in sorted(plan, key=lambda x: x[2]):
-        assert k == done[s]
+def deviations(shares, plan):
+    """Of each slot the largest distance of any source from its share, in blocks; and every block's place in its window."""
+    total = sum(shares.values())
+    done, worst = Counter(), 0
+    for s, k, slot in plan:
+        assert k == done[s] and k * total // shares[s] <= slot < -(-(k + 1) * total // shares[s])
         done[s] += 1
-        for o, n in shares.items():
-            assert abs(done[o] - (slot + 1) * n / 1000) < 1
+        worst = max(worst, max(abs(done[o] * total - (slot + 1) * n) for o, n in shares.items()))
+    return worst / total
 
 
-def test_mixing_keeps_all_rows_and_the_target(spark, rows, docs, no_docs):
-    got = mixing.slots(docs.select("doc_id", "source"), block=4).collect()
+def test_weights_are_exact():
+    assert mixing.exact_shares({"a": 0.1, "b": 0.2, "c": 0, "d": "1/3"}) == {"a": 3, "b": 6, "d": 10}
+    assert mixing.exact_shares({"a": -1, "b": 0}) == {}
+    weights = {"a": 5.0, "b": 1.0, "c": 2.5, "d": 0.01, "e": 0.337}
+    plan = list(mixing.schedule(mixing.exact_shares(weights)))
+    assert [x[2] for x in plan] == list(range(len(plan)))
+    total = sum(weights.values())
+    done = Counter(s for s, *_ in plan)
+    assert all(abs(done[s] - len(plan) * w / total) < 1e-6 for s, w in weights.items())
+    assert deviations(mixing.exact_shares(weights), plan) < 1
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_schedule_keeps_every_source_within_a_block(seed):
+    r = random.Random(seed)
+    shares = mixing.exact_shares({f"s{i}": r.choice([1, 7, 50, 1000, 3700]) + i for i in range(r.randint(2, 12))} | {"least": 1})
+    assert deviations(shares, mixing.schedule(shares)) < 1
+
+
+def test_a_rare_source_stays_within_a_block_over_a_million_slots():
+    """Share 3.7e-5: rounded to a period of 4096 it would be 200 blocks ahead in the end."""
+    shares = mixing.exact_shares({"rare": 37, "a": 600_000, "b": 399_963})
+    assert sum(shares.values()) == 1_000_000
+    assert deviations(shares, mixing.schedule(shares)) < 1
+
+
+def test_as_many_blocks_as_there_are():
+    """A period far longer than the blocks at hand: they keep their windows, and nothing else is scheduled."""
+    shares = mixing.exact_shares({"a": 10**15 + 1, "b": 10**9 + 7, "c": 3 * 10**15})
+    blocks, total = {"a": 40, "b": 2, "c": 10}, sum(shares.values())
+    plan = list(mixing.schedule(shares, blocks))
+    assert Counter(s for s, *_ in plan) == blocks
+    assert all(k * total // shares[s] <= slot < -(-(k + 1) * total // shares[s]) for s, k, slot in plan)
+
+
+@pytest.mark.parametrize("weights", [None, {"src0": 1, "src1": 0.3, "src2": 1, None: "1/7"}, {"src0": 10**12 + 1, "src1": 1, "src2": 5, None: 10**9}, {"src1": 2}, {"none": 1}, {}])
+def test_mixing_keeps_all_rows_and_the_target(spark, rows, docs, no_docs, weights, monkeypatch):
+    monkeypatch.setattr(mixing, "PIECE", 16)
+    monkeypatch.setattr(mixing, "CELL_ROWS", 8)
+    got = mixing.slots(docs, weights, block=4).collect()
+    assert got[0].asDict().keys() == {*docs.columns, "block", "slot", "place"}
     assert Counter(x.doc_id for x in got) == Counter(r[0] for r in rows)
-    places = Counter((x.source, x.block, x.place) for x in got)
-    assert max(places.values()) == 1
+    assert max(Counter((x.source, x.block, x.place) for x in got).values()) == 1
     size = Counter(r[3] for r in rows)
+    shares = mixing.exact_shares({s: int(n**0.5) for s, n in size.items()} if weights is None else weights)
+    total = sum(shares.values())
     for s in size:
         assert sorted(x.block * 4 + x.place for x in got if x.source == s) == list(range(size[s]))
-        assert len({(x.slot) for x in got if x.source == s}) == -(-size[s] // 4)
+        own = {x.block: x.slot for x in got if x.source == s}
+        assert len(own) == len(set(own.values())) or s not in shares
+        assert all((slot is None) if s not in shares else k * total // shares[s] <= slot < -(-(k + 1) * total // shares[s]) for k, slot in own.items())
     by_slot = defaultdict(set)
     for x in got:
-        by_slot[x.slot].add((x.source, x.block))
+        if x.slot is not None:
+            by_slot[x.slot].add((x.source, x.block))
     assert all(len(v) == 1 for v in by_slot.values())
-    shares = mixing.rounded({s: n**0.5 for s, n in ((mixing_key(s), n) for s, n in size.items())}, mixing.PERIOD)
-    plan = {(s, k): slot for s, k, slot in mixing.schedule(shares)}
-    assert all(x.slot == plan[mixing_key(x.source), x.block] for x in got)
-    assert mixing.slots(no_docs.select("doc_id", "source")).count() == 0
-    mixed = mixing.mixed(docs.select("doc_id", "text", "lang", "source"), {"src0": 1.0, "src1": 3.0, "src2": 1.0, None: 1.0})
-    assert mixed.count() == len(rows) and mixed.columns == ["doc_id", "text", "lang", "source"]
-
-
-def mixing_key(s):
-    return "" if s is None else f"={s}"
+    assert mixing.slots(no_docs, weights).count() == 0
+    mixed = mixing.mixed(docs, weights)
+    assert mixed.columns == docs.columns and mixed.exceptAll(docs).count() == 0 and mixed.count() == len(rows)
+    assert mixing.mixed(no_docs, weights).count() == 0
 
 
 # 10
@@ -485,3 +697,66 @@ def test_toxicity(spark, docs, no_docs):
     assert toxicity.toxicity(no_docs, lab).count() == 0
     none = toxicity.toxicity(df, lab.filter("toxic = 0")).collect()
     assert all(x.score < 0.01 for x in none)
+
+
+def brute_ftrl(examples, ftrl):
+    """Weights by bucket and the bias, one coordinate at a time."""
+    import math
+
+    z, n, bias, bias_n = defaultdict(float), defaultdict(float), 0.0, 0.0
+    weight = lambda i: 0.0 if abs(z[i]) <= ftrl.l1 else (math.copysign(ftrl.l1, z[i]) - z[i]) / ((ftrl.beta + math.sqrt(n[i])) / ftrl.alpha + ftrl.l2)
+    for _ in range(ftrl.epochs):
+        for x, y in examples:
+            w = {i: weight(i) for i in x}
+            g = 1 / (1 + math.exp(-(sum(w.values()) + bias))) - y
+            for i in x:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / ftrl.alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+            bias_n += g * g
+            bias -= ftrl.alpha / (ftrl.beta + math.sqrt(bias_n)) * g
+    return {i: w for i in list(z) if (w := weight(i))}, bias
+
+
+def brute_features(text, bits):
+    import xxhash
+
+    words = [w for w in re.split(rb"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", text.lower().encode()) if w]
+    h = [xxhash.xxh32_intdigest(w) for w in words]
+    pairs = [a * 0x9E3779B1 + b for a, b in zip(h, h[1:], strict=False)] + [(a + 1) * 0x85EBCA6B + b for a, b in zip(h, h[2:], strict=False)]
+    return {(x % (1 << 32)) >> (32 - bits) for x in h + pairs}
+
+
+def test_toxicity_equals_a_plain_loop(spark):
+    import math
+
+    r = random.Random(11)
+    cases = []
+    for i in range(120):
+        words = [f"w{r.randint(0, 40)}" for _ in range(r.randint(0, 25))]
+        if i % 3 == 0 and words:
+            words[r.randrange(len(words))] = "bad"
+        cases.append((i, " ".join(words).title() + r.choice(["", "!", " Ünïcode", "\n"])))
+    cases += [(200, "bad " * 50_000), (201, None), (202, "")]
+    labels = [(i, int(i % 3 == 0)) for i, _ in cases if i < 120]
+    ftrl = toxicity.Ftrl(l1=0.5, sample=70)
+    df, lab = spark.createDataFrame(cases, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int")
+    taught = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 5]
+    order = [x.i for x in spark.createDataFrame([(i,) for i, _ in taught], "i long").orderBy(F.xxhash64("i"), "i").collect()][:70]
+    by = dict(cases)
+    weights, bias = brute_ftrl([(sorted(brute_features(by[i], toxicity.BITS)), dict(taught)[i]) for i in order], ftrl)
+    assert len(weights) > 10
+    for x in toxicity.toxicity(df, lab, ftrl).collect():
+        margin = sum(weights.get(f, 0.0) for f in brute_features(text_of(by[x.doc_id]), toxicity.BITS)) + bias
+        assert abs(x.score - 1 / (1 + math.exp(-margin))) < 1e-6 and x.predicted == (x.score >= 0.5)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01"])
+def test_quality_on_held_out_rows_of_the_given_tables(spark, sf):
+    """Language and toxicity of rows that the models have not seen."""
+    read = lambda n: spark.read.parquet(f"/root/testdata/{sf}/{n}.parquet")
+    docs, labels = read("documents"), read("labels")
+    lang = langid.identify(docs).filter("held_out").join(docs.filter("lang IS NOT NULL").select("doc_id", "lang"), "doc_id")
+    assert lang.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.9
+    got = toxicity.toxicity(docs, labels).filter("held_out").join(labels.filter("toxic IN (0, 1)").select("doc_id", "toxic"), "doc_id")
+    assert got.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("int"))).first()[0] > 0.9
