@@ -1,6 +1,6 @@
 """Point operations on samples: levels, tables, polynomials, gains. All are projections; tables are constants or small joins.
 
-Dither is off: it would make each sample depend on those before it in its row. dithered_rows() has it for whole rows.
+Dither is a column expression too: noise() jumps to a sample's place in its row.
 """
 
 from __future__ import annotations
@@ -68,35 +68,33 @@ def dither_table(curve: DataFrame) -> DataFrame:
     return curve.select("i", clamped(F.col("c") - F.floor((span + 2) / 4)).alias("base"), span.alias("delta"))
 
 
-def dithered_rows(rows: DataFrame, width: int) -> DataFrame:
-    """rows (image_id, y, base, delta: arrays by x) with `v`, dithered: a fold along each row, whose seed depends on it alone."""
-    seed = ((F.lit(width) + F.col("y") * 13).cast("long")).bitwiseXOR(F.lit(0x45694584).cast("long"))
+def noise(seed: Column, x: Column, factor: int, width: int) -> Column:
+    """The state after x + 1 steps of the multiply-with-carry generator whose step is low * factor + high of 16 bits each.
 
-    def step(s: Column, d: Column) -> Column:
-        r = (s["r"].bitwiseAND(F.lit(65535)) * 15700 + F.shiftright(s["r"], 16)).bitwiseAND(F.lit(0xFFFFFFFF))
-        v = d["base"] + F.shiftright(d["delta"] * r.bitwiseAND(F.lit(2047)) + 1024, 12)
-        return F.struct(r.alias("r"), F.concat(s["out"], F.array(v)).alias("out"))
+    Two steps bring any seed of 32 bits into its cycle, where a step is a multiplication by `factor` modulo
+    factor * 2**16 - 1. So a sample's state needs none of those before it: only a power, from a table as long as the row.
+    """
+    step = lambda r: r.bitwiseAND(F.lit(65535)) * factor + F.shiftright(r, 16)
+    modulus = (factor << 16) - 1
+    one = step(seed.cast("long"))
+    two = step(one)
+    power = F.get(table_column([pow(factor, k, modulus) for k in range(max(1, width - 1))]), (x - 1).cast("int"))
+    return F.when(x == 0, one).when(two == modulus, two).otherwise(F.pmod(two * power, F.lit(modulus)))
 
-    start = F.struct(seed.alias("r"), F.array().cast("array<bigint>").alias("out"))
-    return rows.withColumn("v", F.aggregate(F.arrays_zip("base", "delta"), start, step)["out"])
 
+def dithered(base: Column, delta: Column, x: Column, y: Column, width: int) -> Column:
+    """A value between base and its neighbours' distance delta, by noise whose seed depends on the row alone."""
+    seed = ((F.lit(width) + y * 13).cast("long")).bitwiseXOR(F.lit(0x45694584).cast("long"))
+    return base + F.shiftright(delta * noise(seed, x, 15700, width).bitwiseAND(F.lit(2047)) + 1024, 12)
 
-def scaled_rows(rows: DataFrame, width: int, black: list[int], white: int) -> DataFrame:
-    """rows (image_id, y, v: array by x) with v scaled as by scale_by_cell() and dithered: a fold along each row, whose seed depends on it alone."""
+
+def scale_dithered(df: DataFrame, width: int, black: list[int], white: int) -> DataFrame:
+    """df with v scaled as by scale_by_cell() and dithered, by noise whose seed depends on the row alone."""
     span = 65535.0 / (white - black[0])
     full, half = int(np.float32(span) * np.float32(4)), int(np.float32(span) * np.float32(4095))
-    seed = (F.lit(width) + F.col("y") * 36969).cast("long")
-    own = [F.get(F.array(*[F.lit(b).cast("long") for b in black]), (F.pmod(F.col("y"), F.lit(2)) * 2 + odd).cast("int")) for odd in (0, 1)]
-
-    def step(s: Column, v: Column) -> Column:
-        r = s["r"].bitwiseAND(F.lit(65535)) * 18000 + F.shiftright(s["r"], 16)
-        b = F.when(F.pmod(F.size(s["out"]), F.lit(2)) == 0, own[0]).otherwise(own[1])
-        noise = F.lit(half).cast("long") - r.bitwiseAND(F.lit(2047)) * full
-        out = clamped(F.shiftright((v - b) * multiplier(b, F.lit(white)) + 8192 + noise, 14))
-        return F.struct(r.alias("r"), F.concat(s["out"], F.array(out)).alias("out"))
-
-    start = F.struct(seed.alias("r"), F.array().cast("array<bigint>").alias("out"))
-    return rows.withColumn("v", F.aggregate("v", start, step)["out"])
+    b = F.get(F.array(*[F.lit(n).cast("long") for n in black]), cell(F.col("x"), F.col("y")))
+    r = noise(F.lit(width) + F.col("y") * 36969, F.col("x"), 18000, width).bitwiseAND(F.lit(2047))
+    return df.withColumn("v", clamped(F.shiftright((F.col("v") - b) * multiplier(b, F.lit(white)) + 8192 + F.lit(half).cast("long") - r * full, 14)))
 
 
 def polynomial(v: Column, coefficients: list[float]) -> Column:

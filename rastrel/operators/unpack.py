@@ -52,10 +52,11 @@ def rows_of(df: DataFrame, data: str, pitch: int, height: int | None = None) ->
     n = F.floor(F.length(data) / pitch).cast("int")
     lines = n if height is None else F.lit(height)
     short = n < lines
-    ys = F.when(short | (lines < 1), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), lines - 1))
-    out = df.withColumn("y", F.explode(ys))
-    row = F.substring(data, F.col("y") * pitch + 1, F.lit(pitch))
-    return out.withColumns({"row": F.when(F.col("y") >= 0, row), "error": F.when(F.col("y") < 0, "not enough bytes")}).drop(data)
+    # cut before they are rows: else each row would carry all the data
+    parts = F.transform(F.sequence(F.lit(0), lines - 1), lambda y: F.substring(data, y * pitch + 1, F.lit(pitch)))
+    parts = F.when(short | (lines < 1), F.array(F.lit(None).cast("binary"))).otherwise(parts)
+    out = df.select(*[c for c in df.columns if c not in (data, "y", "row", "error")], F.posexplode(parts).alias("y", "row"))
+    return out.withColumns({"y": F.when(F.col("row").isNull(), -1).otherwise(F.col("y")), "error": F.when(F.col("row").isNull(), "not enough bytes")})
 
 
 def samples(df: DataFrame, value: Sample, n: int, extra: str = "bytes") -> DataFrame:

@@ -69,9 +69,9 @@ def agg09_throughput(spark, sf_dir):
     return out.select("event_type", *[F.round(c, 6 if c == "files_per_s" else 4).alias(c) if c not in ("samples", "files") else F.col(c) for c in out.columns[1:]])
 
 
-@query("WITH c AS (SELECT user_id, list(event_id % 5 ORDER BY event_id) AS counts FROM events WHERE event_id < 2000 GROUP BY user_id) SELECT user_id, CAST(list_sum(counts) AS BIGINT) AS n_codes, CAST(list_max(list_transform(counts, lambda c, i: c + i)) AS BIGINT) AS longest FROM c")
+@query("WITH c AS (SELECT user_id, list(event_id % 5 ORDER BY event_id) AS counts FROM events GROUP BY user_id) SELECT user_id, CAST(list_sum(counts) AS BIGINT) AS n_codes, CAST(list_max(list_transform(counts, lambda c, i: c + i)) AS BIGINT) AS longest FROM c")
 def agg12_code_lengths(spark, sf_dir):
-    t = X.table(spark, sf_dir, "events").filter("event_id < 2000").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id"))).alias("e"))
+    t = X.table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id"))).alias("e"))
     counts = t.select("user_id", F.transform("e", lambda s: s["event_id"] % 5).alias("counts"))
     return counts.select("user_id", F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c).alias("n_codes"), F.array_max(F.transform("counts", lambda c, i: c + i + 1)).alias("longest"))
 

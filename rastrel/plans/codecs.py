@@ -12,14 +12,15 @@ CODE = {"counts": COUNTS, "values": VALUES}
 
 
 def encoded(df, encode, width, height):
-    """(unit_id, data, width, height) of images (image_id, y, x, v)."""
+    """(unit_id, data, width, height) of images (image_id, y, x, v); rows that an image lacks at its end are zero."""
     rows = df.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("s")).select("image_id", F.transform("s", lambda s: s["v"].cast("double")).alias("v"))
 
     def made(batches):
         import pyarrow as pa
 
         for b in batches:
-            data = [encode(np.array(v.as_py()).reshape(height, width)) for v in b.column(1)]
+            images = [np.array(v.as_py()).reshape(-1, width) for v in b.column(1)]
+            data = [encode(np.pad(i, ((0, height - len(i)), (0, 0)))) for i in images]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], names=["unit_id", "data"])
 
     return rows.mapInArrow(made, "unit_id long, data binary").withColumns({"width": F.lit(width), "height": F.lit(height)})
@@ -27,7 +28,11 @@ def encoded(df, encode, width, height):
 
 def round_trip(df, encode, codec, width=X.WIDTH, height=X.HEIGHT, **parameters):
     units = encoded(df, encode, width, height)
-    out = decoded(units, codec, **parameters).select("unit_id", "y", F.posexplode("v").alias("x", "v"))
+    return samples(decoded(units, codec, **parameters))
+
+
+def samples(lines):
+    out = lines.select("unit_id", "y", F.posexplode("v").alias("x", "v"))
     return out.select(F.col("unit_id").alias("image_id"), F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("v").cast("long").alias("v"))
 
 
@@ -94,28 +99,30 @@ def cdc24_strips(spark, sf_dir):
     return rows_of_units(round_trip(df, lambda img: predictive.encode_strip(img[0].astype(np.int64)), "adaptive_lengths", X.WIDTH, 1))
 
 
-@query(SMOOTH + " WHERE x < 48")
+@query(SMOOTH)
 def cdc16_groups(spark, sf_dir):
-    df = rows_as_units(smooth(spark, sf_dir).filter("x < 48"))
-    return rows_of_units(round_trip(df, lambda img: adaptive.encode_groups(img[0].astype(np.int64)), "group_lengths", 48, 1))
+    """Rows are filled up to whole groups of 16."""
+    units = encoded(rows_as_units(smooth(spark, sf_dir)), lambda img: adaptive.encode_groups(np.pad(img[0].astype(np.int64), (0, 14))), X.WIDTH, 1).withColumn("width", F.lit(64))
+    return rows_of_units(samples(decoded(units, "group_lengths")).filter(F.col("x") < X.WIDTH))
 
 
-@query(f"WITH {X.PLANE_F32} SELECT image_id, y, x, CAST(trunc(v::DOUBLE * 1000000) AS BIGINT) AS v FROM fplane WHERE image_id < (SELECT (count(*) // 32) FROM embeddings)")
+@query(f"WITH {X.PLANE_F32} SELECT image_id, y, x, CAST(trunc(v::DOUBLE * 1000000) AS BIGINT) AS v FROM fplane")
 def cdc25_float_planes(spark, sf_dir):
     df = X.plane_f32(spark, sf_dir)
-    whole = X.table(spark, sf_dir, "embeddings").count() // 32
-    units = encoded(df.filter(F.col("image_id") < whole), lambda img: planes.encode_planes(img.astype("f4"), predictor=34894), 64, 32)
-    out = decoded(units, "float_planes", bits=32, predictor=34894).select("unit_id", "y", F.posexplode("v").alias("x", "v"))
+    rows = X.table(spark, sf_dir, "embeddings").count()
+    units = encoded(df, lambda img: planes.encode_planes(img.astype("f4"), predictor=34894), 64, 32)
+    out = decoded(units, "float_planes", bits=32, predictor=34894).filter(F.col("unit_id") * 32 + F.col("y") < rows).select("unit_id", "y", F.posexplode("v").alias("x", "v"))
     return out.select(F.col("unit_id").alias("image_id"), F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), (F.col("v") * F.lit(1000000.0)).cast("long").alias("v"))
 
 
 BLOCK_CODE = prefix.flat_code([*range(16), 255])
 
 
-@query(f"WITH {X.plane_sql(40)} SELECT image_id, y, x, v % 1024 AS v FROM plane WHERE y < 24")
+@query(f"WITH {X.plane_sql(40)} SELECT image_id, y, x, v % 1024 AS v FROM plane")
 def cdc22_blocks_of_runs(spark, sf_dir):
-    df = X.plane_u16(spark, sf_dir, 40).filter("y < 24").withColumn("v", F.expr("v % 1024"))
-    return round_trip(df, _whole(adaptive.encode_blocks, first=BLOCK_CODE, rest=BLOCK_CODE), "run_blocks", 40, 24, first=BLOCK_CODE, rest=BLOCK_CODE)
+    """Images are filled up to whole blocks."""
+    df = X.plane_u16(spark, sf_dir, 40).withColumn("v", F.expr("v % 1024"))
+    return round_trip(df, _whole(adaptive.encode_blocks, first=BLOCK_CODE, rest=BLOCK_CODE), "run_blocks", 40, 32, first=BLOCK_CODE, rest=BLOCK_CODE).filter("y < 25")
 
 
 @query(PLANE)
@@ -134,9 +141,9 @@ def cdc29_tiles_by_compression(spark, sf_dir):
     return decoded_tiles(t).groupBy(F.col("unit_id").alias("image_id")).agg(F.max(F.col("y") + 1).alias("rows"), F.max("error").alias("error"))
 
 
-@query(f"WITH {X.plane_sql()}, t AS (SELECT event_id, unnest(range(0, 9)) AS k FROM events WHERE event_id < 100) SELECT event_id AS id, list(CAST(xor(65 + k, (event_id % 256 + (event_id % 7) * ((k + 1) * 96 + k * (k + 1) // 2)) % 256) AS BIGINT) ORDER BY k) AS clear FROM t GROUP BY event_id")
+@query(f"WITH {X.plane_sql()}, t AS (SELECT event_id, unnest(range(0, 9)) AS k FROM events) SELECT event_id AS id, list(CAST(xor(65 + k, (event_id % 256 + (event_id % 7) * ((k + 1) * 96 + k * (k + 1) // 2)) % 256) AS BIGINT) ORDER BY k) AS clear FROM t GROUP BY event_id")
 def fn32_unscrambled_bytes(spark, sf_dir):
     from ..functions import keystreams
 
-    t = X.table(spark, sf_dir, "events").filter("event_id < 100").select("event_id", F.encode(F.lit("ABCDEFGHI"), "UTF-8").alias("data"))
+    t = X.table(spark, sf_dir, "events").select("event_id", F.encode(F.lit("ABCDEFGHI"), "UTF-8").alias("data"))
     return t.select(F.col("event_id").alias("id"), keystreams.unscrambled(F.col("data"), 9, F.expr("event_id % 7"), F.expr("event_id % 256")).alias("clear"))

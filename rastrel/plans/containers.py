@@ -11,7 +11,7 @@ from . import fixtures as X
 
 
 def files(spark, sf_dir):
-    """Every tenth event as a TIFF file of two directories."""
+    """Each event as a TIFF file of two directories."""
 
     def made(batches):
         import pyarrow as pa
@@ -25,25 +25,23 @@ def files(spark, sf_dir):
                 out.append(C.written_tiff([first, [(256, 4, 1, struct.pack(e + "I", i)), (256, 4, 1, struct.pack(e + "I", i + 1))]], big))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["file_id", "content"])
 
-    rows = X.table(spark, sf_dir, "events").filter("event_id % 10 = 0").select("event_id", "user_id", "event_type")
+    rows = X.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
     return rows.mapInArrow(made, "file_id long, content binary")
 
 
-@query("""SELECT event_id AS file_id, '0.0' AS ifd, t AS tag, CASE t WHEN 256 THEN CAST(100 + user_id AS VARCHAR) WHEN 257 THEN CAST(user_id AS VARCHAR) ELSE event_type END AS value FROM events, (SELECT unnest([256, 257, 271]) AS t) WHERE event_id % 10 = 0
-UNION ALL SELECT event_id, '0.1', 256, CAST(event_id + 1 AS VARCHAR) FROM events WHERE event_id % 10 = 0""")
+@query("""SELECT event_id AS file_id, '0.0' AS ifd, t AS tag, CASE t WHEN 256 THEN CAST(100 + user_id AS VARCHAR) WHEN 257 THEN CAST(user_id AS VARCHAR) ELSE event_type END AS value FROM events, (SELECT unnest([256, 257, 271]) AS t)
+UNION ALL SELECT event_id, '0.1', 256, CAST(event_id + 1 AS VARCHAR) FROM events""")
 def src06_tiff_entries(spark, sf_dir):
     e = C.entries(files(spark, sf_dir))
-    digits = F.when(F.col("big"), F.hex("value")).otherwise(F.array_join(F.reverse(F.regexp_extract_all(F.hex("value"), F.lit("(..)"), 1)), ""))
     text = F.split_part(F.col("value").cast("string"), F.lit("\x00"), F.lit(1))
-    return e.select("file_id", "ifd", "tag", F.when(F.col("kind") == 2, text).otherwise(F.conv(digits, 16, 10)).alias("value"))
+    return e.select("file_id", "ifd", "tag", F.when(F.col("kind") == 2, text).otherwise(F.col("number").cast("string")).alias("value"))
 
 
-@query("SELECT event_id AS file_id, CAST(100 + user_id AS BIGINT) AS width FROM events WHERE event_id % 10 = 0")
+@query("SELECT event_id AS file_id, CAST(100 + user_id AS BIGINT) AS width FROM events")
 def src06_first_width(spark, sf_dir):
     """The first entry of a tag in the walk, as a filter and a minimum over rows."""
     e = C.entries(files(spark, sf_dir)).filter("tag = 256")
-    digits = F.when(F.col("big"), F.hex("value")).otherwise(F.array_join(F.reverse(F.regexp_extract_all(F.hex("value"), F.lit("(..)"), 1)), ""))
-    return e.groupBy("file_id").agg(F.min_by(F.conv(digits, 16, 10).cast("long"), "dfs").alias("width"))
+    return e.groupBy("file_id").agg(F.min_by("number", "dfs").alias("width"))
 
 
 @query("SELECT event_id AS file_id, 'make: ' || event_type || chr(10) || 'isoSpeed: ' || user_id || chr(10) || 'whitePoint: ' || CASE WHEN event_id % 3 = 0 THEN '(none)' ELSE CAST(event_id AS VARCHAR) END AS report FROM events")

@@ -92,9 +92,9 @@ def pix23_diagonal_rotation(spark, sf_dir):
     return G.rotated45(X.plane_u16(spark, sf_dir), X.WIDTH).selectExpr("image_id", "x", "y", "v")
 
 
-@query(f"WITH {X.STRIPS} SELECT file_id, coalesce(min(d) > 0, true) AS rising FROM (SELECT file_id, len - lag(len) OVER (PARTITION BY file_id ORDER BY n) AS d FROM strips WHERE n < 4) GROUP BY file_id")
+@query(f"WITH {X.STRIPS} SELECT file_id, coalesce(min(d) > 0, true) AS rising FROM (SELECT file_id, len - lag(len) OVER (PARTITION BY file_id ORDER BY n) AS d FROM strips) GROUP BY file_id")
 def srt07_strictly_increasing(spark, sf_dir):
-    return G.strictly_increasing(X.strips(spark, sf_dir).filter("n < 4"), "file_id", "n", "len")
+    return G.strictly_increasing(X.strips(spark, sf_dir), "file_id", "n", "len")
 
 
 @query(f"WITH {X.STRIPS} SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY off, n) AS place, n FROM strips")
@@ -102,19 +102,17 @@ def srt01_sorted_offsets(spark, sf_dir):
     return X.strips(spark, sf_dir).selectExpr("file_id", "cast(row_number() OVER (PARTITION BY file_id ORDER BY off, n) AS bigint) AS place", "n")
 
 
-@query("""WITH r AS (SELECT event_id AS id, event_id % 40 AS x, event_id % 30 AS y, 1 + event_id % 3 AS w, 1 + event_id % 2 AS h FROM events WHERE event_id % 50 = 0)
+@query("""WITH r AS (SELECT event_id AS id, event_id % 40 AS x, event_id % 30 AS y, 1 + event_id % 3 AS w, 1 + event_id % 2 AS h FROM events)
 SELECT id, px, py FROM r, LATERAL (SELECT unnest(range(x, x + w)) AS px), LATERAL (SELECT unnest(range(y, y + h)) AS py)""")
 def set04_rectangles_to_points(spark, sf_dir):
-    r = X.table(spark, sf_dir, "events").filter("event_id % 50 = 0").selectExpr("event_id AS id", "event_id % 40 AS x", "event_id % 30 AS y", "1 + event_id % 3 AS w", "1 + event_id % 2 AS h")
+    r = X.table(spark, sf_dir, "events").selectExpr("event_id AS id", "event_id % 40 AS x", "event_id % 30 AS y", "1 + event_id % 3 AS w", "1 + event_id % 2 AS h")
     return G.points(r).select("id", "px", "py")
 
 
-@query("""WITH r AS (SELECT event_id AS id, event_id % 40 AS x, event_id % 30 AS y FROM events WHERE event_id % 50 = 0), p AS (SELECT event_id % 40 AS x, event_id % 30 AS y FROM events WHERE event_id % 7 = 0)
-SELECT x, y FROM r UNION SELECT x, y FROM p""")
+@query("""SELECT event_id % 400 AS x, event_id % 30 AS y FROM events UNION SELECT user_id % 40 AS x, event_id % 300 AS y FROM events""")
 def set01_bad_pixel_union(spark, sf_dir):
     e = X.table(spark, sf_dir, "events")
-    own = lambda n: e.filter(f"event_id % {n} = 0").selectExpr("event_id % 40 AS x", "event_id % 30 AS y")
-    return own(50).unionByName(own(7)).distinct()
+    return e.selectExpr("event_id % 400 AS x", "event_id % 30 AS y").unionByName(e.selectExpr("user_id % 40 AS x", "event_id % 300 AS y")).distinct()
 
 
 @query("SELECT event_id AS file_id, i - 1 AS n, off, len, x, y FROM (SELECT event_id, unnest(range(1, 5)) AS i FROM events), LATERAL (SELECT event_id * 10 + i AS off, CAST(100 * i AS BIGINT) AS len, (i - 1) % 2 * 16 AS x, (i - 1) // 2 * 16 AS y)")

@@ -59,14 +59,20 @@ def pix13_dither_table(spark, sf_dir):
     return P.dither_table(spark.range(1024).selectExpr("id AS i", "id * id % 977 * 60 AS c"))
 
 
-@query(f"""WITH {X.plane_sql()}, RECURSIVE_ROWS AS (SELECT image_id, y, list(v ORDER BY x) AS vs FROM plane WHERE x < 8 GROUP BY ALL),
-s0 AS (SELECT *, CAST(xor(8 + 13 * y, 1164526980) AS BIGINT) AS r0 FROM RECURSIVE_ROWS),
-""" + ",\n".join(f"s{i} AS (SELECT *, ((r{i - 1} & 65535) * 15700 + (r{i - 1} >> 16)) & 4294967295 AS r{i} FROM s{i - 1})" for i in range(1, 9)) + """
-SELECT image_id, y, i - 1 AS x, vs[i] // 2 + (((vs[i] % 512) * ([r1, r2, r3, r4, r5, r6, r7, r8][i] & 2047) + 1024) >> 12) AS v FROM s8, unnest(range(1, 9)) t(i)""")
+def _noise_sql(seed, factor):
+    """r(image_id, y, x, r): the generator's state at each sample, step by step."""
+    step = lambda r: f"({r} & 65535) * {factor} + ({r} >> 16)"
+    return f"""w AS (SELECT DISTINCT image_id, y, CAST({seed} AS BIGINT) AS s FROM plane),
+r AS (SELECT image_id, y, CAST(0 AS BIGINT) AS x, {step('s')} AS r FROM w UNION ALL SELECT image_id, y, x + 1, {step('r')} FROM r WHERE x < {X.WIDTH - 1})"""
+
+
+RECURSIVE = f"WITH RECURSIVE {X.plane_sql()}"
+
+
+@query(f"{RECURSIVE}, {_noise_sql(f'xor({X.WIDTH} + 13 * y, 1164526980)', 15700)} SELECT image_id, y, x, v // 2 + (((v % 512) * (r & 2047) + 1024) >> 12) AS v FROM plane JOIN r USING (image_id, y, x)")
 def pix11_dithered_look_up(spark, sf_dir):
-    rows = plane(spark, sf_dir).filter("x < 8").groupBy("image_id", "y").agg(F.array_sort(F.collect_list(F.struct("x", "v"))).alias("r"))
-    rows = rows.selectExpr("image_id", "y", "transform(r, p -> p.v div 2) AS base", "transform(r, p -> p.v % 512) AS delta")
-    return P.dithered_rows(rows, 8).select("image_id", "y", F.posexplode("v").alias("x", "v")).withColumn("x", F.col("x").cast("long"))
+    v = F.col("v")
+    return plane(spark, sf_dir).select("image_id", "y", "x", P.dithered(F.floor(v / 2), v % 512, F.col("x"), F.col("y"), X.WIDTH).alias("v"))
 
 
 @query(f"{PLANE} SELECT image_id, y, x, v AS uncorrected, least(65535, least(v, 4095) * least(v, 4095) // 1000) AS corrected, round(v / 65535.0, 6) AS share FROM plane")
@@ -205,11 +211,11 @@ def flt15_value_range(spark, sf_dir):
     return plane(spark, sf_dir).select("image_id", "y", "x", bits.is_int_n(F.col("v"), 14).alias("fits14"), bits.is_int_n(F.col("v"), 12).alias("fits12"))
 
 
-@query(f"{PLANE} SELECT image_id, y, x, round(pow(x / 50.0::DOUBLE, 1 / 2.4::DOUBLE), 9) AS g, least(65535, v * 2) AS t FROM plane WHERE y = 0")
+@query(f"{PLANE} SELECT image_id, y, x, round(pow(x / 50.0::DOUBLE, 1 / 2.4::DOUBLE), 9) AS g, least(65535, v * 2) AS t FROM plane")
 def pix29_gamma(spark, sf_dir):
     from ..functions import curves
 
-    return plane(spark, sf_dir).filter("y = 0").select("image_id", "y", "x", F.round(curves.power(F.col("x") / F.lit(50.0), 2.4), 9).alias("g"), F.least(F.lit(65535).cast("long"), F.col("v") * 2).alias("t"))
+    return plane(spark, sf_dir).select("image_id", "y", "x", F.round(curves.power(F.col("x") / F.lit(50.0), 2.4), 9).alias("g"), F.least(F.lit(65535).cast("long"), F.col("v") * 2).alias("t"))
 
 
 def _dither_sql():
@@ -217,17 +223,13 @@ def _dither_sql():
     import numpy as np
 
     full, half = int(np.float32(span) * np.float32(4)), int(np.float32(span) * np.float32(4095))
-    steps = ",\n".join(f"s{i} AS (SELECT *, (r{i - 1} & 65535) * 18000 + (r{i - 1} >> 16) AS r{i} FROM s{i - 1})" for i in range(1, 9))
-    return f"""{PLANE}, w AS (SELECT image_id, y, list(v ORDER BY x) AS vs FROM plane WHERE x < 8 GROUP BY ALL), s0 AS (SELECT *, 8 + y * 36969 AS r0 FROM w), {steps},
-t AS (SELECT image_id, y, i - 1 AS x, vs[i] AS v, [r1, r2, r3, r4, r5, r6, r7, r8][i] AS r FROM s8, unnest(range(1, 9)) t(i)), u AS (SELECT *, CAST({BLACK_SQL} AS BIGINT) AS b FROM t)
+    return f"""{RECURSIVE}, {_noise_sql(f'{X.WIDTH} + y * 36969', 18000)}, u AS (SELECT *, CAST({BLACK_SQL} AS BIGINT) AS b FROM plane JOIN r USING (image_id, y, x))
 SELECT image_id, y, x, greatest(0, least(65535, ((v - b) * {MUL.format(w=WHITE, b='b')} + 8192 + {half} - {full} * (r & 2047)) >> 14)) AS v FROM u"""
 
 
 @query(_dither_sql())
 def pix05_dithered_scale(spark, sf_dir):
-    rows = plane(spark, sf_dir).filter("x < 8").groupBy("image_id", "y").agg(F.array_sort(F.collect_list(F.struct("x", "v"))).alias("r"))
-    rows = P.scaled_rows(rows.selectExpr("image_id", "y", "transform(r, p -> p.v) AS v"), 8, BLACKS, WHITE)
-    return rows.select("image_id", "y", F.posexplode("v").alias("x", "v")).withColumn("x", F.col("x").cast("long"))
+    return P.scale_dithered(plane(spark, sf_dir), X.WIDTH, BLACKS, WHITE).select("image_id", "y", "x", "v")
 
 
 KNOTS, GAINS = [8000, 16000, 24000, 32000, 40000, 48000, 56000], [[[10000 + 30 * i * k for i in range(7)] for k in (1, 2)], [[10000 - 20 * i * k for i in range(7)] for k in (1, 3)]]
@@ -261,9 +263,9 @@ def pix14_curve_guard(spark, sf_dir):
     return plane(spark, sf_dir).select("image_id", "y", "x", Options().curved(v, TABLE).alias("guarded"), Options(uncorrected=True).curved(v, TABLE).alias("uncorrected"))
 
 
-@query(f"{PLANE} SELECT image_id, y, x, v, least(65535, least(v, 4095) * least(v, 4095) // 1000) AS t FROM plane WHERE v % 2 = 0")
+@query(f"{PLANE} SELECT image_id, y, x, v, least(65535, least(v, 4095) * least(v, 4095) // 1000) AS t FROM plane")
 def jon05_table_join(spark, sf_dir):
     """A table as a relation: an equi-join on the value."""
     table = spark.createDataFrame([(i, t) for i, t in enumerate(TABLE)], "i long, t long")
-    p = plane(spark, sf_dir).filter("v % 2 = 0").withColumn("i", F.least(F.col("v"), F.lit(len(TABLE) - 1)))
+    p = plane(spark, sf_dir).withColumn("i", F.least(F.col("v"), F.lit(len(TABLE) - 1)))
     return p.join(table, "i").select("image_id", "y", "x", "v", "t")

@@ -6,15 +6,14 @@ from ..operators import unpack as U
 from ..registry import query
 from . import fixtures as X
 
-#: The first two rows of 48 bytes of each text, as SQL over lists of bytes b.
+#: All rows of 48 bytes of each text, as SQL over lists of bytes b.
 BYTES = """WITH d AS (SELECT doc_id, encode(text) AS raw FROM documents), p AS (SELECT doc_id, raw || unhex(repeat('00', CAST((48 - octet_length(raw) % 48) % 48 AS INTEGER))) AS data FROM d),
-r AS (SELECT doc_id, y, hex(data[y * 48 + 1 : y * 48 + 48]) AS h FROM p, (SELECT unnest([0, 1]) AS y) WHERE octet_length(data) >= (y + 1) * 48),
+q AS (SELECT doc_id, hex(data) AS h, unnest(range(0, octet_length(data) // 48)) AS y FROM p), r AS (SELECT doc_id, y, substr(h, CAST(y * 96 + 1 AS BIGINT), 96) AS h FROM q),
 l AS (SELECT doc_id, y, list_transform(range(0, 48), lambda i: CAST('0x' || substr(h, CAST(i * 2 + 1 AS BIGINT), 2) AS INTEGER)) AS b FROM r)"""
 
 
 def rows(spark, sf_dir):
-    d = X.blobs(spark, sf_dir).withColumn("data", F.substring("data", 1, 96))
-    return U.rows_of(d, "data", 48).filter("error IS NULL").withColumn("bytes", U.bytes_of("row")).select("doc_id", "y", "bytes")
+    return U.rows_of(X.blobs(spark, sf_dir), "data", 48).filter("error IS NULL").withColumn("bytes", U.bytes_of("row")).select("doc_id", "y", "bytes")
 
 
 def _unpack_sql(n, bits, order):
@@ -75,9 +74,10 @@ def cdc13_packets_of_ten(spark, sf_dir):
     return U.samples(rows(spark, sf_dir), U.packets("bytes", 12), 30).select("doc_id", "y", "x", "v")
 
 
-@query("""WITH d AS (SELECT doc_id, encode(left(text, 64)) AS raw FROM documents WHERE strlen(left(text, 64)) >= 40) SELECT doc_id, lower(hex(raw[28:40] || raw[1:27])) AS turned FROM (SELECT doc_id, raw[1:40] AS raw FROM d)""")
+@query("""WITH d AS (SELECT doc_id, hex(encode(text)) AS h FROM documents)
+SELECT doc_id, lower(array_to_string(list_transform(range(0, (strlen(h) + 79) // 80), lambda k: substr(h, CAST(k * 80 + 55 AS BIGINT), 26) || substr(h, CAST(k * 80 + 1 AS BIGINT), 54)), '')) AS turned FROM d""")
 def cdc13_swapped_blocks(spark, sf_dir):
-    d = X.table(spark, sf_dir, "documents").selectExpr("doc_id", "encode(left(text, 64), 'UTF-8') AS raw").filter("length(raw) >= 40").withColumn("raw", F.substring("raw", 1, 40))
+    d = X.table(spark, sf_dir, "documents").selectExpr("doc_id", "encode(text, 'UTF-8') AS raw")
     return d.select("doc_id", F.lower(F.hex(U.halves_swapped("raw", 40, 13))).alias("turned"))
 
 

@@ -265,7 +265,9 @@ def mrw(data: bytes) -> dict:
 
 
 PARSERS = {"TIFF": tiff, "CIFF": ciff, "RAF": fiff}
-ROWS = "file_id long, ifd string, dfs int, tag int, kind int, count long, value binary, big boolean, error string"
+ROWS = "file_id long, ifd string, dfs int, tag int, kind int, count long, value binary, big boolean, error string, number long"
+#: Bytes of a whole number by its kind, and rows of a batch.
+WHOLE, MOST_ROWS = {1: 1, 3: 2, 4: 4, 13: 4}, 5000
 
 
 def kind_of(data: bytes) -> str:
@@ -275,21 +277,33 @@ def kind_of(data: bytes) -> str:
 
 
 def entries(files: DataFrame, id_col: str = "file_id", content: str = "content") -> DataFrame:
-    """One row for each entry of each file; within a directory the last entry of a tag wins."""
+    """One row for each entry of each file, with the first of its whole numbers, if it has such; within a directory the last entry of a tag wins."""
+
+    kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.bool_(), pa.string(), pa.int64())
+
+    def whole(e: Entry) -> int | None:
+        size = WHOLE.get(e.kind)
+        return int.from_bytes(e.value[:size], "big" if e.big else "little") if size and len(e.value) >= size else None
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in ROWS.split(", ")])
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            rows, held = [], 0
             for file_id, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):  # a file at a time
-                rows = []
                 try:
                     raw = data.as_py() or b""
-                    for dfs, (path, d) in enumerate(PARSERS[kind_of(raw)](raw).walk()):
-                        rows += [(file_id, path, dfs, e.tag, e.kind, e.count, e.value, e.big, None) for e in d.last_wins()]
+                    own = [(file_id, path, dfs, e.tag, e.kind, e.count, e.value, e.big, None, whole(e)) for dfs, (path, d) in enumerate(PARSERS[kind_of(raw)](raw).walk()) for e in d.last_wins()]
                 except ContainerError as x:
-                    rows = [(file_id, None, None, None, None, None, None, None, str(x))]
-                if rows:
-                    kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.bool_(), pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in ROWS.split(", ")])
+                    own = [(file_id, None, None, None, None, None, None, None, str(x), None)]
+                rows += own
+                held += sum(len(r[6] or b"") for r in own)
+                if len(rows) >= MOST_ROWS or held >= 1 << 24:
+                    yield batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield batch(rows)
 
     return files.selectExpr(f"{id_col} AS file_id", f"{content} AS content").mapInArrow(parsed, ROWS)
 
