@@ -6,6 +6,8 @@ an encoder, so that round trips can be tested. decoded() applies them to a DataF
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -49,14 +51,15 @@ def decoded(units: DataFrame, codec: str, **parameters: object) -> DataFrame:
             for i, data, w, h in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 try:
                     img, error = run(data or b"", w, h, **parameters), None
-                except CodecError as e:
-                    img, error = np.empty((0, w)), str(e)
+                except (CodecError, LookupError, ValueError, ArithmeticError, MemoryError, TypeError, struct.error, zlib.error) as e:  # damaged bytes fail in many ways; a unit's failure is its own
+                    img, error = np.empty((0, w or 0)), str(e) or type(e).__name__
                 n = max(1, len(img))
-                ys = range(len(img)) if error is None else [None]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([i] * n, pa.int64()), pa.array(list(ys) if len(img) else [None], pa.int32()), pa.array([list(map(float, r)) for r in img] if len(img) else [None], pa.list_(pa.float64())), pa.array([error] * n, pa.string())],
-                    names=["unit_id", "y", "v", "error"],
-                )
+                if len(img):
+                    width = img.shape[1]
+                    values = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(np.ascontiguousarray(img, np.float64).ravel()))
+                else:
+                    values = pa.nulls(1, pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array([i] * n, pa.int64()), pa.array(range(n) if len(img) else [None], pa.int32()), values, pa.array([error] * n, pa.string())], names=["unit_id", "y", "v", "error"])
 
     return units.select("unit_id", "data", "width", "height").mapInArrow(lines, OUT)
 

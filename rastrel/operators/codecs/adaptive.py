@@ -1,8 +1,10 @@
-"""Codecs whose code lengths depend on what came before; each file, strip or packet is walked in order."""
+"""Codecs whose code lengths depend on what came before.
 
-from __future__ import annotations
+Where lengths depend on the differences alone, these are read first, as numbers in stream order; the samples follow from
+arrays of them. Packets are independent, so they are decoded together: a step of all packets at a time.
+"""
 
-from dataclasses import dataclass
+from __future__ import annotations
 
 import numpy as np
 
@@ -11,87 +13,97 @@ from .prefix import PrefixCode
 
 U16 = 0xFFFF
 
+# two lanes a row, each with a length that follows its last difference
 
-def gradient_prediction(left: int, up: int, corner: int) -> int:
-    """The neighbour across the smaller step; where both steps go opposite ways, their plane, or for small ones their mean."""
-    a, b = left - corner, up - corner
-    if a * b < 0:
-        return left + b if max(abs(a), abs(b)) > 32 else left + up >> 1
-    return left if abs(a) > abs(b) else up
+#: Bits of the unary part, of the stored number, and the size up to which a difference is small.
+UNARY, LONG, SMALL = 12, 15, 16
 
 
-@dataclass
-class Carry:
-    """What one lane of a row has learned of its differences."""
+def lane_bits(size: int, smalls: int) -> int:
+    """Bits that a lane stores as they are, after a difference of this size and so many small ones in a row."""
+    extra = 0 if smalls > 2 else 2
+    return max(2 + extra, size.bit_length() - extra)
 
-    size: int = 0
-    drift: int = 0
-    calm: int = 0
 
-    @property
-    def low_bits(self) -> int:
-        bias = 2 if self.calm < 3 else 0
-        return max(self.size.bit_length() - bias, 2 + bias)
+def lane_after(state: tuple[int, int, int], magnitude: int, negative: bool) -> tuple[int, tuple[int, int, int]]:
+    """(the upper part of the difference, the lane's state after it); a state is the last size, a running mean and the number of small sizes in a row."""
+    _, mean, smalls = state
+    upper = (-1 - magnitude if negative else magnitude) + mean
+    return upper, (magnitude, (3 * upper + mean) >> 5, smalls + 1 if magnitude <= SMALL else 0)
 
-    def learned(self, size: int, sign: int) -> int:
-        self.size = size
-        d = (~size if sign else size) + self.drift
-        self.drift = d * 3 + self.drift >> 5
-        self.calm = 0 if size > 16 else self.calm + 1
-        return d
+
+def lane_differences(stream: BitReader, width: int, height: int) -> np.ndarray:
+    """All differences of an image of two lanes a row, which need no sample to be read."""
+    out = np.zeros(width * height, np.int64)
+    for row in range(height):
+        states = [(0, 0, 0)] * 2
+        for k in range(row * width, (row + 1) * width):
+            own = states[(k - row * width) & 1]
+            stored = lane_bits(own[0], own[2])
+            head = stream.get(3)
+            zeros = UNARY - stream.peek(UNARY).bit_length()
+            stream.skip(min(zeros + 1, UNARY))
+            upper = zeros
+            if zeros == UNARY:
+                upper = stream.get(LONG - stored + 1) >> 1
+            d, states[(k - row * width) & 1] = lane_after(own, upper << stored | stream.get(stored), head > 3)
+            out[k] = 4 * d + (head & 3)
+    return out.reshape(height, width)
 
 
-def neighbour_prediction(img: np.ndarray, y: int, x: int) -> int:
-    if y < 2:
-        return int(img[y, x - 2]) if x >= 2 else 0
-    if x < 2:
-        return int(img[y - 2, x])
-    return gradient_prediction(int(img[y, x - 2]), int(img[y - 2, x]), int(img[y - 2, x - 2]))
+def predicted(left: np.ndarray, up: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    """The neighbour across the smaller step; where both steps go opposite ways, their plane, or for small ones their mean."""
+    across, down = left - corner, up - corner
+    opposite, far = across * down < 0, np.maximum(abs(across), abs(down)) > 32
+    return np.select([opposite & far, opposite, abs(across) > abs(down)], [left + down, (left + up) >> 1, left], up)
+
+
+def summed(d: np.ndarray) -> np.ndarray:
+    """Samples of one plane out of its differences. The first row and column are running sums; all others lie on diagonals whose samples depend on earlier diagonals only."""
+    rows, cols = d.shape
+    out = np.zeros_like(d)
+    out[:1], out[:, :1] = np.cumsum(d[:1], axis=1) & U16, np.cumsum(d[:, :1], axis=0) & U16
+    for k in range(2, rows + cols - 1):
+        i = np.arange(max(1, k - cols + 1), min(rows, k))
+        j = k - i
+        out[i, j] = predicted(out[i, j - 1], out[i - 1, j], out[i - 1, j - 1]) + d[i, j] & U16
+    return out
 
 
 def decode_gradient(data: bytes, width: int, height: int, skip: int = 7) -> np.ndarray:
-    """Sign, two low bits, zeros that count the high part (12: it follows), and as many bits as the lane's carry says."""
-    stream, img = BitReader(data[skip:]), np.zeros((height, width), np.int64)
-    for y in range(height):
-        lanes = (Carry(), Carry())
-        for x in range(width):
-            lane = lanes[x % 2]
-            n = lane.low_bits
-            head = stream.get(3)
-            zeros = 12 - stream.peek(12).bit_length()
-            if zeros < 12:
-                stream.skip(zeros + 1)
-                high = zeros
-            else:
-                stream.skip(12)
-                high = stream.get(15 - n)
-                stream.skip(1)
-            d = lane.learned(high << n | stream.get(n), head >> 2)
-            img[y, x] = neighbour_prediction(img, y, x) + (d * 4 | head & 3) & U16
-    return img
+    """Sign, two low bits, zeros that count the high part (12: it follows), and as many bits as the lane's state says; samples of the same place in 2 x 2 are a plane each."""
+    d = lane_differences(BitReader(data[skip:]), width, height)
+    out = np.zeros_like(d)
+    for y in (0, 1):
+        for x in (0, 1):
+            out[y::2, x::2] = summed(d[y::2, x::2])
+    return out
 
 
 def encode_gradient(img: np.ndarray, skip: int = 7) -> bytes:
+    d = img.copy()
+    for y in (0, 1):
+        for x in (0, 1):
+            plane, own = img[y::2, x::2], d[y::2, x::2]
+            own[:1, 1:] -= plane[:1, :-1]
+            own[1:, :1] -= plane[:-1, :1]
+            own[1:, 1:] -= predicted(plane[1:, :-1], plane[:-1, 1:], plane[:-1, :-1])
     out = BitWriter()
-    for y in range(img.shape[0]):
-        lanes = (Carry(), Carry())
-        for x in range(img.shape[1]):
-            lane = lanes[x % 2]
-            n = lane.low_bits
-            diff = int(img[y, x]) - neighbour_prediction(img, y, x)
-            low, d = diff & 3, diff >> 2
-            d -= lane.drift
-            sign, size = (1, ~d) if d < 0 else (0, d)
-            out.put(sign << 2 | low, 3)
-            high = size >> n
-            if high < 12:
-                out.put(1, high + 1)
+    for row in d.tolist():
+        states = [(0, 0, 0)] * 2
+        for k, v in enumerate(row):
+            own = states[k & 1]
+            stored, rest = lane_bits(own[0], own[2]), (v >> 2) - own[1]
+            magnitude = -1 - rest if rest < 0 else rest
+            out.put((rest < 0) << 2 | v & 3, 3)
+            upper = magnitude >> stored
+            if upper < UNARY:
+                out.put(1, upper + 1)
             else:
-                out.put(0, 12)
-                out.put(high, 15 - n)
-                out.put(0, 1)
-            out.put(size, n)
-            lane.learned(size, sign)
+                out.put(0, UNARY)
+                out.put(upper << 1, LONG - stored + 1)
+            out.put(magnitude, stored)
+            states[k & 1] = lane_after(own, magnitude, rest < 0)[1]
     return bytes(skip) + out.done()
 
 
@@ -147,45 +159,54 @@ def encode_groups(values: np.ndarray, row: int = 0) -> bytes:
 PACKET = {14: (11, 14, 10, 0x200, 0x2000, 0x3FFF), 12: (14, 12, 8, 0x80, 0x800, 0xFFF)}
 
 
-def packet_fields(packet: bytes, bits: int) -> list[int]:
-    """Fields of a packet as they are used: two samples, then groups of a two-bit scale and three short samples."""
+def packet_rows(data: bytes, n: int) -> np.ndarray:
+    """n packets of 16 bytes as rows, last byte first, and zeros to read beyond them."""
+    if len(data) < 16 * n:
+        raise CodecError("not enough whole packets")
+    rows = np.frombuffer(data, np.uint8, 16 * n).reshape(n, 16)[:, ::-1]
+    return np.pad(rows, ((0, 0), (0, 16))).astype(np.int64)
+
+
+def taken(rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """n bits (16 at most) of each packet, from its own place on."""
+    k, first = np.arange(len(rows)), at >> 3
+    three = rows[k, first] << 16 | rows[k, first + 1] << 8 | rows[k, first + 2]
+    return three >> (24 - n - (at & 7)) & (1 << n) - 1
+
+
+def packet_fields(rows: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(samples as they are stored, the scale that holds for each) of packets, a column each: two wide samples, then groups of a scale and three short ones."""
     n, wide, short, *_ = PACKET[bits]
-    whole, at, out = int.from_bytes(packet, "little"), 128, []
-    groups = (n - 2) // 3
-    for w in [wide, wide, *[2, short, short, short] * groups]:
-        at -= w
-        out.append(whole >> at & (1 << w) - 1)
-    return out
+    at, samples, scales, scale = np.zeros(len(rows), np.int64), [], [], np.zeros(len(rows), np.int64)
+    for i in range(n):
+        if i % 3 == 2:
+            scale = np.array([1, 2, 4, 16])[taken(rows, at, 2)]
+            at = at + 2
+        width = wide if i < 2 else short
+        samples.append(taken(rows, at, width))
+        scales.append(scale)
+        at = at + width
+    return np.stack(samples, axis=1), np.stack(scales, axis=1)
 
 
 def decode_packets(data: bytes, width: int, height: int, bits: int = 14) -> np.ndarray:
     """Packets of 16 bytes, each on its own: absolute first values of both lanes, then scaled steps around the last ones."""
     n, _, _, base, limit, top = PACKET[bits]
-    if width % n or len(data) < 16 * width * height // n:
+    if width % n:
         raise CodecError("not enough whole packets")
-    out = []
-    for k in range(width * height // n):
-        fields = iter(packet_fields(data[16 * k : 16 * k + 16], bits))
-        seen, last = [0, 0], [0, 0]
-        scale = floor = 0
-        for i in range(n):
-            lane = i % 2
-            if i % 3 == 2:
-                scale = (1, 2, 4, 16)[next(fields)]
-                floor = base * scale
-            v = next(fields)
-            if seen[lane]:
-                v = v * scale & U16
-                if floor < limit and last[lane] > floor:
-                    v = v + last[lane] - floor & U16
-                last[lane] = v
-            elif v:
-                seen[lane] = last[lane] = v
-            else:
-                v = last[lane]
-            v -= 15
-            out.append(min(max(v, 0), top))
-    return np.array(out, np.int64).reshape(height, width)
+    stored, scales = packet_fields(packet_rows(data, width * height // n), bits)
+    out = np.zeros_like(stored)
+    for lane in (0, 1):
+        began, last = np.zeros(len(stored), bool), np.zeros(len(stored), np.int64)
+        for i in range(lane, n, 2):
+            v, scale = stored[:, i], scales[:, i]
+            floor = base * scale
+            step = v * scale & U16
+            step = np.where((floor < limit) & (last > floor), step + last - floor & U16, step)
+            last = np.where(began, step, np.where(v > 0, v, last))
+            began |= v > 0
+            out[:, i] = last
+    return np.clip(out - 15, 0, top).reshape(height, width)
 
 
 #: Samples of a packet of 16 bytes, and bytes of a block whose two sections may be stored the other way round.
@@ -196,28 +217,28 @@ def decode_scaled(data: bytes, width: int, height: int, split: int = 0) -> np.nd
     """Packets of 14 samples in two lanes, read from their last bit down: first values of 12 bits, then bytes around the last value, scaled anew for every third sample. split: bytes of the section that is stored first but belongs last."""
     if split:
         data = b"".join(b[split:] + b[:split] for b in (data[i : i + BLOCK] for i in range(0, len(data), BLOCK)))
-    n = width * height
-    if n % SCALED or len(data) < n // SCALED * 16:
+    if width * height % SCALED:
         raise CodecError("not enough whole packets")
-    out = []
-    for k in range(n // SCALED):
-        bits = BitReader(data[16 * k : 16 * k + 16][::-1])
-        value, known, shift = [0, 0], [False, False], 0
-        for i in range(SCALED):
-            lane = i % 2
-            if i % 3 == 2:
-                shift = (0, 1, 2, 4)[bits.get(2)]
-            if known[lane]:
-                if j := bits.get(8):
-                    v = value[lane] - (0x80 << shift)
-                    value[lane] = (v & (1 << shift) - 1 if v < 0 or shift == 4 else v) + (j << shift)
-            else:
-                high = bits.get(8)
-                known[lane] = high != 0
-                if high or i > 11:
-                    value[lane] = high << 4 | bits.get(4)
-            out.append(value[lane])
-    return np.array(out, np.int64).reshape(height, width)
+    rows = packet_rows(data, width * height // SCALED)
+    at, shift = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+    value, known = np.zeros((2, len(rows)), np.int64), np.zeros((2, len(rows)), bool)
+    out = np.zeros((len(rows), SCALED), np.int64)
+    for i in range(SCALED):
+        if i % 3 == 2:
+            shift = np.array([0, 1, 2, 4])[taken(rows, at, 2)]
+            at = at + 2
+        lane = i % 2
+        byte = taken(rows, at, 8)
+        at = at + 8
+        # a lane that has a value takes a step, unless it is zero; one without reads four more bits of its first, and at the end of none too
+        below = value[lane] - (0x80 << shift)
+        stepped = np.where((below < 0) | (shift == 4), below & (1 << shift) - 1, below) + (byte << shift)
+        first = ~known[lane] & ((byte > 0) | (i > 11))
+        value[lane] = np.where(known[lane], np.where(byte > 0, stepped, value[lane]), np.where(first, byte << 4 | taken(rows, at, 4), value[lane]))
+        at = at + 4 * first
+        known[lane] |= byte > 0
+        out[:, i] = value[lane]
+    return out.reshape(height, width)
 
 
 def zero_samples(img: np.ndarray) -> list[tuple[int, int]]:

@@ -349,25 +349,51 @@ def encode_segments(img: np.ndarray) -> bytes:
 STRIP_LENGTHS = ((8, 7), (6, 9), (11, 10), (5, 12), (14, 13))
 
 
+def strip_head(code: int) -> tuple[int | None, int]:
+    """(a lane's new length, none if it keeps its own; bits used) by the next six bits."""
+    zeros = min(5, 6 - code.bit_length())
+    if not zeros:
+        return None, 1
+    used = zeros + (zeros < 5) + 1
+    return STRIP_LENGTHS[zeros - 1][code >> 6 - used & 1], used
+
+
+STRIP_HEADS = [strip_head(code) for code in range(64)]
+
+
+def strip_codes(stream: BitReader, width: int) -> tuple[list[int], list[int]]:
+    """(codes, their lengths) of a row: eight samples at a time under the lengths of both lanes, the rest as they are."""
+    codes, lengths, now = [], [], (0, 0)
+    for _ in range(width // 8):
+        chosen = []
+        for kept in now:
+            length, used = STRIP_HEADS[stream.peek(6)]
+            stream.skip(used)
+            chosen.append(length or kept)
+        now = tuple(chosen)
+        if 0 in now:
+            raise CodecError("the first lengths are missing")
+        sizes = [16 if n == 14 else n for n in now] * 4
+        whole, below = stream.get(sum(sizes)), sum(sizes)
+        for n in sizes:
+            below -= n
+            codes.append(whole >> below & (1 << n) - 1)
+        lengths += now * 4
+    rest = width % 8
+    return codes + [stream.get(16) for _ in range(rest)], lengths + [14] * rest
+
+
 def decode_strip(data: bytes, width: int, height: int = 1) -> np.ndarray:
-    """One row: two lanes, each with its own length; 14 means the sample itself, as do the last ones beyond a multiple of 8."""
-    stream, lengths, pred, row = BitReader(data, "msb32"), [0, 0], [0, 0], []
-    for x in range(width):
-        if x >= width - width % 8:
-            lengths = [14, 14]
-        elif x % 8 == 0:
-            for lane in (0, 1):
-                zeros = 0
-                while zeros < 5 and not stream.get(1):
-                    zeros += 1
-                if zeros:
-                    lengths[lane] = STRIP_LENGTHS[zeros - 1][stream.get(1)]
-                elif not x:
-                    raise CodecError("the first lengths are missing")
-        n = lengths[x % 2]
-        pred[x % 2] = stream.get(16) if n == 14 else pred[x % 2] + stream.get(n) + 1 - (1 << n - 1)
-        row.append(pred[x % 2] & U16)
-    return np.array([row], np.int64)
+    """One row: two lanes, each with its own length; 14 means the sample itself, as do the last ones beyond a multiple of 8. A lane is a running sum that starts anew at each sample stored as it is."""
+    codes, lengths = (np.array(x, np.int64) for x in strip_codes(BitReader(data, "msb32"), width))
+    row = np.zeros(width, np.int64)
+    for lane in (0, 1):
+        code, n = codes[lane::2], lengths[lane::2]
+        stored = n == 14
+        upto = np.cumsum(np.where(stored, 0, code + 1 - (1 << n - 1)))
+        start = np.maximum.accumulate(np.where(stored, np.arange(len(code)), -1))
+        row[lane::2] = np.where(start < 0, upto, upto - upto[start] + code[start])
+    return (row & U16)[None]
 
 
 def encode_strip(row: np.ndarray) -> bytes:

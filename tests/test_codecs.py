@@ -157,3 +157,86 @@ def test_keystreams():
 
     data = bytes(range(64))
     assert keystreams.xored(keystreams.xored(data, 12345), 12345) == data != keystreams.xored(data, 12345)
+
+
+def plain_packets(data, bits):
+    """Packets of 16 bytes, a sample at a time, by text of bits."""
+    n, wide, short, base, limit, top = adaptive.PACKET[bits]
+    out = []
+    for k in range(0, len(data), 16):
+        text = "".join(f"{b:08b}" for b in reversed(data[k : k + 16]))
+        at, seen, last, scale = 0, [False, False], [0, 0], 0
+        for i in range(n):
+            if i % 3 == 2:
+                scale, at = [1, 2, 4, 16][int(text[at : at + 2], 2)], at + 2
+            size = wide if i < 2 else short
+            v, at = int(text[at : at + size], 2), at + size
+            lane = i & 1
+            if seen[lane]:
+                v = v * scale % 65536
+                if base * scale < limit and last[lane] > base * scale:
+                    v = (v + last[lane] - base * scale) % 65536
+                last[lane] = v
+            elif v:
+                seen[lane], last[lane] = True, v
+            out.append(min(top, max(0, last[lane] - 15)))
+    return out
+
+
+@pytest.mark.parametrize("bits", [12, 14])
+def test_packets_equal_a_plain_loop(bits):
+    r = np.random.default_rng(bits)
+    n = adaptive.PACKET[bits][0]
+    data = r.integers(0, 256, 16 * 200, dtype=np.uint8)
+    data[::3] &= r.integers(0, 2, len(data[::3]), dtype=np.uint8) * 255  # zeros, so that first values are late
+    assert adaptive.decode_packets(data.tobytes(), n * 10, 20, bits).ravel().tolist() == plain_packets(data.tobytes(), bits)
+    with pytest.raises(CodecError):
+        adaptive.decode_packets(data.tobytes()[:-1], n * 10, 20, bits)
+
+
+def test_scaled_packets_equal_a_plain_loop():
+    r = np.random.default_rng(5)
+    data = r.integers(0, 256, 16 * 300, dtype=np.uint8) * (r.random(16 * 300) < 0.7).astype(np.uint8)
+    want = []
+    for k in range(0, len(data), 16):
+        text, at = "".join(f"{b:08b}" for b in data[k : k + 16][::-1].tolist()) + "0" * 32, 0
+        value, known, shift = [0, 0], [False, False], 0
+        for i in range(14):
+            if i % 3 == 2:
+                shift, at = [0, 1, 2, 4][int(text[at : at + 2], 2)], at + 2
+            byte, at = int(text[at : at + 8], 2), at + 8
+            if known[i % 2]:
+                if byte:
+                    v = value[i % 2] - 128 * 2**shift
+                    value[i % 2] = (v % 2**shift if v < 0 or shift == 4 else v) + byte * 2**shift
+            elif byte or i > 11:
+                value[i % 2], at, known[i % 2] = byte * 16 + int(text[at : at + 4], 2), at + 4, byte > 0
+            want.append(value[i % 2])
+    assert adaptive.decode_scaled(data.tobytes(), 14 * 30, 10).ravel().tolist() == want
+
+
+def test_strips_of_fixed_bytes():
+    """Lengths 8 and 7 for the lanes, then eight differences and two samples as they are; bits written by hand."""
+    bits = "010" + "011" + "10000000" + "1000000" + "10000001" + "0111111" + "01111111" + "1000000" + "11111111" + "0000000" + f"{1000:016b}{2000:016b}"
+    raw = int(bits.ljust(-(-len(bits) // 32) * 32, "0"), 2).to_bytes(-(-len(bits) // 32) * 4, "big")
+    data = b"".join(raw[i : i + 4][::-1] for i in range(0, len(raw), 4))
+    assert predictive.decode_strip(data, 10).tolist() == [[1, 1, 3, 1, 3, 2, 131, 65536 - 61, 1000, 2000]]
+
+
+@pytest.mark.parametrize("name", ["prefix_frames", "adaptive_lengths", "gradient", "packets14", "scaled_packets", "float_planes", "v1", "columns"])
+def test_damaged_bytes_are_rows_with_errors(spark, name):
+    from rastrel.operators.codecs import decoded
+
+    r = np.random.default_rng(6)
+    frame = predictive.encode_frame(r.integers(0, 65536, (8, 28)), parts=2, counts=CODE[0], values=CODE[1])
+    units = [(i, bytes(x)) for i in range(60) for x in [bytearray(frame if i % 2 else r.integers(0, 256, 300, dtype=np.uint8).tobytes())]]
+    hurt = []
+    for i, data in units:
+        own = bytearray(data)
+        for _ in range(i % 7):
+            own[r.integers(len(own))] = r.integers(256)
+        hurt.append((i, bytes(own[: r.integers(1, len(own))])))
+    df = spark.createDataFrame([*hurt, (100, None), (101, b"")], "unit_id long, data binary").selectExpr("*", "28 AS width", "8 AS height")
+    got = decoded(df, name).groupBy("unit_id").agg({"y": "max", "error": "max"}).collect()
+    assert len(got) == 62 and all((x["max(y)"] is None) == (x["max(error)"] is not None) for x in got)
+
