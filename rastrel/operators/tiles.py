@@ -42,9 +42,12 @@ def decoded_tiles(tiles: DataFrame, parameters: dict[int, dict] | None = None) -
     known = [c for c, name in COMPRESSIONS.items() if name != "uncompressed"]
     parts = [decoded(tiles.filter(F.col("compression") == c), COMPRESSIONS[c], **own.get(c, {})) for c in known]
     plain = tiles.filter(F.col("compression") == 1)
-    rows = plain.select(F.col("unit_id").cast("long"), F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"), "data", "width", "height")
-    enough = F.length("data") >= F.col("width") * F.col("height") * 2
-    row = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda x: F.conv(F.concat(*[F.hex(F.substring("data", (F.col("y") * F.col("width") + x) * 2 + k, F.lit(1))) for k in (2, 1)]), 16, 10).cast("double"))
-    parts.append(rows.select("unit_id", F.col("y").cast("int").alias("y"), F.when(enough, row).alias("v"), F.when(~enough, "not enough bytes").alias("error")))
+    # a tile's rows are cut before they are rows of the table: else each would carry the whole tile
+    wide = (F.col("width") * 2).cast("int")
+    enough = F.length("data") >= F.col("height") * wide
+    cut = F.transform(F.sequence(F.lit(0), F.col("height").cast("int") - 1), lambda y: F.hex(F.substring("data", y * wide + 1, wide)))
+    rows = plain.select(F.col("unit_id").cast("long"), "width", enough.alias("enough"), F.posexplode_outer(F.when(enough, cut)).alias("y", "row"))
+    row = F.transform(F.sequence(F.lit(0), F.col("width").cast("int") - 1), lambda x: F.conv(F.concat(F.substring("row", x * 4 + 3, F.lit(2)), F.substring("row", x * 4 + 1, F.lit(2))), 16, 10).cast("double"))
+    parts.append(rows.select("unit_id", F.col("y").cast("int").alias("y"), F.when(F.col("row").isNotNull(), row).alias("v"), F.when(F.col("row").isNull(), "not enough bytes").alias("error")))
     other = tiles.filter(~F.col("compression").isin(*COMPRESSIONS)).select(F.col("unit_id").cast("long"), F.lit(None).cast("int").alias("y"), F.lit(None).cast("array<double>").alias("v"), F.concat(F.lit("unknown compression "), F.col("compression").cast("string")).alias("error"))
     return reduce(DataFrame.unionByName, [*parts, other])
