@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("catalog", "tags", "geometry", "pixels", "neighbours", "aggregates", "scalars", "unpacking", "containers", "codecs")
+MODULES = ("catalog", "tags", "geometry", "pixels", "neighbours", "aggregates", "scalars", "unpacking", "containers", "codecs", "storage")
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
