@@ -178,20 +178,20 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> D
 def dealt(rows: DataFrame, bucket: list[str], spread: Column, radius: int, tile: int) -> DataFrame:
     """Each row (pop and others) once for each pair of tiles (i, j) of its bucket that its own is part of; buckets of at most `tile` rows are one.
 
-    A tile has rows of one population count, and rows beyond `tile` of them are spread over more. Only tiles whose counts
-    are within the radius meet.
+    Tiles are runs of about `tile` rows in the order of population counts; rows of a count that reaches over several tiles
+    are spread over these. Only tiles that have counts within the radius meet.
     """
     counts = rows.groupBy(*bucket, "pop").agg(F.count("*").alias("n"))
-    large = counts.groupBy(*bucket).agg(F.collect_list(F.struct("pop", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))).alias("pops"), F.sum("n").alias("n"))  # as many counts as there are bits, and one
-    rows = rows.join(large.filter(F.col("n") > tile).select(*bucket, "pops"), bucket, "left")
-    name = lambda pop, k: F.shiftleft(pop.cast("long"), 32) + k
-    mine = F.get(F.filter("pops", lambda p: p["pop"] == F.col("pop")), F.lit(0))["tiles"]
-    rows = rows.withColumn("own", name(F.col("pop"), F.pmod(spread, mine)))
-    near = F.filter("pops", lambda p: F.abs(p["pop"] - F.col("pop")) <= radius)
-    others = F.flatten(F.transform(near, lambda p: F.transform(F.sequence(F.lit(0), p["tiles"] - 1), lambda k: name(p["pop"], k))))
-    pairs = F.transform(others, lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
-    none = F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))
-    return rows.withColumn("pair", F.explode(F.when(F.col("pops").isNull(), none).otherwise(pairs))).select(*[c for c in rows.columns if c not in ("pops", "own")], "pair.i", "pair.j")
+    large = counts.groupBy(*bucket).agg(F.sort_array(F.collect_list(F.struct(F.col("pop").cast("int").alias("pop"), "n"))).alias("pops"), F.sum("n").alias("n")).filter(F.col("n") > tile)  # as many counts as there are bits, and one
+    before = lambda i: F.aggregate(F.slice("pops", F.lit(1), i), F.lit(0).cast("long"), lambda s, p: s + p["n"])
+    spans = F.transform("pops", lambda p, i: F.struct(p["pop"].alias("pop"), F.floor(before(i) / tile).cast("int").alias("first"), F.floor((before(i) + p["n"] - 1) / tile).cast("int").alias("last")))
+    rows = rows.join(large.select(*bucket, spans.alias("spans")), bucket, "left")
+    mine = F.get(F.filter("spans", lambda p: p["pop"] == F.col("pop")), F.lit(0))
+    rows = rows.withColumn("own", F.coalesce(mine["first"] + F.pmod(spread, mine["last"] - mine["first"] + 1).cast("int"), F.lit(0)))
+    near = F.filter("spans", lambda p: F.abs(p["pop"] - F.col("pop")) <= radius)
+    others = F.sequence(F.array_min(F.transform(near, lambda p: p["first"])), F.array_max(F.transform(near, lambda p: p["last"])))
+    rows = rows.withColumn("other", F.explode(F.coalesce(others, F.array(F.lit(0)))))
+    return rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("spans", "own", "other")
 
 
 def components(links: DataFrame, most_rounds: int = 64) -> DataFrame:
@@ -230,11 +230,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
 
 
 #: Of the wide fingerprints: words of a shingle, the bits that may differ of 128, and the least Jaccard similarity.
-WIDE_SHINGLE, WIDE_RADIUS, WIDE_RATIO = 5, 26, 0.8
+WIDE_SHINGLE, WIDE_RADIUS, WIDE_RATIO = 5, 40, 0.8
 #: Buckets that a set of shingles falls into, and least hashes that name each: sets of similarity 0.8 share none with a chance of 0.003.
 BUCKETS, LEAST_HASHES = 8, 3
-#: Rows of a tile in the verification.
-VERIFIED_TILE = 512
+#: Rows of a tile of wide fingerprints, and in the verification; rows and columns of its matrices.
+WIDE_TILE, VERIFIED_TILE, VERIFIED_ROWS, COLUMNS = 4096, 2048, 512, 2048
 #: What tells texts of different shingle sets apart.
 CLASS = ["hi", "lo", "n", "sig"]
 NAMES = [f"k{i}" for i in range(BUCKETS)]
@@ -282,39 +282,64 @@ def wide_fingerprints(docs: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame
     return texts(docs).mapInArrow(hashed, "doc_id long, hi long, lo long, n long, sig long, " + ", ".join(f"{k} long" for k in NAMES))
 
 
-def similar(fps: np.ndarray, sets: list[bytes], radius: int, ratio: float) -> list[tuple[int, int]]:
-    """Index pairs within the radius and of at least that Jaccard similarity that connect all that such pairs connect; what is connected already is not compared."""
+def incidence(sets: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(row, column) of each shingle that more than one row has, ascending by column, and the number of columns."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) // 8 for x in sets])
+    _, name, times = np.unique(np.frombuffer(b"".join(sets), np.int64), return_inverse=True, return_counts=True)
+    common = times > 1
+    kept = np.flatnonzero(common[name])
+    column = (np.cumsum(common) - 1)[name[kept]]
+    order = np.argsort(column, kind="stable")
+    return owner[kept][order], column[order], int(common.sum())
+
+
+def shared_counts(places: tuple[np.ndarray, np.ndarray, int], n: int, rows: slice) -> np.ndarray:
+    """How many shingles each of some rows shares with each of all n: products of matrices, some columns at a time."""
+    owner, column, columns = places
+    out = np.zeros((len(range(*rows.indices(n))), n), np.float32)
+    for k in range(0, columns, COLUMNS):
+        low, high = np.searchsorted(column, (k, k + COLUMNS))
+        has = np.zeros((n, min(COLUMNS, columns - k)), np.float32)
+        has[owner[low:high], column[low:high] - k] = 1
+        out += has[rows] @ has.T
+    return out
+
+
+def similar(fps: np.ndarray, sets: list[bytes], tiles: np.ndarray, radius: int, ratio: float) -> list[tuple[int, int]]:
+    """Index pairs within the radius and of at least that Jaccard similarity that connect all that such pairs connect. Of two tiles, rows meet those of the other one only."""
     n = np.array([len(x) // 8 for x in sets])
-    label, kept, seen = np.arange(len(sets)), [], {}
-
-    def shingles(k: int) -> set[int]:
-        if k not in seen:
-            seen[k] = set(np.frombuffer(sets[k], np.int64).tolist())
-        return seen[k]
-
-    for r in range(len(sets) - 1):
-        near = np.bitwise_count(fps[r + 1 :] ^ fps[r]).sum(axis=1, dtype=np.int64) <= radius
-        near &= np.minimum(n[r + 1 :], n[r]) / np.maximum(np.maximum(n[r + 1 :], n[r]), 1) >= ratio
-        near &= label[r + 1 :] != label[r]
-        for c in (np.flatnonzero(near) + r + 1).tolist():
-            if label[c] == label[r]:
-                continue
-            common = len(shingles(r) & shingles(c))
-            if common / max(1, n[r] + n[c] - common) >= ratio:
-                label[label == label[c]] = label[r]
-                kept.append((r, c))
+    label, kept, places = np.arange(len(sets)), [], None
+    for at in range(0, len(sets), VERIFIED_ROWS):
+        own = slice(at, at + VERIFIED_ROWS)
+        far = sum(np.bitwise_count(fps[own, None, k] ^ fps[None, :, k]).astype(np.uint16) for k in range(fps.shape[1]))
+        near = (far <= radius) & (np.arange(len(sets))[None, :] > np.arange(len(sets))[own, None])
+        if tiles[0] != tiles[-1]:
+            near &= tiles[own, None] != tiles[None, :]
+        if not near.any():
+            continue
+        places = places or incidence(sets)
+        common = shared_counts(places, len(sets), own)
+        near &= common >= ratio * np.maximum(n[own, None] + n[None, :] - common, 1)
+        for r in np.flatnonzero(near.any(axis=1)).tolist():
+            found = np.flatnonzero(near[r])
+            found = found[np.unique(label[found], return_index=True)[1]]
+            found = found[label[found] != label[at + r]]
+            if len(found):
+                kept += [(at + r, c) for c in found.tolist()]
+                label[np.isin(label, label[found])] = label[at + r]
     return kept
 
 
 def verified(batches: Iterator[pa.RecordBatch], radius: int, ratio: float, keys: list[str]) -> Iterator[pa.RecordBatch]:
-    """Links by similar() within each run of equal keys; rows come sorted by these."""
+    """Links by similar() within each run of equal keys; rows come sorted by these and their tile."""
     rest = None
 
     def links(t: pa.Table) -> pa.RecordBatch:
         key, ids = np.stack([t.column(c).to_numpy() for c in keys]), t.column("id").to_numpy()
         fps = np.stack([t.column(c).to_numpy().view(np.uint64) for c in ("hi", "lo")], axis=1)
         bounds = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [len(ids)]]).tolist()
-        pairs = [(a + x, a + y) for a, b in zip(bounds, bounds[1:], strict=False) for x, y in similar(fps[a:b], t.column("shingles").slice(a, b - a).to_pylist(), radius, ratio)]
+        tiles = t.column("own").to_numpy()
+        pairs = [(a + x, a + y) for a, b in zip(bounds, bounds[1:], strict=False) for x, y in similar(fps[a:b], t.column("shingles").slice(a, b - a).to_pylist(), tiles[a:b], radius, ratio)]
         found = ids[np.array(pairs, np.int64).reshape(-1, 2)]
         return pa.RecordBatch.from_arrays([pa.array(found.min(axis=1)), pa.array(found.max(axis=1))], names=["a", "b"])
 
@@ -362,14 +387,14 @@ def verified_links(docs: DataFrame, distinct: DataFrame, candidates: DataFrame,
     keys = ["group", "i", "j"]
     own = F.pmod(F.xxhash64("sig"), "tiles").cast("int")
     rows = rows.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    rows = rows.select("id", "hi", "lo", "shingles", *keys).repartition(*keys).sortWithinPartitions(*keys)
+    rows = rows.select("id", "hi", "lo", "shingles", "own", *keys).repartition(*keys).sortWithinPartitions(*keys, "own")
     return rows.mapInArrow(lambda it: verified(it, radius, ratio, keys), "a long, b long").distinct()
 
 
 def near_copies(docs: DataFrame, radius: int = WIDE_RADIUS, ratio: float = WIDE_RATIO, tile: int = VERIFIED_TILE) -> DataFrame:
     """(doc_id, component_id) by sets of five-word shingles: components of links within the radius of 128-bit fingerprints and of at least `ratio` Jaccard similarity.
 
-    The radius is what a similarity of 0.8 makes of the fingerprints, and a margin. A radius this wide has no blocks of bits
+    At a similarity of 0.8 some 19 bits differ, give or take 4; the radius leaves five times that. A radius this wide has no blocks of bits
     that prune, so fingerprints meet in buckets named by least hashes of their sets; inside, tiles are compared as they are for
     near_duplicates(). Links within the radius are candidates, and verified on the sets.
 
@@ -380,7 +405,7 @@ def near_copies(docs: DataFrame, radius: int = WIDE_RADIUS, ratio: float = WIDE_
     prints = materialize(wide_fingerprints(docs), "fingerprints")
     distinct = materialize(prints.filter("doc_id IS NOT NULL").groupBy(*CLASS).agg(F.min("doc_id").alias("id"), *[F.first(k).alias(k) for k in NAMES]), "distinct")
     rows = distinct.select("id", "hi", "lo", (F.bit_count("hi") + F.bit_count("lo")).alias("pop"), F.posexplode(F.array(*NAMES)).alias("bucket", "name"))
-    rows = dealt(rows, ["bucket", "name"], F.xxhash64("hi", "lo"), radius, TILE)
+    rows = dealt(rows, ["bucket", "name"], F.xxhash64("hi", "lo"), radius, WIDE_TILE)
     keys = ["bucket", "name", "i", "j"]
     rows = rows.select("id", "hi", "lo", "pop", *keys).repartition(*keys).sortWithinPartitions(*keys, "pop")
     links = rows.mapInArrow(lambda it: linked(it, radius, keys, ["hi", "lo"]), "a long, b long").distinct()
