@@ -451,9 +451,12 @@ def brute_scores(training, texts, params):
     return out
 
 
-def test_language_equals_brute_force(spark):
+@pytest.mark.parametrize("full", [langid.Table.FULL, 0])
+def test_language_equals_brute_force(spark, full, monkeypatch):
     import math
 
+    monkeypatch.setattr(langid.Table, "FULL", full)
+
     r = random.Random(9)
     stems = {"aa": "lor ips dol", "bb": "foo bar baz", "cc": "zaż gęś jaź", "hi": "हिन्दी में लिखा"}
     make = lambda k: " ".join(r.choice(stems[k].split()) + r.choice(["", "um", "ę", "ी", "x"]) for _ in range(r.randint(1, 9)))

@@ -1,5 +1,6 @@
 """The pipeline's stages, one after the other, against what each must keep."""
 
+import pytest
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -32,3 +33,46 @@ def test_queries_are_registered():
     names = set(e.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert set(e.oracle_sql()) <= names
+
+
+@pytest.mark.parametrize("stage", range(4))
+def test_stages_keep_rows_of_all_sorts(spark, docs, no_docs, stage):
+    """Nulls, empty and long texts, repeated rows, columns of all names; an empty table."""
+    import corpus_pipeline as P
+
+    run = P.STAGES[stage][1]
+    kept = run(spark, docs, SF).cache()
+    assert kept.columns == docs.columns and kept.exceptAll(docs).count() == 0
+    assert kept.filter("doc_id IS NULL").count() == docs.filter("doc_id IS NULL").count()
+    ids = [r.doc_id for r in kept.select("doc_id").collect()]
+    if stage == 1:
+        assert 7 in ids and not {100, 101, 102, 103, 104} & set(ids) and ids.count(3) == 3 and len({120, 121, 122} & set(ids)) == 1
+    else:
+        assert {7, 100, 104, 126} <= set(ids)
+    none = run(spark, no_docs, SF)
+    assert none.columns == docs.columns and none.count() == 0
+
+
+def test_near_copies_of_the_given_documents_equal_brute_force(spark):
+    """Components over all pairs of five-word shingle sets of similarity 0.8."""
+    from rastrel.llm import simhash
+    from rastrel.llm.common import table
+
+    docs = table(spark, SF, "documents")
+    sets, of = {}, {}
+    for r in docs.select("doc_id", "text").collect():
+        own = frozenset(simhash.grams((r.text or "").encode(), 5))
+        of[r.doc_id] = sets.setdefault(own, len(sets))
+    shingles = {k: s for s, k in sets.items()}
+    name = {k: min(i for i, o in of.items() if o == k) for k in shingles}
+    changed = True
+    links = [(a, b) for a in shingles for b in shingles if a < b and len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])]
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(name[a], name[b])
+            changed |= name[a] != low or name[b] != low
+            name[a] = name[b] = low
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert got == {i: name[k] for i, k in of.items()}
+
