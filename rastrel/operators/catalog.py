@@ -37,20 +37,18 @@ def any_mode(cameras: DataFrame) -> DataFrame:
     return cameras.groupBy("make", "model").agg(F.min("mode").alias("mode"), one.alias("one")).select(*KEY, "one.*")
 
 
+def by_model(cameras: DataFrame, value: str) -> DataFrame:
+    """One row for each (make, model): `by_mode`, a map of `value` by mode, and `any`, that of the first camera by mode. cameras: as first_wins() gives them."""
+    own = F.filter(F.collect_list(F.struct("mode", F.col(value).alias("value"))), lambda x: x["mode"].isNotNull())
+    return cameras.groupBy("make", "model").agg(F.map_from_entries(own).alias("by_mode"), F.min_by(value, "mode").alias("any"))
+
+
 def with_fallbacks(files: DataFrame, cameras: DataFrame, modes: tuple[str | None, ...], value: str) -> DataFrame:
-    """files with `value` of the first camera found: by each mode named in turn (None: the file's own), then by no mode at all if the last is '*'."""
-    out, found = files, []
-    for i, m in enumerate(modes):
-        if m == "*":
-            step = any_mode(cameras).select("make", "model", F.col(value).alias(f"_v{i}"))
-            keys: tuple[str, ...] = ("make", "model")
-        else:
-            step = cameras.select(*KEY, F.col(value).alias(f"_v{i}"))
-            step, keys = (step, KEY) if m is None else (step.filter(F.col("mode") == m).drop("mode"), ("make", "model"))
-        own = step.select(*[F.col(k).alias(f"_{k}") for k in keys], f"_v{i}")
-        out = out.join(own, [trimmed(k) == F.col(f"_{k}") for k in keys], "left").drop(*[f"_{k}" for k in keys])
-        found.append(f"_v{i}")
-    return out.withColumn(value, F.coalesce(*found)).drop(*found)
+    """files with `value` of the first camera found: by each mode named in turn (None: the file's own), then by no mode at all if the last is '*'. One join, however many modes."""
+    own = by_model(cameras, value).select(F.col("make").alias("_make"), F.col("model").alias("_model"), F.col("by_mode").alias("_by_mode"), F.col("any").alias("_any"))
+    out = files.join(own, [trimmed(k) == F.col(f"_{k}") for k in ("make", "model")], "left")
+    found = [F.col("_any") if m == "*" else F.try_element_at("_by_mode", trimmed("mode") if m is None else F.lit(m)) for m in modes]
+    return out.withColumn(value, F.coalesce(*found)).drop("_make", "_model", "_by_mode", "_any")
 
 
 def by_file_size(sizes: DataFrame, cameras: DataFrame, size: str = "size", order: str = "doc_order") -> DataFrame:
