@@ -1,5 +1,7 @@
 """Secret scans: an Aho-Corasick pass finds keywords, anchored patterns run only at the hits, checksums confirm what carries one.
 
+Runs of hexadecimal digits have no keyword; they are anchored at sampled places, of which every such run has one.
+
 Kinds `assign`, `access` and `hex` are reported on their pattern and least length alone. Kinds whose format embeds a
 checksum (`github`, `npm`: CRC-32 in base 62; `xprv`: double SHA-256 in base 58) are reported only if it agrees.
 
@@ -21,7 +23,8 @@ from .common import texts
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]{24,}")
+HEX = re.compile(r"[0-9a-f]+")
+HEX_DIGITS = frozenset("0123456789abcdef")
 CHECKED = {
     "github": re.compile(r"gh[oprsu]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"),
     "npm": re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"),
@@ -35,7 +38,7 @@ KEYWORDS = {
     "xprv": "xprv",
 }
 KINDS = ("assign", "access", "hex", *CHECKED)
-LEAST_VALUE, LEAST_ACCESS = 6, 20
+LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 
@@ -76,6 +79,21 @@ def automaton():
     return a
 
 
+def hex_runs(text: str) -> list[tuple[int, int, str]]:
+    """Runs of hexadecimal digits of the least length and more. Such a run has one at some place of every LEAST_HEX, so only these places are looked at."""
+    found, done = [], 0
+    for k, c in enumerate(text[LEAST_HEX - 1 :: LEAST_HEX], 1):
+        at = k * LEAST_HEX - 1
+        if c not in HEX_DIGITS or at < done:
+            continue
+        start, done = at, HEX.match(text, at).end()
+        while start and text[start - 1] in HEX_DIGITS:
+            start -= 1
+        if done - start >= LEAST_HEX:
+            found.append((start, done, "hex"))
+    return found
+
+
 def scan(text: str, a) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every secret in text, in code points, leftmost and without overlaps within a kind."""
     folded = text if text.isascii() and text.islower() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # only A-Z change, so positions stay
@@ -92,7 +110,7 @@ def scan(text: str, a) -> list[tuple[int, int, str]]:
             done = m.end()
             if len(m[2]) >= LEAST_VALUE if kind == "assign" else len(m[0]) >= LEAST_ACCESS if kind == "access" else checked(kind, m):
                 found.append((at, done, kind))
-    found += [(*m.span(), "hex") for m in HEX.finditer(text)]
+    found += hex_runs(text)
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
