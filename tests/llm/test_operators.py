@@ -174,7 +174,8 @@ def test_secrets_equal_plain_patterns(docs, rows, spark, no_docs):
     df = spark.createDataFrame(cases, "doc_id long, text string").union(docs.select("doc_id", "text"))
 
     def plain(t):
-        out = [(m.start(), 0, f"assign:{m.start()}:{m.end()}") for m in secrets.ASSIGN.finditer(t) if len(m[2]) >= 6]
+        pattern = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+        out = [(m.start(), 0, f"assign:{m.start()}:{m.end()}") for m in re.finditer(pattern, t) if len(m[2]) >= 6]
         out += [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
         out += [(m.start(), 2, f"hex:{m.start()}:{m.end()}") for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 24]
         return [x[2] for x in sorted(out)]
@@ -186,6 +187,33 @@ def test_secrets_equal_plain_patterns(docs, rows, spark, no_docs):
     assert secrets.find_secrets(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_hexadecimal_runs_equal_the_pattern(seed):
+    r = random.Random(seed)
+    for _ in range(400):
+        t = "".join(r.choice(["a", "0", "f9" * r.randint(1, 20), "g", " ", "é", "AB", "deadbeef" * r.randint(1, 5)]) for _ in range(r.randint(0, 30)))
+        assert secrets.hex_runs(t) == [(*m.span(), "hex") for m in re.finditer("[0-9a-f]{24,}", t)], t
+    assert secrets.hex_runs("a" * 1_000_000) == [(0, 1_000_000, "hex")]
+
+
+def test_secrets_with_checksums(spark):
+    def base58(raw):
+        n, out = int.from_bytes(raw, "big"), ""
+        while n:
+            n, k = divmod(n, 58)
+            out = secrets.BASE58[k] + out
+        return out
+
+    body = bytes.fromhex("0488ade4") + bytes(9) + bytes(range(1, 66))
+    good = base58(body + hashlib.sha256(hashlib.sha256(body).digest()).digest()[:4])
+    assert good.startswith("xprv") and len(good) == 111
+    token = "npm_" + "aB3" * 10 + secrets.crc62("aB3" * 10)
+    cases = [(0, f"x {good} y", 1), (1, good[:-1] + ("2" if good[-1] != "2" else "3"), 0), (2, good + "z", 0), (3, token, 1), (4, token[:-1] + ("0" if token[-1] != "0" else "1"), 0), (5, "AKIA" + "Z9" * 8 + " " + "0f" * 12 + " " + "0F" * 12, 0)]
+    got = {x.doc_id: x for x in secrets.find_secrets(spark.createDataFrame([c[:2] for c in cases], "doc_id long, text string")).collect()}
+    assert [got[i].n_checked for i, *_ in cases] == [n for *_, n in cases]
+    assert (got[5].n_access, got[5].n_hex) == (1, 1)
+
+
 # 3
 
 
