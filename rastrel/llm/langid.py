@@ -72,30 +72,44 @@ class Params:
 
 
 class Table:
-    """Log shares by language of each key: those of the languages that have it, and one for all others. Only differences between languages matter."""
+    """Log shares by language of each key: those of the languages that have it, and one for all others. Only differences between languages matter.
+
+    Row k has the languages langs[starts[k] : starts[k + 1]] and their logs, `rest` is that of the others. While there are
+    few languages the same rows are kept in full, which is faster to add up.
+    """
+
+    FULL = 1 << 25
 
     def __init__(self, rows: list[tuple[str, int, float]], n_langs: int, floor: float):
         self.n_langs = n_langs
-        totals = np.zeros(n_langs)
-        own: defaultdict[str, dict[int, float]] = defaultdict(dict)
-        for key, lang, n in rows:
-            totals[lang] += n
-            own[key][lang] = own[key].get(lang, 0) + n
-        self.at: dict[str, tuple[np.ndarray, np.ndarray, float]] = {}
-        for key, counts in own.items():
-            langs = np.fromiter(counts, np.int32, len(counts))
-            rate = np.fromiter(counts.values(), np.float64, len(counts)) / totals[langs]
-            rest = floor * rate.sum() / n_langs
-            whole = rate.sum() + rest * n_langs  # of (rate + rest) over all languages
-            self.at[key] = langs, np.log((rate + rest) / whole).astype(np.float32), math.log(rest / whole)
-
-    def get(self, key: str) -> np.ndarray | None:
-        found = self.at.get(key)
-        if found is None:
-            return None
-        vector = np.full(self.n_langs, found[2], np.float32)
-        vector[found[0]] = found[1]
-        return vector
+        self.at: dict[str, int] = {}
+        for key, *_ in rows:
+            self.at.setdefault(key, len(self.at))
+        key = np.fromiter((self.at[r[0]] for r in rows), np.int64, len(rows))
+        lang = np.fromiter((r[1] for r in rows), np.int64, len(rows))
+        n = np.fromiter((r[2] for r in rows), np.float64, len(rows))
+        cells, which = np.unique(key * n_langs + lang, return_inverse=True)
+        counts, key, lang = np.bincount(which, n, len(cells)), cells // max(1, n_langs), cells % max(1, n_langs)
+        rate = counts / np.maximum(np.bincount(lang, counts, n_langs), 1)[lang]
+        total = np.bincount(key, rate, len(self.at))
+        rest = floor * total / max(1, n_langs)
+        whole = total + rest * n_langs  # of (rate + rest) over all languages
+        self.starts, self.langs = np.searchsorted(key, np.arange(len(self.at) + 1)), lang.astype(np.int32)
+        self.logs, self.rest = np.log((rate + rest[key]) / whole[key]).astype(np.float32), np.log(rest / np.where(whole, whole, 1)).astype(np.float32) if len(rows) else np.zeros(0, np.float32)
+        self.full = None
+        if len(self.at) * n_langs <= self.FULL:
+            self.full = np.repeat(self.rest[:, None], n_langs, axis=1)
+            self.full[key, lang] = self.logs
+
+    def total(self, rows: list[int]) -> np.ndarray:
+        """The sum of these rows, by language."""
+        if self.full is not None:
+            return self.full[rows].sum(axis=0, dtype=np.float64)
+        out = np.full(self.n_langs, self.rest[rows].sum(dtype=np.float64))
+        for k in rows:
+            own = slice(self.starts[k], self.starts[k + 1])
+            out[self.langs[own]] += self.logs[own] - self.rest[k]
+        return out
 
 
 @dataclass
@@ -107,19 +121,18 @@ class Model:
 
     def unseen(self, word: str) -> np.ndarray:
         """Log score by language of a word that is not known: at each place the longest known n-gram that ends there, shorter ones at a penalty."""
-        p, total, rest = self.params, np.zeros(len(self.langs)), 0.0
-        w, grams = f" {word} ", self.grams.at
+        longest, w, at, found, short = self.params.longest, f" {word} ", self.grams.at, [], 0
         for end in range(2, len(w) + 1):
-            for n in range(min(p.longest, end), 0, -1):
-                if (g := grams.get(w[end - n : end])) is not None:
-                    total[g[0]] += g[1] - g[2]
-                    rest += g[2] + p.backoff * (p.longest - n)
+            for n in range(min(longest, end), 0, -1):
+                if (k := at.get(w[end - n : end])) is not None:
+                    found.append(k)
+                    short += longest - n
                     break
-        return (total + rest) / max(1, len(word))
+        return (self.grams.total(found) + short * self.params.backoff) / max(1, len(word))
 
     def vector(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
-        return self.unseen(word) if known is None else known
+        known = self.words.at.get(word)
+        return self.unseen(word) if known is None else self.words.total([known])
 
 
 def grams_of(word: str, longest: int) -> Iterator[str]:
