@@ -78,6 +78,8 @@ def agg12_code_lengths(spark, sf_dir):
 
 @query(f"{PLANE}, a AS (SELECT * FROM (VALUES (0, 4, false), (10, 6, true)) t(o, s, vertical)) SELECT image_id, o, count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM plane, a WHERE CASE WHEN vertical THEN x >= o AND x < o + s AND y >= 4 ELSE y >= o AND y < o + s AND x >= 6 END GROUP BY ALL")
 def jon08_samples_in_areas(spark, sf_dir):
-    areas = spark.createDataFrame([(0, 4, False), (10, 6, True)], "o int, s int, vertical boolean")  # an image has a few
-    hit = F.when(F.col("vertical"), F.expr("x >= o AND x < o + s AND y >= 4")).otherwise(F.expr("y >= o AND y < o + s AND x >= 6"))
-    return X.plane_u16(spark, sf_dir).join(F.broadcast(areas), hit).groupBy("image_id", "o").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+    areas = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(s).alias("s"), F.lit(v).alias("vertical")) for o, s, v in ((0, 4, False), (10, 6, True))])  # an image has a few
+    x, y = F.col("x"), F.col("y")
+    hit = lambda a: F.when(a["vertical"], (x >= a["o"]) & (x < a["o"] + a["s"]) & (y >= 4)).otherwise((y >= a["o"]) & (y < a["o"] + a["s"]) & (x >= 6))
+    met = X.plane_u16(spark, sf_dir).select("image_id", "v", F.explode_outer(F.filter(areas, hit)).alias("a")).filter("a IS NOT NULL")
+    return met.groupBy("image_id", F.col("a.o").alias("o")).agg(F.count("*").alias("n"), F.sum("v").alias("total"))
