@@ -141,3 +141,22 @@ def fn35_variant_choice(spark, sf_dir):
     return t.select("l_orderkey", "l_linenumber", "l_suppkey", v["arw1"].alias("arw1"), v["height"].alias("height"), v["bits"].alias("bits"))
 
 
+@query("""SELECT event_id AS file_id, list_transform(CASE event_id % 5
+ WHEN 0 THEN [CASE WHEN user_id % 3 = 0 THEN 0.0 ELSE 1.0::DOUBLE / (user_id % 3) END, 1.0 / (1 + user_id), 0.5]
+ WHEN 1 THEN [1.0::DOUBLE / (0.5 * (0.25::DOUBLE / 0.5) + 0.25 + 0.125 * ((1 - 0.25::DOUBLE - 0.5) / 0.5)), 1.0::DOUBLE / 2, 1.0::DOUBLE / (4 * ((1 - 0.25::DOUBLE - 0.5) / 0.5))]
+ WHEN 2 THEN [user_id, user_id + 1, user_id + 3] WHEN 3 THEN [user_id - 10, user_id - 10, user_id - 10] ELSE [user_id, 256.0, event_id] END, lambda v: round(v::DOUBLE, 9)) AS wb FROM events""")
+def fn29_white_balance(spark, sf_dir):
+    """Five makers' ways to give it, as entries of files."""
+    from ..operators import balance as W
+
+    e = X.table(spark, sf_dir, "events")
+    rows = lambda k, tag, numbers: e.filter(f"event_id % 5 = {k}").selectExpr("event_id AS file_id", f"{tag} AS tag", f"cast({numbers} AS array<double>) AS numbers")
+    parts = [
+        rows(0, W.NEUTRAL, "array(user_id % 3, 1 + user_id, 2)"), rows(1, W.WHITE_XY, "array(0.25, 0.5)"), rows(2, W.LEVELS, "array(user_id, user_id + 1, user_id + 2, user_id + 3)"),
+        rows(3, W.UNCORRECTED, "array(user_id, user_id + 1, user_id + 2, user_id + 3)"), rows(3, W.BLACKS, "array(10, 11, 12, 13)"), rows(4, W.RED, "array(user_id)"), rows(4, W.BLUE, "array(event_id)"), rows(4, 271, "array(1)"),
+    ]
+    entries = parts[0]
+    for p in parts[1:]:
+        entries = entries.unionByName(p)
+    matrix = F.array(*[F.lit(v) for v in (0.5, 0.25, 0.125, 0.0, 2.0, 0.0, 0.0, 0.0, 4.0)])
+    return W.white_balance(entries, matrix).select("file_id", F.transform("wb", lambda v: F.round(v, 9)).alias("wb"))
