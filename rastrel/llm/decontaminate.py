@@ -68,7 +68,8 @@ def windows(df: DataFrame, lengths: list[int], items: bool = False, masks: dict[
     n, longest = F.size("h"), max(masks)
     used = sorted({m for k in lengths for m in masks[k]}, key=lambda m: (len(m), m))
     shortest = len(used[0])
-    df = df.filter(n >= shortest).select("*", F.explode(F.sequence(F.lit(0), n - shortest)).alias("at"))
+    # no filter on what is made of h, and none inferred: it would go below the projection that makes h, and make it twice
+    df = df.select("*", F.explode_outer(F.when(n >= shortest, F.sequence(F.lit(0), n - shortest))).alias("at"))
 
     def key(k: int, mask: str) -> Column:
         parts = [F.get("h", F.col("at") + i) for i, c in enumerate(mask) if c == "1"]
