@@ -28,6 +28,7 @@ from fractions import Fraction
 from itertools import islice
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -142,3 +143,13 @@ def mixed(docs: DataFrame, weights: dict | None = None, block: int = BLOCK) -> D
     """All rows of docs, its columns, in files that follow the mix."""
     df = placed(docs, weights, block).withColumn("slot", F.coalesce("slot", F.lit((1 << 63) - 1)))
     return df.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select("row.*")
+
+
+def in_file_order(docs: DataFrame) -> list[Column]:
+    """What sorts docs as mixed() has dealt its rows: of a table read from files their numbers, names and rows (a scan may take the files in any order), else the place among docs' partitions."""
+    try:
+        at = docs.metadataColumn("_metadata")
+        docs.select(at["file_name"], at["row_index"])
+    except AnalysisException:
+        return [F.monotonically_increasing_id()]
+    return [F.regexp_extract(at["file_name"], r"^part-(\d+)", 1).try_cast("long"), at["file_path"], at["row_index"]]

@@ -13,10 +13,14 @@ identifier is the empty key, before all others. Shards are written once under a
 their final name, so a task that runs again does no harm: where the name is taken, the first attempt's file, which holds
 the same, stays.
 
+Documents that come in an order of their own (columns `order` of write_shards) keep it: shards hold ranges of that order,
+and a key is a zero byte, the entry's number in its shard as eight bytes, and the identifier's own key. The Bloom filter
+has the identifiers in either case; without their order an identifier is looked up by reading the shard's blocks.
+
 A shard ends with SHARD_IDS ids or SHARD_DOCS entries, so that neither it nor the keys that its writer holds grow with the table.
 
 Defined results: a null or empty text is the end id alone; repeated identifiers are separate entries, in the order of
-their texts; an empty table has no shards and an empty result; columns other than id and text are not read.
+their texts (or as the order of their own has them); an empty table has no shards and an empty result; columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir, texts
@@ -47,8 +51,19 @@ def key_of(doc_id: int | None) -> bytes:
     return b"" if doc_id is None else struct.pack(">Q", doc_id + (1 << 63))
 
 
+def numbered(n: int, key: bytes) -> bytes:
+    """The key of entry n of a shard in an order of its own."""
+    return b"\0" + struct.pack(">Q", n) + key
+
+
+def own_key(key: bytes) -> bytes:
+    """The identifier's part of a key."""
+    return key[9:] if len(key) > 8 else key
+
+
 def id_of(key: bytes) -> int | None:
-    return struct.unpack(">Q", key)[0] - (1 << 63) if key else None
+    own = own_key(key)
+    return struct.unpack(">Q", own)[0] - (1 << 63) if own else None
 
 
 def varint(n: int) -> bytes:
@@ -126,7 +141,7 @@ class Writer:
         bloom_at = self.at
         bits = max(64, -(-len(self.keys) * BLOOM_BITS // 8) * 8)
         bloom = np.zeros(bits, np.uint8)
-        for k in set(self.keys):
+        for k in set(map(own_key, self.keys)):
             bloom[bloom_places(k, bits, BLOOM_HASHES)] = 1
         self.put(np.packbits(bloom).tobytes())
         self.put(FOOTER.pack(index_at, bloom_at - index_at, bloom_at, self.at - bloom_at, self.n_docs, self.n_ids, BLOOM_HASHES, MAGIC))
@@ -134,7 +149,7 @@ class Writer:
 
 
 class Shard:
-    """Reads one shard: all entries in order, or those of one identifier by Bloom filter and binary search."""
+    """Reads one shard: all entries in order, or those of one identifier by Bloom filter and, where identifiers are in order, binary search."""
 
     def __init__(self, uri: str):
         from pyarrow import fs
@@ -184,6 +199,8 @@ class Shard:
         key = key_of(doc_id)
         if not all(self.bloom[p >> 3] >> (7 - p % 8) & 1 for p in bloom_places(key, len(self.bloom) * 8, self.hashes)):
             return []
+        if self.index and len(self.index[0][0]) > 8:
+            return [ids for k in range(len(self.index)) for other, ids in self.entries(k) if own_key(other) == key]
         found = []
         for k in range(max(0, bisect.bisect_left([x[0] for x in self.index], key) - 1), len(self.index)):
             if self.index[k][0] > key:
@@ -206,8 +223,9 @@ def settled(files, own: str, name: str) -> None:
     files.delete_file(own)
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str = WORD_BPE, end: int = END) -> DataFrame:
-    """Encodes docs and writes its shards below folder; returns the manifest, itself written there: part and roll give their order."""
+def write_shards(docs: DataFrame, folder: str, tokenizer: str = WORD_BPE, end: int = END, order: list[Column] | None = None) -> DataFrame:
+    """Encodes docs and writes its shards below folder, by identifier or by the columns `order`; returns the manifest, itself written there: part and roll give their order."""
+    ordered = order is not None
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -232,7 +250,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str = WORD_BPE, end: i
                     if writer is None:
                         files.create_dir(where, recursive=True)
                         writer = Writer(files.open_output_stream(f"{where}/shard-{part:06d}-{len(rows):05d}.sst.{task.taskAttemptId()}"))
-                    writer.add(key_of(doc_id), raw[x:y] + stop, width)
+                    writer.add(numbered(writer.n_docs, key_of(doc_id)) if ordered else key_of(doc_id), raw[x:y] + stop, width)
                     if writer.full:
                         close()
                         writer = None
@@ -243,7 +261,12 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str = WORD_BPE, end: i
             p, r, u, d, n = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(r, pa.int64()), pa.array(u, pa.string()), pa.array(d, pa.int64()), pa.array(n, pa.int64())], names=["part", "roll", "path", "n_docs", "n_ids"])
 
-    rows = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(written, MANIFEST)
+    if not ordered:
+        rows = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    else:
+        by = [f"o{k}" for k in range(len(order))]
+        rows = texts(docs, more=[c.alias(x) for c, x in zip(order, by, strict=True)]).repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "text")
+    rows = rows.mapInArrow(written, MANIFEST)
     rows.write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
@@ -272,6 +295,6 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     return shards.repartition(max(1, min(manifest.count(), MOST_READERS))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def encode(docs: DataFrame, tokenizer: str = WORD_BPE, folder: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str = WORD_BPE, folder: str | None = None, order: list[Column] | None = None) -> DataFrame:
     """Writes docs as shards, below the shared folder if none is named, and returns what they hold."""
-    return read_shards(write_shards(docs, folder or shared_dir(docs.sparkSession, "shards"), tokenizer))
+    return read_shards(write_shards(docs, folder or shared_dir(docs.sparkSession, "shards"), tokenizer, order=order))

@@ -76,3 +76,38 @@ def test_near_copies_of_the_given_documents_equal_brute_force(spark):
     got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
     assert got == {i: name[k] for i, k in of.items()}
 
+
+
+def test_shards_follow_the_mix(spark):
+    """Tokens are stored in the order that the mixing stage has dealt, whichever way its files are scanned."""
+    import corpus_pipeline as P
+    from rastrel.llm import mixing
+    from rastrel.llm.common import materialize, table
+
+    docs = table(spark, SF, "documents")
+    for _, stage in P.STAGES[:-2]:
+        docs = materialize(stage(spark, docs, SF), "test")
+    mix = [r.doc_id for r in mixing.slots(docs).orderBy("slot", "place").collect()]
+    assert mix != sorted(mix)
+    stored = [r.doc_id for r in P.run(spark, SF).orderBy("start").collect()]
+    assert stored == mix
+    few = docs.limit(40).cache()
+    mixed = P.STAGES[-2][1](spark, few, SF).repartitionByRange(8, "doc_id").cache()  # rows that are no files
+    stored = [r.doc_id for r in P.STAGES[-1][1](spark, mixed, SF).orderBy("start").collect()]
+    assert stored == [r.doc_id for r in mixed.collect()]
+
+
+def test_shards_in_an_order_of_their_own(spark, tmp_path):
+    from rastrel.llm import sstable, tokens
+
+    rows = [(7, "b b", 3), (None, "no id", 1), (7, "a", 0), (2, None, 2), (-5, "x " * 40000, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, at long")
+    manifest = sstable.write_shards(df, f"file://{tmp_path}/s", order=[F.col("at")]).orderBy("part", "roll").collect()
+    shards = [sstable.Shard(r.path) for r in manifest]
+    assert [i for s in shards for i, _, _ in s] == [7, None, 2, 7, -5]
+    encoder = tokens.Encoder(tokens.path(tokens.WORD_BPE))
+    for doc_id in (7, None, 2, -5, 3):
+        want = [[*encoder.ids(t or ""), sstable.END] for i, t, _ in sorted(rows, key=lambda x: x[2]) if i == doc_id]
+        assert [x.tolist() for s in shards for x in s.get(doc_id)] == want
+    got = sstable.read_shards(spark.createDataFrame(manifest)).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [7, None, 2, 7, -5] and got[0].start == 0 and got[-1].start == sum(r.n_tokens for r in got[:-1])
