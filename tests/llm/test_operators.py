@@ -411,6 +411,32 @@ def test_line_dedup_equals_brute_force(spark, docs, no_docs):
     assert linedup.line_dedup(no_docs).count() == 0 and linedup.line_dedup(docs).count() == len({r.doc_id for r in docs.select("doc_id").collect()})
 
 
+def test_line_dedup_counts_large_groups_of_near_copies_without_pairs(spark):
+    """Lines of a few words' difference from one of 30, and from halves of it: links by brute force, few pairs made."""
+    from rastrel.llm.common import materialize
+
+    r = random.Random(8)
+    base = [f"long{i:02d}" for i in range(30)]
+    made = {" ".join(base)}
+    while len(made) < 150:
+        line = list(base)
+        for _ in range(r.choice((1, 1, 1, 2, 2, 4, 6))):
+            line[r.randrange(30)] = f"edit{r.randint(0, 99)}"
+        made.add(" ".join(line))
+    made = sorted(made)
+    cases = [(i, "\n".join(made[i * 3 : i * 3 + 3] + [" ".join(base)] * (i % 2))) for i in range(50)]
+    df = spark.createDataFrame(cases, "doc_id long, text string")
+    flat = [(i, n, x) for i, t in cases for n, x in enumerate(t.split("\n"))]
+    sets = {x: frozenset(x.split()) for x in made}
+    like = {x: {o for o in made if 5 * len(sets[x] & sets[o]) >= 4 * len(sets[x] | sets[o])} for x in made}
+    got = {x.doc_id: x for x in linedup.line_dedup(df).collect()}
+    assert {i: x.n_links for i, x in got.items()} == {i: sum(len(like[x]) - 1 for j, _, x in flat if j == i) for i, _ in cases}
+    assert {i: x.removed for i, x in got.items()} == {i: [n for j, n, x in flat if j == i and any((k, m) < (i, n) and o in like[x] for k, m, o in flat)] for i, _ in cases}
+    classes = materialize(spark.createDataFrame([(k, x, 2 if x == " ".join(base) else 1) for k, x in enumerate(made)], "sid long, line string, copies long"), "test")
+    pairs = sum(len(o) - 1 for o in like.values()) // 2
+    assert linedup.similar_sets(classes, linedup.centred(classes)).count() < 0.6 * pairs
+
+
 # 7
 
 
