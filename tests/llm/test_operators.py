@@ -437,6 +437,24 @@ def test_line_dedup_counts_large_groups_of_near_copies_without_pairs(spark):
     assert linedup.similar_sets(classes, linedup.centred(classes)).count() < 0.6 * pairs
 
 
+def test_line_dedup_counts_near_copies_edited_at_both_ends_and_makes_others_of_a_centre_once(spark):
+    """No two lines begin or end alike; ten have five more words changed alike. Links by brute force; only those ten are made as pairs, each pair once."""
+    from rastrel.llm.common import materialize
+
+    base = [f"long{i:02d}" for i in range(60)]
+    other = base[:20] + [f"other{i}" for i in range(5)] + base[25:]
+    made = [" ".join([f"head{k}", *(base if k < 60 else other)[1:-1], f"tail{k}"]) for k in range(70)]
+    sets = [frozenset(x.split()) for x in made]
+    like = [{o for o in range(70) if 5 * len(x & sets[o]) >= 4 * len(x | sets[o])} for x in sets]
+    got = {x.doc_id: x for x in linedup.line_dedup(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")).collect()}
+    assert {i: (x.n_links, x.n_removed) for i, x in got.items()} == {i: (len(like[i]) - 1, int(min(like[i]) < i)) for i in range(70)}
+    classes = materialize(spark.createDataFrame([(k, x, 1) for k, x in enumerate(made)], "sid long, line string, copies long"), "test")
+    members = linedup.centred(classes)
+    pairs = [(x.a, x.b) for x in linedup.similar_sets(classes, members).collect()]
+    assert len(pairs) == len(set(pairs)) and members.select("center").distinct().count() == 1
+    assert {(a, b) for a, b in pairs if b < 60} == set() and {(min(x), max(x)) for x in pairs} >= {(a, b) for a in range(60, 70) for b in range(a + 1, 70)}
+
+
 # 7
 
 
