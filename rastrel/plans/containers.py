@@ -13,6 +13,11 @@ from ..sources import containers as C
 from . import fixtures as X
 
 
+def number_entry(tag, v, e):
+    """A whole number of 32 bits at most as an entry: two bytes where they hold it, else four."""
+    return (tag, 3, 1, struct.pack(e + "H", v)) if v <= 0xFFFF else (tag, 4, 1, struct.pack(e + "I", v))
+
+
 def files(spark, sf_dir):
     """Each event as a TIFF file of two directories."""
 
@@ -24,7 +29,7 @@ def files(spark, sf_dir):
             for i, u, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 big = i % 20 == 0
                 e = ">" if big else "<"
-                first = [(256, 4, 1, struct.pack(e + "I", 100 + u)), (257, 3, 1, struct.pack(e + "H", u)), (271, 2, len(s) + 1, s.encode() + b"\0")]
+                first = [(256, 4, 1, struct.pack(e + "I", 100 + u)), number_entry(257, u, e), (271, 2, len(s) + 1, s.encode() + b"\0")]
                 out.append(C.written_tiff([first, [(256, 4, 1, struct.pack(e + "I", i)), (256, 4, 1, struct.pack(e + "I", i + 1))]], big))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["file_id", "content"])
 
