@@ -9,6 +9,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +38,40 @@ REGISTRY: dict[str, Decoder] = {
     "float_planes": planes.decode_planes,
 }
 
+
+
+def in_words(img: np.ndarray, encode: Callable[[np.ndarray], bytes]) -> bytes:
+    """An image of whole numbers of any size, for codecs of 16 bits: planes of 16-bit words, the lowest first, each behind its number of bytes. Negative numbers have all four."""
+    out, rest = b"", img.astype(np.int64)
+    for _ in range(4):
+        data = encode(rest & 0xFFFF)
+        out += struct.pack("<I", len(data)) + data
+        rest = rest >> 16
+        if not rest.any():
+            break
+    return out
+
+
+def of_words(data: bytes, width: int, height: int, run: Decoder, **parameters: object) -> np.ndarray:
+    """The inverse of in_words()."""
+    at, words = 0, []
+    while at < len(data) or not words:
+        end = at + 4 + struct.unpack_from("<I", data, at)[0]
+        if end > len(data) or len(words) == 4:
+            raise CodecError("a plane of words ends too early, or is one too many")
+        words.append(run(data[at + 4 : end], width, height, **parameters).astype(np.int64) << 16 * len(words))
+        at = end
+    return np.bitwise_or.reduce(words)
+
+
 OUT = "unit_id long, y int, v array<double>, error string"
 
 
-def decoded(units: DataFrame, codec: str, **parameters: object) -> DataFrame:
-    """(unit_id, y, v, error) of units (unit_id, data, width, height): a row for each line, or one with an error for a unit that can't be decoded."""
+def decoded(units: DataFrame, codec: str, words: bool = False, **parameters: object) -> DataFrame:
+    """(unit_id, y, v, error) of units (unit_id, data, width, height): a row for each line, or one with an error for a unit that can't be decoded. words: data are as in_words() makes them."""
     if codec not in REGISTRY:
         raise ValueError(f"unknown codec {codec}")
-    run = REGISTRY[codec]
+    run = partial(of_words, run=REGISTRY[codec]) if words else REGISTRY[codec]
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -64,4 +91,4 @@ def decoded(units: DataFrame, codec: str, **parameters: object) -> DataFrame:
     return units.select("unit_id", "data", "width", "height").mapInArrow(lines, OUT)
 
 
-__all__ = ["REGISTRY", "CodecError", "decoded"]
+__all__ = ["REGISTRY", "CodecError", "decoded", "in_words", "of_words"]
