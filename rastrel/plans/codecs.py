@@ -134,7 +134,7 @@ def cdc22_blocks_of_runs(spark, sf_dir):
 @query(PLANE)
 def cdc07_sliced_frames(spark, sf_dir):
     encode = _whole(predictive.encode_sliced, parts=2, frame_width=10, widths=[20, 20, 10], **CODE)
-    return round_trip(X.plane_u16(spark, sf_dir), encode, "sliced_frames", widths=[20, 20, 10])
+    return round_trip_of_words(X.plane_u16(spark, sf_dir), encode, "sliced_frames", widths=[20, 20, 10])
 
 
 @query(f"WITH {X.plane_sql()} SELECT image_id, CASE WHEN image_id % 3 = 2 THEN NULL ELSE 20 END AS rows, CASE WHEN image_id % 3 = 2 THEN 'unknown compression 99' END AS error FROM plane GROUP BY image_id")
