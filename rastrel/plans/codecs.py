@@ -61,7 +61,7 @@ def cdc06_lossless_frames(spark, sf_dir):
 
 @query(PLANE)
 def cdc08_paired_lengths(spark, sf_dir):
-    return round_trip(X.plane_u16(spark, sf_dir), _whole(predictive.encode_pairs, **CODE), "paired_lengths", **CODE)
+    return round_trip_of_words(X.plane_u16(spark, sf_dir), _whole(predictive.encode_pairs, **CODE), "paired_lengths", **CODE)
 
 
 @query(SMOOTH)
