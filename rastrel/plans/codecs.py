@@ -102,7 +102,7 @@ def rows_of_units(df):
 @query(PLANE)
 def cdc24_strips(spark, sf_dir):
     df = rows_as_units(X.plane_u16(spark, sf_dir))
-    return rows_of_units(round_trip(df, lambda img: predictive.encode_strip(img[0].astype(np.int64)), "adaptive_lengths", X.WIDTH, 1))
+    return rows_of_units(round_trip_of_words(df, lambda img: predictive.encode_strip(img[0].astype(np.int64)), "adaptive_lengths", X.WIDTH, 1))
 
 
 @query(SMOOTH)
