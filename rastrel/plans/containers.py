@@ -63,9 +63,13 @@ BLACK, WHITE, CROP = (64, 96, 128, 160), 52000, (4, 2, 40, 16)
 
 
 def raw_file(img, kind):
-    """An image as a self-describing file: little-endian strips, big-endian tags with lossless tiles, or plain tiles that reach beyond the frame."""
+    """An image as a self-describing file: little-endian strips, big-endian tags with lossless tiles, or plain tiles that reach beyond the frame.
+
+    Files have 16 bits a sample, so what lies beyond is saturated, as in a sensor: that is above WHITE or below BLACK, where levels end anyway.
+    """
     from ..operators.codecs import predictive, prefix
 
+    img = np.clip(img, 0, 0xFFFF)
     height, width = img.shape
     big = kind == 1
     e = ">" if big else "<"
