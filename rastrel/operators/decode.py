@@ -20,6 +20,8 @@ TAGS = {
     "width": 256, "height": 257, "bits": 258, "compression": 259, "rows_per_strip": 278, "tile_width": 322, "tile_height": 323, "white": 50717, "dng": 50706,
 }
 LISTS = {"strip_offsets": 273, "strip_sizes": 279, "tile_offsets": 324, "tile_sizes": 325, "black": 50714, "crop_origin": 50719, "crop_size": 50720}
+#: Which decoders take levels and crops from these tags; for others they mean nothing.
+LEVELS = {"white": ("DNG",), "black": ("DNG", "3FR"), "crop_origin": ("DNG",), "crop_size": ("DNG",)}
 TEXTS = {"make": 271, "model": 272, "software": 305}
 #: Pieces that a file may have.
 MOST_PIECES = 1 << 16
@@ -33,7 +35,7 @@ def numbers(value: Column, kind: Column, count: Column, big: Column) -> Column:
 
 
 def described(files: DataFrame, id_col: str = "file_id", content: str = "content") -> DataFrame:
-    """One row for each file: its largest image's geometry and storage, levels, names and decoder, or an error."""
+    """One row for each file: its largest image's geometry and storage, levels, names and decoder, or an error. A file that no decoder takes is an error, and has no samples."""
     e = entries(files, id_col, content)
     tag = F.col("tag")
     one = [F.first(F.when(tag == t, F.col("number")), ignorenulls=True).alias(n) for n, t in TAGS.items() if n != "dng"]
@@ -45,7 +47,8 @@ def described(files: DataFrame, id_col: str = "file_id", content: str = "content
     best = F.max_by(F.struct(*kept), F.when(has, F.col("width") * F.col("height")))
     out = images.groupBy("file_id").agg(best.alias("image"), F.max("error").alias("error"), F.coalesce(F.max("dng"), F.lit(False)).alias("dng"), *[F.first(n, ignorenulls=True).alias(n) for n in TEXTS])
     name = decoder(F.col("make"), F.col("model"), F.col("dng"), F.lit(False), F.col("software"))
-    return out.select("file_id", "image.*", name.alias("decoder"), F.coalesce("error", F.when(F.col("image").isNull(), "no image")).alias("error"))
+    own = [F.when(name.isin(*LEVELS[c]), F.col("image")[c]).alias(c) if c in LEVELS else F.col("image")[c].alias(c) for c in kept]
+    return out.select("file_id", *own, name.alias("decoder"), F.coalesce("error", F.when(F.col("image").isNull(), "no image"), F.when(name.isNull(), "no decoder")).alias("error"))
 
 
 def piece_geometry(n: Column) -> dict[str, Column]:

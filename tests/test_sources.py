@@ -127,3 +127,17 @@ def test_images(spark, tmp_path):
     rows = [(5, y, x, int(img[y, x])) for y in range(3) for x in range(4)]
     out = images.write_images(spark.createDataFrame(rows, "image_id long, y int, x int, v long"), f"file://{tmp_path}/out", 4, 3).collect()
     assert (tmp_path / "out" / "5.ppm").read_bytes() == images.pixmap(img) and out[0].bytes == len(images.pixmap(img))
+
+
+def test_the_choice_of_a_decoder_decides_about_samples(spark):
+    """Plain images with a white level: one that says DNG, one of a maker whose decoder doesn't know that tag, one of a maker that has no decoder, and one that names nobody."""
+    from rastrel.operators import decode
+
+    def plain(*more):
+        words = lambda base: [(256, 3, 1, short(2)), (257, 3, 1, short(1)), (258, 3, 1, short(16)), *[m for m in more if m[0] < 273], (273, 4, 1, struct.pack("<I", base)), (279, 4, 1, struct.pack("<I", 4)), *[m for m in more if m[0] > 279], (50717, 3, 1, short(14))]
+        return C.written_tiff([words(len(C.written_tiff([words(0)])))]) + short(7) + short(65535)
+
+    made = [(1, plain((50706, 4, 1, b"\x01\x01\0\0"))), (2, plain((271, 2, 6, b"Canon\0"))), (3, plain((271, 2, 5, b"Acme\0"))), (4, plain())]
+    images, samples = decode.decode(spark.createDataFrame(made, "file_id long, content binary"))
+    assert {r.file_id: (r.decoder, r.error) for r in images.collect()} == {1: ("DNG", None), 2: ("CR2", None), 3: (None, "no decoder"), 4: (None, "no decoder")}
+    assert sorted((r.file_id, r.v) for r in samples.collect()) == [(1, 32767), (1, 65535), (2, 7), (2, 65535)]
