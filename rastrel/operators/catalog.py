@@ -62,19 +62,29 @@ def iso_within(iso: Column, low: Column, high: Column) -> Column:
 
 
 def sensor_arrays(sensors: DataFrame) -> DataFrame:
-    """The sensors of each (make, model) as one array in their order."""
-    item = F.struct("ord", "black", "white", "iso_min", "iso_max")
-    return sensors.groupBy("make", "model").agg(F.array_sort(F.collect_list(item)).alias("sensors"))  # a camera has a handful
+    """For each (make, model) its number of sensors, and as an array in their order those that can be chosen: of equal ranges only the first ever is."""
+    ranges = sensors.groupBy("make", "model", "iso_min", "iso_max").agg(F.min(F.struct("ord", "black", "white")).alias("s"), F.count("*").alias("n"))
+    item = F.struct("s.ord", "s.black", "s.white", "iso_min", "iso_max")
+    return ranges.groupBy("make", "model").agg(F.array_sort(F.collect_list(item)).alias("sensors"), F.sum("n").alias("n"))
 
 
-def choose_sensor(shots: DataFrame, sensors: DataFrame) -> DataFrame:
-    """shots with `sensor`: a camera's only one even if the sensitivity lies outside; else, of those within, the only one, the first that isn't the default, or the first."""
-    out = shots.join(sensor_arrays(sensors).withColumnsRenamed({"make": "_make", "model": "_model"}), (trimmed("make") == F.col("_make")) & (trimmed("model") == F.col("_model")), "left")
+def sensor_by_kind(kinds: DataFrame, sensors: DataFrame) -> DataFrame:
+    """kinds (make, model, iso) with `sensor`: a camera's only one even if the sensitivity lies outside; else, of those within, the only one, the first that isn't the default, or the first."""
+    out = kinds.join(sensor_arrays(sensors).withColumnsRenamed({"make": "_make", "model": "_model"}), (trimmed("make") == F.col("_make")) & (trimmed("model") == F.col("_model")), "left")
     within = F.filter("sensors", lambda s: iso_within(F.col("iso"), s["iso_min"], s["iso_max"]))
     out = out.withColumn("_within", within)
     plain = F.filter("_within", lambda s: (s["iso_min"] != 0) | (s["iso_max"] != 0))
-    pick = F.when(F.size("sensors") == 1, F.get("sensors", F.lit(0))).otherwise(F.coalesce(F.get(plain, F.lit(0)), F.get("_within", F.lit(0))))
-    return out.withColumn("sensor", pick).drop("_make", "_model", "_within", "sensors")
+    pick = F.when(F.col("n") == 1, F.get("sensors", F.lit(0))).otherwise(F.coalesce(F.get(plain, F.lit(0)), F.get("_within", F.lit(0))))
+    return out.select(*kinds.columns, pick.alias("sensor"))
+
+
+def choose_sensor(shots: DataFrame, sensors: DataFrame) -> DataFrame:
+    """shots with `sensor`, as sensor_by_kind() says. It is chosen once for each camera and sensitivity, not for each shot."""
+    names = [F.coalesce("make", F.lit("")).alias("_make"), F.coalesce("model", F.lit("")).alias("_model"), F.col("iso").alias("_iso")]
+    kinds = shots.select(*names).distinct().select(F.col("_make").alias("make"), F.col("_model").alias("model"), F.col("_iso").alias("iso"))
+    own = sensor_by_kind(kinds, sensors).select(*[F.col(c).alias(f"_{c}") for c in ("make", "model", "iso")], "sensor")
+    on = (F.coalesce("make", F.lit("")) == F.col("_make")) & (F.coalesce("model", F.lit("")) == F.col("_model")) & F.col("iso").eqNullSafe(F.col("_iso"))
+    return shots.join(own, on, "left").drop("_make", "_model", "_iso")
 
 
 def support(files: DataFrame, status: str, mode: str, fail_on_unknown: bool = False) -> DataFrame:

@@ -53,7 +53,7 @@ WITHIN = """picks AS (SELECT t.*, s.ord, s.black, s.white, row_number() OVER (PA
 def levels(spark, sf_dir):
     """Levels are chosen once for each (camera, sensitivity), not for each shot."""
     kinds = X.shots(spark, sf_dir).select(C.trimmed("make").alias("make"), "model", "iso").distinct()
-    return C.choose_sensor(kinds, X.sensors(spark, sf_dir)).selectExpr("make", "model", "iso", "sensor.ord", "sensor.black", "sensor.white")
+    return C.sensor_by_kind(kinds, X.sensors(spark, sf_dir)).selectExpr("make", "model", "iso", "sensor.ord", "sensor.black", "sensor.white")
 
 
 @query(f"WITH {X.SHOTS}, {X.SENSORS}, {WITHIN} SELECT make, model, iso, ord, black, white FROM levels")
@@ -129,6 +129,6 @@ def flagship_levels_by_family(spark, sf_dir):
     names = C.any_mode(cams(spark, sf_dir)).select("make", "model", "mode", "doc_order")
     area = G.relative_crop(4, 2, -4, -2, 100, 100)
     shots = C.look_up(G.inside(X.shots(spark, sf_dir), area), names, ("make", "model")).filter("doc_order IS NOT NULL").withColumn("make", C.trimmed("make"))
-    shots = C.choose_sensor(shots.select("make", "model", "iso", "v"), X.sensors(spark, sf_dir))  # within the row, which has its camera's few sensors
+    shots = C.choose_sensor(shots.select("make", "model", "iso", "v"), X.sensors(spark, sf_dir))
     scaled = shots.withColumn("v", P.scaled_u16(F.col("v"), F.col("sensor.black"), F.col("sensor.white")))
     return scaled.groupBy("make").agg(F.count("*").alias("n"), F.sum("v").alias("total"), (F.sum("v").cast("double") / F.count("*")).alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"))

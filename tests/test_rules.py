@@ -120,3 +120,22 @@ def test_opcode_lists(spark):
     out = opcodes.applied(df, [O(9, flags=1), O(6, rect=(1, 1, 4, 4)), O(4, params=(100,)), O(10, rect=(0, 0, 3, 3), params=(0.5, 0.0, -0.5))], 4, 4).collect()
     assert {(r.y, r.v) for r in out} == {(0, 32867), (1, 100), (2, 0)} and all(r.bad for r in out) and len(out) == 9
     assert random
+
+
+def test_sensors_by_many_equal_ranges(spark):
+    """A camera's array has each range once, however many sensors it has; what is chosen is what a walk through all of them finds."""
+    own = [("A", "x", k, k, 4000 + k, 0 if k == 5 else k % 4 * 100, 0 if k % 3 == 0 else k % 4 * 100 + 150) for k in range(1, 1001)] + [("B", "y", 1, 7, 8, 100, 200)]
+    s = spark.createDataFrame(own, "make string, model string, ord long, black long, white long, iso_min long, iso_max long")
+    shots = [(i, m, n, iso) for i, (m, n, iso) in enumerate((m, n, iso) for m, n in ((" A\t", "x"), ("A", "x"), ("B", "y"), ("C", "x"), (None, "x"), ("A", None)) for iso in (None, 0, 50, 120, 260, 9999))]
+    sizes = {r.make: (len(r.sensors), r.n) for r in catalog.sensor_arrays(s).collect()}
+    assert sizes["A"][0] <= 9 and sizes["A"][1] == 1000 and sizes["B"] == (1, 1)
+
+    def walked(make, model, iso):
+        mine = [x for x in own if x[:2] == ((make or "").strip(" \t"), model)]
+        within = [x for x in mine if iso is not None and (x[5] <= iso <= x[6] or (iso >= x[5] and x[6] == 0))]
+        plain = [x for x in within if x[5] or x[6]]
+        return (mine if len(mine) == 1 else plain or within or [None])[0]
+
+    got = {r.id: r.sensor and r.sensor.ord for r in catalog.choose_sensor(spark.createDataFrame(shots, "id long, make string, model string, iso long"), s).collect()}
+    want = {i: (w := walked(*x)) and w[2] for i, *x in shots}
+    assert got == want
