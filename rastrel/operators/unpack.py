@@ -1,20 +1,50 @@
-"""Fixed-width samples from packed bytes, as column expressions.
+"""Fixed-width samples from packed bytes.
 
-Each layout is a function from a sample's number to its value in an array of bytes. samples() explodes the numbers and
-takes the values in the same generated loop, which is several times faster than higher-order functions over arrays.
-A row shorter than it must be is an error row, never cut.
+A layout says at which bit of a row each sample begins. Rows of bytes are cut and their samples shifted out by arrays, a
+chunk of rows at a time, in one Arrow call a batch: column expressions took half a microsecond a sample, most of it to
+turn bytes into numbers. A row shorter than it must be is an error row, never cut.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bits import low
-
-Sample = Callable[[Column], Column]
+#: By order: bytes of a word whose bytes are swapped before its high bits come first.
+SWAPPED = {"msb": 1, "msb16": 2, "msb32": 4}
+#: Samples of an Arrow batch, about.
+CHUNK = 1 << 16
+
+
+@dataclass(frozen=True)
+class Layout:
+    """First bits of the samples of a row, their number of bits (24 at most) and the order of bits: lsb takes low bits first; msb high bits first; msb16 and msb32 the same after swapping the bytes of each word of two or four."""
+
+    starts: tuple[int, ...]
+    bits: int
+    order: str = "msb"
+
+    def taken(self, rows: np.ndarray) -> np.ndarray:
+        """Samples (row, x) of rows of bytes; bits beyond a row's end are zero."""
+        columns = np.ascontiguousarray(rows.T).astype(np.int64)
+        none = np.zeros(len(rows), np.int64)
+        out = np.empty((len(self.starts), len(rows)), np.int64)
+        for k, first in enumerate(self.starts):
+            at, skip = divmod(first, 8)
+            places = range(at, at + (skip + self.bits + 7) // 8)
+            w = SWAPPED.get(self.order, 1)
+            own = [columns[p] if (p := i // w * w + w - 1 - i % w) < len(columns) else none for i in places]
+            own, down = (own[::-1], skip) if self.order == "lsb" else (own, 8 * len(own) - skip - self.bits)
+            whole = own[0]
+            for c in own[1:]:
+                whole = whole << 8 | c
+            out[k] = whole >> down & (1 << self.bits) - 1
+        return out.T
 
 
 def bytes_of(data: str | Column) -> Column:
@@ -23,28 +53,9 @@ def bytes_of(data: str | Column) -> Column:
     return F.transform(hexes, lambda h: F.conv(h, 16, 10).cast("int"))
 
 
-def packed(bytes_: str, bits: int, order: str = "msb", start: int = 0) -> Sample:
-    """Samples of `bits` bits each (24 at most).
-
-    order: lsb takes low bits first; msb high bits first; msb16 and msb32 the same after swapping the bytes of each word
-    of two or four.
-    """
-    word = {"lsb": 1, "msb": 1, "msb16": 2, "msb32": 4}[order]
-
-    def at(i: Column) -> Column:
-        return F.coalesce(F.get(bytes_, (F.floor(i / word) * word + (word - 1) - F.pmod(i, F.lit(word))).cast("int")), F.lit(0)).cast("long")
-
-    def sample(k: Column) -> Column:
-        first = k.cast("long") * bits + start
-        b, skip = F.floor(first / 8), F.pmod(first, F.lit(8)).cast("int")
-        four = [at(b + i) for i in range(4)]
-        if order == "lsb":
-            whole = four[0] + four[1] * 256 + four[2] * 65536 + four[3] * 16777216
-            return F.call_function("shiftright", whole, skip).bitwiseAND(low(bits))
-        whole = four[0] * 16777216 + four[1] * 65536 + four[2] * 256 + four[3]
-        return F.call_function("shiftright", whole, (F.lit(32 - bits) - skip).cast("int")).bitwiseAND(low(bits))
-
-    return sample
+def packed(n: int, bits: int, order: str = "msb", start: int = 0) -> Layout:
+    """n samples of `bits` bits, one behind the other."""
+    return Layout(tuple(start + k * bits for k in range(n)), bits, order)
 
 
 def rows_of(df: DataFrame, data: str, pitch: int, height: int | None = None) -> DataFrame:
@@ -59,46 +70,44 @@ def rows_of(df: DataFrame, data: str, pitch: int, height: int | None = None) ->
     return out.withColumns({"y": F.when(F.col("row").isNull(), -1).otherwise(F.col("y")), "error": F.when(F.col("row").isNull(), "not enough bytes")})
 
 
-def samples(df: DataFrame, value: Sample, n: int, extra: str = "bytes") -> DataFrame:
-    """df without its bytes, with a row for each of n samples: x and v."""
-    kept = [c for c in df.columns if c not in ("row", extra)]
-    rows = df.select(*kept, extra, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("x"))
-    return rows.select(*kept, "x", value(F.col("x")).alias("v"))
+def samples(df: DataFrame, taken: Callable[[np.ndarray], np.ndarray], pitch: int) -> DataFrame:
+    """(id, y, x, v): a row for each sample of df (an id, and data whose lines are `pitch` bytes each). taken: samples (line, x) of lines of bytes. What is left of data behind whole lines is no line."""
+    key, data = df.columns
 
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, lines = b.column(0), [np.frombuffer(d.as_buffer(), np.uint8) if d.is_valid else np.empty(0, np.uint8) for d in b.column(1)]
+            lines = [d[: len(d) // pitch * pitch].reshape(-1, pitch) for d in lines]
+            counts = np.array([len(d) for d in lines], np.int64)
+            if not counts.sum():
+                continue
+            rows = np.concatenate(lines)
+            own, y = np.repeat(np.arange(len(counts)), counts), np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+            n = taken(rows[:1]).shape[1]
+            step = max(1, CHUNK // n)
+            for k in range(0, len(rows), step):
+                v = taken(rows[k : k + step])
+                at = pa.array(np.repeat(own[k : k + step], n))
+                xs = np.tile(np.arange(n, dtype=np.int32), len(v))
+                yield pa.RecordBatch.from_arrays([ids.take(at), pa.array(np.repeat(y[k : k + step].astype(np.int32), n)), pa.array(xs), pa.array(np.ascontiguousarray(v).ravel())], names=[key, "y", "x", "v"])
 
-def with_control(bytes_: str, big: bool = True) -> Sample:
-    """12-bit samples, two in three bytes, and a byte to leave out after every ten samples."""
+    return df.select(key, data).mapInArrow(made, f"{key} {df.schema[key].dataType.simpleString()}, y int, x int, v long")
 
-    def sample(k: Column) -> Column:
-        at = (F.floor(k / 2) * 3 + F.floor(k / 10)).cast("int")
-        b = [F.get(bytes_, at + i).cast("long") for i in range(3)]
-        even, odd = (b[0] * 16 + F.shiftright(b[1], 4), b[1].bitwiseAND(F.lit(15)) * 256 + b[2]) if big else (b[0] + b[1].bitwiseAND(F.lit(15)) * 256, F.shiftright(b[1], 4) + b[2] * 16)
-        return F.when(F.pmod(k, F.lit(2)) == 0, even).otherwise(odd)
 
-    return sample
+def with_control(n: int, big: bool = True) -> Layout:
+    """12-bit samples, two in three bytes, and a byte to leave out after every ten samples."""
+    return Layout(tuple(8 * (k // 2 * 3 + k // 10) + k % 2 * 12 for k in range(n)), 12, "msb" if big else "lsb")
 
 
-def left_aligned(bytes_: str, big: bool = False) -> Sample:
+def left_aligned(n: int, big: bool = False) -> Layout:
     """12-bit samples in the upper bits of 16."""
-
-    def sample(k: Column) -> Column:
-        a, b = F.get(bytes_, k * 2).cast("long"), F.get(bytes_, k * 2 + 1).cast("long")
-        return F.shiftright(a * 256 + b if big else b * 256 + a, 4)
-
-    return sample
-
-
-def field(bytes_: str, packet: Column, at: Column, bits: int) -> Column:
-    """`bits` bits (17 at most) of a packet of 16 bytes, counted from its lowest one."""
-    b, skip = (packet * 16 + F.floor(at / 8)).cast("int"), F.pmod(at, F.lit(8)).cast("int")
-    whole = sum((F.coalesce(F.get(bytes_, b + i), F.lit(0)).cast("long") * (1 << 8 * i) for i in range(3)), F.lit(0).cast("long"))
-    return F.call_function("shiftright", whole, skip).bitwiseAND(low(bits))
+    return Layout(tuple(16 * k + (0 if big else 4) for k in range(n)), 12, "msb" if big else "lsb")
 
 
-def packets(bytes_: str, bits: int = 14) -> Sample:
+def packets(n: int, bits: int = 14) -> Layout:
     """Packets of 16 bytes, each with as many samples as fit, low bits first."""
     per = 128 // bits
-    return lambda k: field(bytes_, F.floor(k / per), F.pmod(k, F.lit(per)) * bits, bits)
+    return Layout(tuple(k // per * 128 + k % per * bits for k in range(n)), bits, "lsb")
 
 
 def halves_swapped(data: str | Column, block: int, split: int) -> Column:
@@ -109,24 +118,22 @@ def halves_swapped(data: str | Column, block: int, split: int) -> Column:
     return F.when(F.length(data) == 0, F.unhex(F.lit(""))).otherwise(F.unhex(F.array_join(turned, "")))
 
 
-def extremes_and_deltas(df: DataFrame, packets: int, bytes_: str = "bytes") -> DataFrame:
-    """df without its bytes, with a row for each sample (x, v) of packets of 16 bytes, each 16 samples: greatest, least, their places, and 7-bit steps above the least, scaled to fit; 11 bits, doubled.
+def extremes_and_deltas(rows: np.ndarray) -> np.ndarray:
+    """Samples (row, x) of rows of packets of 16 bytes, each 16 samples: greatest, least, their places, and 7-bit steps above the least, scaled to fit; 11 bits, doubled.
 
-    The fields of a packet are columns before its samples are rows, so each is read once and the generated code stays small.
+    Where greatest and least share a place, the last step is read beyond the packet, zeros behind the row's last one.
     """
-    kept = [c for c in df.columns if c not in ("row", bytes_)]
-    packet = df.select(*kept, bytes_, F.explode(F.sequence(F.lit(0), F.lit(packets - 1))).alias("p"))
-    head = {n: field(bytes_, F.col("p"), F.lit(at), w) for n, at, w in (("hi", 0, 11), ("lo", 11, 11), ("ihi", 22, 4), ("ilo", 26, 4))}
-    span = F.col("hi") - F.col("lo")
-    shift = sum(((F.lit(0x80 << s) <= span).cast("int") for s in range(4)), F.lit(0))
-    # not unrolled: a generated method of that size would not be compiled to machine code
-    steps = F.transform(F.sequence(F.lit(0), F.lit(14)), lambda i: field(bytes_, F.col("p"), i * 7 + 30, 7))
-    packet = packet.withColumns(head).select(*kept, "p", "hi", "lo", "ihi", "ilo", shift.alias("shift"), steps.alias("steps"))
-    packet = packet.select("*", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("k"))  # a select of its own: beside explode() all else would be computed for each sample
-    before = (F.col("ihi") < F.col("k")).cast("int") + ((F.col("ilo") < F.col("k")) & (F.col("ilo") != F.col("ihi"))).cast("int")
-    step = F.call_function("shiftleft", F.coalesce(F.get("steps", F.col("k") - before), F.lit(0)).cast("long"), F.col("shift").cast("int"))
-    v = F.when(F.col("k") == F.col("ihi"), F.col("hi")).when(F.col("k") == F.col("ilo"), F.col("lo")).otherwise(F.least(F.lit(0x7FF), step + F.col("lo"))) * 2
-    return packet.select(*kept, (F.col("p") * 16 + F.col("k")).alias("x"), v.alias("v"))
+    n = rows.shape[1] // 16
+    packets = np.pad(rows, ((0, 0), (0, 16)))
+    packets = np.concatenate([packets[:, p * 16 : p * 16 + 32] for p in range(n)])  # with what follows
+    hi, lo = Layout((0, 11), 11, "lsb").taken(packets).T[:, :, None]
+    ihi, ilo = Layout((22, 26), 4, "lsb").taken(packets).T[:, :, None]
+    steps = Layout(tuple(30 + 7 * j for j in range(15)), 7, "lsb").taken(packets)
+    shift, k = sum((0x80 << s <= hi - lo).astype(np.int64) for s in range(4)), np.arange(16)
+    before = (ihi < k).astype(np.int64) + ((ilo < k) & (ilo != ihi))
+    step = np.take_along_axis(steps, np.minimum(k - before, 14), axis=1) << shift
+    v = np.where(k == ihi, hi, np.where(k == ilo, lo, np.minimum(0x7FF, step + lo))) * 2
+    return v.reshape(n, len(rows), 16).transpose(1, 0, 2).reshape(len(rows), n * 16)
 
 
 def interleaved(y: Column, height: int) -> Column:

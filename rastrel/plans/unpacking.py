@@ -1,5 +1,6 @@
 """Queries that unpack the bytes of texts as if they were rows of samples."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import unpack as U
@@ -12,8 +13,15 @@ q AS (SELECT doc_id, hex(data) AS h, unnest(range(0, octet_length(data) // 48))
 l AS (SELECT doc_id, y, list_transform(range(0, 48), lambda i: CAST('0x' || substr(h, CAST(i * 2 + 1 AS BIGINT), 2) AS INTEGER)) AS b FROM r)"""
 
 
+PITCH = 48
+
+
+def _samples(spark, sf_dir, taken):
+    return U.samples(X.blobs(spark, sf_dir), taken, PITCH)
+
+
 def rows(spark, sf_dir):
-    return U.rows_of(X.blobs(spark, sf_dir), "data", 48).filter("error IS NULL").withColumn("bytes", U.bytes_of("row")).select("doc_id", "y", "bytes")
+    return U.rows_of(X.blobs(spark, sf_dir), "data", PITCH).filter("error IS NULL").select("doc_id", "y", "row")
 
 
 def _unpack_sql(n, bits, order):
@@ -29,7 +37,7 @@ def _unpack_sql(n, bits, order):
 
 def _unpack(n, bits, order):
     def run(spark, sf_dir):
-        return U.samples(rows(spark, sf_dir), U.packed("bytes", bits, order), n).select("doc_id", "y", "x", "v")
+        return _samples(spark, sf_dir, U.packed(n, bits, order).taken)
 
     run.__name__ = f"cdc01_unpack_{bits}_bits_{order}"
     return query(_unpack_sql(n, bits, order))(run)
@@ -41,21 +49,19 @@ for _n, _bits, _order in ((32, 12, "msb"), (32, 12, "lsb"), (27, 14, "msb32"), (
 
 @query(f"{BYTES} SELECT doc_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(b[x + 1] * b[x + 1] AS BIGINT) AS v FROM l, (SELECT unnest(range(0, 48)) AS x)")
 def cdc03_bytes_by_table(spark, sf_dir):
-    from ..operators.pixels import table_column
-
-    squares = table_column([i * i for i in range(256)])
-    return U.samples(rows(spark, sf_dir), lambda k: F.get(squares, F.get("bytes", k)), 48).select("doc_id", "y", "x", "v")
+    squares = np.arange(256, dtype=np.int64) ** 2
+    return _samples(spark, sf_dir, lambda b: squares[b])
 
 
 @query(f"""{BYTES}, s AS (SELECT *, x // 2 * 3 + x // 10 AS o FROM l, (SELECT unnest(range(0, 30)) AS x))
 SELECT doc_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(CASE WHEN x % 2 = 0 THEN b[o + 1] * 16 + (b[o + 2] >> 4) ELSE (b[o + 2] & 15) * 256 + b[o + 3] END AS BIGINT) AS v FROM s""")
 def cdc04_control_bytes(spark, sf_dir):
-    return U.samples(rows(spark, sf_dir), U.with_control("bytes"), 30).select("doc_id", "y", "x", "v")
+    return _samples(spark, sf_dir, U.with_control(30).taken)
 
 
 @query(f"{BYTES} SELECT doc_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST((b[x * 2 + 2] * 256 + b[x * 2 + 1]) >> 4 AS BIGINT) AS v FROM l, (SELECT unnest(range(0, 24)) AS x)")
 def cdc05_left_aligned(spark, sf_dir):
-    return U.samples(rows(spark, sf_dir), U.left_aligned("bytes"), 24).select("doc_id", "y", "x", "v")
+    return _samples(spark, sf_dir, U.left_aligned(24).taken)
 
 
 def _packets_sql(bits):
@@ -66,12 +72,12 @@ def _packets_sql(bits):
 
 @query(_packets_sql(14))
 def cdc15_packets_of_nine(spark, sf_dir):
-    return U.samples(rows(spark, sf_dir), U.packets("bytes", 14), 27).select("doc_id", "y", "x", "v")
+    return _samples(spark, sf_dir, U.packets(27, 14).taken)
 
 
 @query(_packets_sql(12))
 def cdc13_packets_of_ten(spark, sf_dir):
-    return U.samples(rows(spark, sf_dir), U.packets("bytes", 12), 30).select("doc_id", "y", "x", "v")
+    return _samples(spark, sf_dir, U.packets(30, 12).taken)
 
 
 @query("""WITH d AS (SELECT doc_id, hex(encode(text)) AS h FROM documents)
@@ -90,7 +96,7 @@ def _bits_sql(at, n):
 s AS (SELECT *, (128 <= hi - lo)::INT + (256 <= hi - lo)::INT + (512 <= hi - lo)::INT + (1024 <= hi - lo)::INT AS sh, k - (ihi < k)::INT - (ilo < k AND ilo <> ihi)::INT AS j FROM h, (SELECT CAST(unnest(range(0, 16)) AS INTEGER) AS k))
 SELECT doc_id, CAST(y AS INTEGER) AS y, CAST(p * 16 + k AS INTEGER) AS x, CAST(2 * CASE WHEN k = ihi THEN hi WHEN k = ilo THEN lo ELSE least(2047, ({_bits_sql('30 + j * 7', 7)} << sh) + lo) END AS BIGINT) AS v FROM s""")
 def cdc20_extremes_and_deltas(spark, sf_dir):
-    return U.extremes_and_deltas(rows(spark, sf_dir), 3).select("doc_id", "y", "x", "v")
+    return _samples(spark, sf_dir, U.extremes_and_deltas)
 
 
 @query(f"WITH {X.plane_sql()} SELECT image_id, x, CASE WHEN y < 10 THEN y * 2 ELSE (y - 10) * 2 + 1 END AS y, v FROM plane")
@@ -100,4 +106,5 @@ def cdc28_interleaved_rows(spark, sf_dir):
 
 @query(f"{BYTES} SELECT doc_id, CAST(y AS INTEGER) AS y, CAST(list_sum(b) AS BIGINT) AS total, CAST(b[1] * 256 + b[2] AS BIGINT) AS first FROM l")
 def bit01_bytes_of_rows(spark, sf_dir):
-    return rows(spark, sf_dir).select("doc_id", "y", F.aggregate("bytes", F.lit(0).cast("long"), lambda s, b: s + b).alias("total"), (F.get("bytes", F.lit(0)) * 256 + F.get("bytes", F.lit(1))).cast("long").alias("first"))
+    own = rows(spark, sf_dir).select("doc_id", "y", U.bytes_of("row").alias("bytes"))
+    return own.select("doc_id", "y", F.aggregate("bytes", F.lit(0).cast("long"), lambda s, b: s + b).alias("total"), (F.get("bytes", F.lit(0)) * 256 + F.get("bytes", F.lit(1))).cast("long").alias("first"))
